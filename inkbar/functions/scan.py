@@ -164,10 +164,9 @@ def scan_rules(
         return let(
             shift(near, -base),
             lambda before: shift(
-                F.slice(
+                F.filter(
                     _piece_spans(piece, rules, before, strict),
-                    F.size(before) + 1,
-                    F.lit(2147483647),
+                    lambda s, i: i >= F.size(before),
                 ),
                 base,
             ),
