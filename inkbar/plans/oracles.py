@@ -440,7 +440,7 @@ ORACLES["validate_requests"] = f"""SELECT req_id,
 
 # -- sources and sinks -----------------------------------------------------
 ORACLES["read_text_documents"] = """SELECT s_suppkey,
-  'Note for ' || s_name || chr(13) || chr(10) || 'mail s' || s_suppkey || '@mail.ru' AS text,
+  'Note for ' || s_name || chr(13) || chr(10) || 'mail s' || s_suppkey || '@mail.ru' || chr(10) AS text,
   1 AS n FROM supplier"""
 ORACLES["read_requests"] = f"""SELECT req_id, text, min_score, ru_postpass,
   CAST(NULL AS BOOLEAN) AS ru_postpass_strict, placeholder, mask_char FROM ({_REQUESTS}) AS r"""

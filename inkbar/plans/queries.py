@@ -515,7 +515,7 @@ def _read_text_documents(spark, sf):
     notes = table(spark, sf, "supplier", "s_suppkey", "s_name").selectExpr(
         "s_suppkey", "concat('Note for ', s_name, chr(13), chr(10), 'mail s', cast(s_suppkey as string), '@mail.ru') as value"
     )
-    notes.repartition("s_suppkey").write.partitionBy("s_suppkey").text(path, lineSep="")
+    notes.repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
     docs = sources.read_text_documents(spark, f"{path}/*/*.txt")
     found = detect_regex_only(docs)
     return found.select(

@@ -57,7 +57,10 @@ def first_of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _decide(
-    key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int
+    key: tuple[Any, ...],
+    batches: Iterator[pd.DataFrame],
+    state: GroupState,
+    ttl_ms: int | None,
 ) -> Iterator[pd.DataFrame]:
     fp, lane = key
     if lane > 0:
@@ -73,12 +76,17 @@ def _decide(
     if not state.exists:
         cached[int(ids.to_numpy().argmin())] = False
         state.update((int(ids.min()),))
-    state.setTimeoutDuration(ttl_ms)
+    if ttl_ms is not None:
+        state.setTimeoutDuration(ttl_ms)
     yield pd.DataFrame({"req_id": ids.to_numpy(), "fp": fp, "cached": cached.to_numpy()})
 
 
-def stream_mark_cached(requests: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """``req_id, fp, cached`` for a stream; a fingerprint is forgotten after ``ttl_ms``.
+def stream_mark_cached(requests: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """``req_id, fp, cached`` for a stream.
+
+    With ``ttl_ms`` a fingerprint is forgotten when it was not asked for that
+    long; Spark then keeps running batches to look for expired keys, so such a
+    stream is for a continuous trigger and does not end under ``availableNow``.
 
     The text is replaced by its fingerprint before anything is shuffled.  Within
     each Arrow batch all but one request of a fingerprint are settled on the spot
@@ -92,7 +100,13 @@ def stream_mark_cached(requests: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> D
         yield from _decide(key, batches, state, ttl_ms)
 
     return laned.groupBy("fp", "lane").applyInPandasWithState(
-        decide, MARKS, "first long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        decide,
+        MARKS,
+        "first long",
+        "append",
+        GroupStateTimeout.NoTimeout
+        if ttl_ms is None
+        else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
