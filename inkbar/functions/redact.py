@@ -5,72 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkbar import schema as S
-from inkbar.functions.spans import let, no_spans, span, sweep_non_overlapping
+from inkbar.functions import sqltext as Q
+from inkbar.functions.spans import no_spans
 
 BLOCK_CHARS = 4096
 _BLOCKS = f"(?s).{{1,{BLOCK_CHARS}}}"
 
 
-def text_blocks(text: Column) -> Column:
-    """The text as an array of equal blocks (the last one may be shorter).
-
-    Counting code points from the start costs a walk over the text, so many
-    small cuts from a long text go through this array instead.
-    """
-    return F.when(
-        F.length(text) > BLOCK_CHARS,
-        F.regexp_extract_all(text, F.lit(_BLOCKS), F.lit(0)),
-    ).otherwise(F.array(text))
-
-
-def cut(blocks: Column, start: Column, end: Column) -> Column:
-    """Characters ``[start, end)`` of the text behind ``text_blocks``."""
-    first = F.floor(start / BLOCK_CHARS).cast("int")
-    many = F.floor(end / BLOCK_CHARS).cast("int") - first + 1
-    return F.when(end <= start, F.lit("")).otherwise(
-        F.substring(
-            F.array_join(F.slice(blocks, first + 1, many), ""),
-            start - first * BLOCK_CHARS + 1,
-            end - start,
-        )
-    )
+# Counting code points from the start costs a walk over the text.  So a long text
+# is first taken apart in equal blocks, and each cut reads only the blocks it
+# touches.
+_BLOCKS_OF = (
+    f"if(length(v.text) > {BLOCK_CHARS}, "
+    f"regexp_extract_all(v.text, {Q.pattern(_BLOCKS)}, 0), array(v.text))"
+)
 
 
-def recut_spans(text: Column, spans: Column) -> Column:
-    """Set every span's text to what stands at its offsets."""
-    return let(
-        text_blocks(text),
-        lambda b: F.transform(
-            spans, lambda s: span(s.entity, cut(b, s.start, s.end), s.start, s.end, s.score)
-        ),
+def _cut(start: str, end: str) -> str:
+    """Characters ``[start, end)`` of the text behind ``blocks``."""
+    first = f"cast({start} div {BLOCK_CHARS} as int)"
+    many = f"cast({end} div {BLOCK_CHARS} as int) - {first} + 1"
+    return (
+        f"if({end} <= {start}, '', substring(array_join(slice(blocks, {first} + 1, {many}), ''), "
+        f"{start} - {first} * {BLOCK_CHARS} + 1, {end} - {start}))"
     )
 
 
-def _gaps(blocks: Column, kept: Column) -> Column:
-    """Plain text before every kept span."""
-    return F.transform(
-        kept,
-        lambda s, i: cut(
-            blocks, F.when(i == 0, 0).otherwise(F.get(kept, i - 1).end), s.start
-        ),
-    )
+_GAP = _cut("if(i = 0, 0, kept[i - 1].end)", "s.start")
+_TAIL = _cut(
+    "if(size(kept) = 0, 0, kept[size(kept) - 1].end)", f"({BLOCK_CHARS} * size(blocks))"
+)
 
 
-def _tail(blocks: Column, kept: Column) -> Column:
-    """Plain text after the last kept span."""
-    start = F.when(F.size(kept) == 0, 0).otherwise(F.element_at(kept, -1).end)
-    return cut(blocks, start, F.lit(BLOCK_CHARS) * F.size(blocks))
+def _render(body: str, **inputs: Column) -> Column:
+    """``body`` over ``blocks`` of the text and the ``kept`` spans."""
+    return Q.apply(Q.let(_BLOCKS_OF, "blocks", Q.let(Q.sweep("v.spans"), "kept", body)), **inputs)
 
 
-def _render(text: Column, spans: Column, body) -> Column:
-    """``body(blocks, kept)`` with the swept spans, each computed once."""
-    return let(
-        F.struct(
-            text_blocks(text).alias("blocks"),
-            sweep_non_overlapping(spans).alias("kept"),
-        ),
-        lambda v: body(v.blocks, v.kept),
+def cut_spans(text: Column, spans: Column) -> Column:
+    """Spans with their text set to what stands at their offsets."""
+    cut = Q.span("s.entity", _cut("s.start", "s.end"), "s.start", "s.end", "s.score")
+    return Q.apply(
+        Q.let(_BLOCKS_OF, "blocks", f"transform(v.spans, s -> {cut})"), text=text, spans=spans
     )
 
 
@@ -78,14 +54,6 @@ def _column(value: Column | str | None) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("string")
 
 
-def redact_tag(entity: Column) -> Column:
-    return F.concat(F.lit("["), F.upper(entity), F.lit("]"))
-
-
-def redact_mask(mask_char: Column, start: Column, end: Column) -> Column:
-    return F.repeat(mask_char, end - start)
-
-
 def redact(
     text: Column,
     spans: Column,
@@ -99,55 +67,45 @@ def redact(
     empty placeholder deletes the span.  Spans that begin inside one already
     replaced are skipped.
     """
-    mask, fixed = _column(mask_char), _column(placeholder)
-
-    def replacement(s: Column) -> Column:
-        return F.coalesce(redact_mask(mask, s.start, s.end), fixed, redact_tag(s.entity))
-
-    def joined(blocks: Column, kept: Column) -> Column:
-        pieces = F.zip_with(
-            _gaps(blocks, kept), kept, lambda gap, s: F.concat(gap, replacement(s))
-        )
-        return F.concat(F.array_join(pieces, ""), _tail(blocks, kept))
-
+    mask = _column(mask_char)
+    drawn = (
+        "coalesce(repeat(v.mask, s.end - s.start), v.fixed, concat('[', upper(s.entity), ']'))"
+    )
+    pieces = f"transform(kept, (s, i) -> concat({_GAP}, {drawn}))"
+    done = _render(
+        f"concat(array_join({pieces}, ''), {_TAIL})",
+        text=text,
+        spans=spans,
+        mask=mask,
+        fixed=_column(placeholder),
+    )
     return (
         F.when(text.isNull() | (F.size(F.coalesce(spans, no_spans())) == 0), text)
         .when(
             F.length(mask) != 1,
             F.raise_error(F.lit("mask_char must be a single character")).cast("string"),
         )
-        .otherwise(_render(text, spans, joined))
+        .otherwise(done)
     )
 
 
 def segment_text(text: Column, spans: Column) -> Column:
     """Alternating plain and span segments; empty plain ones are left out."""
 
-    def segment(t: Column, entity: Column, score: Column) -> Column:
-        return F.struct(
-            t.alias("text"),
-            entity.cast("string").alias("entity"),
-            score.cast("double").alias("score"),
-        )
+    def segment(t: str, entity: str, score: str) -> str:
+        return f"named_struct('text', {t}, 'entity', {entity}, 'score', {score})"
 
-    def plain(t: Column) -> Column:
-        return segment(t, F.lit(None), F.lit(None))
+    def plain(t: str) -> str:
+        return segment(t, "cast(null as string)", "cast(null as double)")
 
-    def body(blocks: Column, kept: Column) -> Column:
-        pairs = F.zip_with(
-            _gaps(blocks, kept),
-            kept,
-            lambda gap, s: F.array(
-                plain(gap), segment(cut(blocks, s.start, s.end), s.entity, s.score)
-            ),
-        )
-        return F.filter(
-            F.concat(F.flatten(pairs), F.array(plain(_tail(blocks, kept)))),
-            lambda x: x.entity.isNotNull() | (x.text != ""),
-        )
-
-    return F.when(text.isNull(), F.lit(None)).otherwise(
-        _render(text, F.coalesce(spans, no_spans()), body)
+    hit = segment(_cut("s.start", "s.end"), "s.entity", "s.score")
+    pairs = f"flatten(transform(kept, (s, i) -> array({plain(_GAP)}, {hit})))"
+    body = (
+        f"filter(concat({pairs}, array({plain(_TAIL)})), "
+        "g -> g.entity is not null or g.text <> '')"
+    )
+    return F.when(
+        text.isNotNull(), _render(body, text=text, spans=F.coalesce(spans, no_spans()))
     )
 
 
@@ -167,31 +125,28 @@ def escape_html(text: Column) -> Column:
     return text
 
 
-def highlight_html(text: Column, spans: Column) -> Column:
-    """Escaped HTML with one tagged element per span; plain text if none."""
+def _escape_sql(text: str) -> str:
+    for raw, safe in HTML_ESCAPES:
+        quoted = '"\'"' if raw == "'" else f"'{raw}'"
+        text = f"replace({text}, {quoted}, '{safe}')"
+    return text
 
-    def marked(blocks: Column, kept: Column) -> Column:
-        def element(s: Column) -> Column:
-            entity = escape_html(s.entity)
-            return F.concat(
-                F.lit('<span class="pii" data-entity="'),
-                entity,
-                F.lit('" title="'),
-                entity,
-                F.format_string(' (%.3f)">', s.score),
-                escape_html(cut(blocks, s.start, s.end)),
-                F.lit("</span>"),
-            )
-
-        pieces = F.zip_with(
-            _gaps(blocks, kept), kept, lambda gap, s: F.concat(escape_html(gap), element(s))
-        )
-        return F.concat(F.array_join(pieces, ""), escape_html(_tail(blocks, kept)))
 
+def highlight_html(text: Column, spans: Column) -> Column:
+    """Escaped HTML with one tagged element per span; plain text if none."""
+    entity = _escape_sql("s.entity")
+    element = (
+        f"""concat('<span class="pii" data-entity="', {entity}, '" title="', {entity}, """
+        f"""format_string(' (%.3f)">', s.score), {_escape_sql(_cut("s.start", "s.end"))}, '</span>')"""
+    )
+    pieces = f"transform(kept, (s, i) -> concat({_escape_sql(_GAP)}, {element}))"
+    html = _render(
+        f"concat(array_join({pieces}, ''), {_escape_sql(_TAIL)})", text=text, spans=spans
+    )
     return F.when(
         F.size(F.coalesce(spans, no_spans())) == 0,
         F.when(text == "", F.lit("(empty)")).otherwise(text),
-    ).otherwise(_render(text, spans, marked))
+    ).otherwise(html)
 
 
 def human_bytes(n: Column) -> Column:

@@ -114,14 +114,14 @@ class Rule:
             for i, p in enumerate(self.parts)
         )
 
-    def replacement(self, mark: str) -> str:
-        """Put ``mark`` on both sides of the span; its context stays outside."""
+    def replacement_parts(self, mark: str) -> list[str]:
+        """``mark`` on both sides of the span; its context stays outside."""
         if not self.has_context:
-            return f"{mark}$0{mark}"
+            return [mark, "$0", mark]
         n = len(self.parts)
         context = "".join(f"${{c{i}}}" for i in range(n))
         body = "".join(f"${{b{i}}}" for i in range(n))
-        return f"{context}{mark}{body}{mark}"
+        return [context, mark, body, mark]
 
 
 # --------------------------------------------------------------------------

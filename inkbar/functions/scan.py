@@ -15,27 +15,15 @@ shape skip that rule.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkbar import schema as S
-from inkbar.functions.redact import recut_spans
+from inkbar.functions import sqltext as Q
 from inkbar.functions.rules import BLANK, RULES_LOOSE, SOME_NUMBER, Rule
-from inkbar.functions.spans import (
-    add_candidates,
-    fold_blocks,
-    let,
-    merge_spans,
-    no_spans,
-    shift,
-    sort_spans,
-    span,
-)
+from inkbar.functions.spans import no_spans
 
 MARK = "\x01"
-MARK_STAND_IN = "\x02"
 PIECE = 4096
 
 # After one of the first characters, or after a blank that none
@@ -53,91 +41,83 @@ CUT = (
 )
 
 
-def _text_pieces(text: Column, cuttable: bool) -> Column:
+def _text_pieces(text: str, cuttable: bool) -> str:
     """Array of pieces whose concatenation is the text."""
     if not cuttable:
-        return F.array(text)
-    return F.when(
-        F.length(text) > 2 * PIECE,
-        F.split(F.regexp_replace(text, F.lit(CUT), F.lit("$1" + MARK)), MARK, -1),
-    ).otherwise(F.array(text))
+        return f"array({text})"
+    cut = f"regexp_replace({text}, {Q.pattern(CUT)}, concat('$1', char(1)))"
+    return (
+        f"if(length({text}) > {2 * PIECE}, split({cut}, char(1), -1), array({text}))"
+    )
 
 
-def _gate(text: Column, rule: Rule, digits: Column) -> Column:
-    """Necessary condition for a match of ``rule``, cheap tests first."""
+def _gate(rule: Rule) -> str:
+    """Necessary condition for a match in ``piece``, cheap tests first."""
     tests = []
     shapes = [p.shape for p in rule.parts if p.shape and p.needs_digits]
     if shapes:
         flags = "(?iu)" if rule.ignore_case else ""
         shape = f"{flags}(?=\\p{{Nd}})(?:{'|'.join(dict.fromkeys(shapes))})"
-        tests.append(digits & F.rlike(text, F.lit(shape)))
+        tests.append(f"(digits and piece rlike {Q.pattern(shape)})")
     for p in rule.parts:
         if p.needs_digits:
             continue
-        test = None
-        for literal in p.literals:
-            has = F.contains(text, F.lit(literal))
-            test = has if test is None else test | has
+        all_of = []
+        if p.literals:
+            any_of = [f"contains(piece, {Q.literal(x)})" for x in p.literals]
+            all_of.append("(" + " or ".join(any_of) + ")")
         if p.shape:
-            shape = F.rlike(text, F.lit(p.shape))
-            test = shape if test is None else test & shape
-        tests.append(F.lit(True) if test is None else test)
-    return reduce(lambda a, b: a | b, tests)
-
-
-def _marked(
-    text: Column, rule: Rule, digits: Column, strict: Column | None
-) -> Column:
-    """The text with every match of ``rule`` marked, null if there can be none."""
-    gate = _gate(text, rule, digits)
-    if strict is not None and rule.mode is not None:
-        gate = (strict if rule.mode == "strict" else ~strict) & gate
-    return F.struct(
-        F.lit(rule.entity).alias("entity"),
-        F.when(
-            gate,
-            F.regexp_replace(
-                text, F.lit(rule.pattern), F.lit(rule.replacement(MARK))
-            ),
-        ).alias("marked"),
+            all_of.append(f"piece rlike {Q.pattern(p.shape)}")
+        tests.append("(" + " and ".join(all_of or ["true"]) + ")")
+    return "(" + " or ".join(tests) + ")"
+
+
+def _marked(rule: Rule, by_row: bool) -> str:
+    """The piece with every match of ``rule`` marked, null if there can be none."""
+    gate = _gate(rule)
+    if by_row and rule.mode is not None:
+        gate = f"({'' if rule.mode == 'strict' else 'not '}v.strict and {gate})"
+    to = ", ".join(
+        "char(1)" if part == MARK else Q.literal(part)
+        for part in rule.replacement_parts(MARK)
     )
-
-
-def _matches(entity: Column, marked: Column) -> Column:
-    """Spans of the marked matches of one piece, left to right."""
-    parts = F.transform(
-        F.split(marked, MARK, -1),
-        lambda t, i: F.struct(t.alias("t"), (i % 2 == 1).alias("hit")),
+    return (
+        f"named_struct('entity', {Q.literal(rule.entity)}, 'marked', "
+        f"if({gate}, regexp_replace(piece, {Q.pattern(rule.pattern)}, concat({to})), null))"
     )
 
-    def step(pos: Column, p: Column) -> tuple[Column, Column]:
-        end = pos + F.length(p.t)
-        hit = F.array(span(entity, p.t, pos, end, F.lit(S.RULE_SCORE)))
-        return end, F.when(p.hit, hit).otherwise(no_spans())
 
-    return fold_blocks(parts, F.lit(0), S.SPANS_DDL, step)
+def _matches() -> str:
+    """Spans of the marked matches ``m`` of one piece, left to right."""
+    parts = (
+        "transform(split(m.marked, char(1), -1), "
+        "(t, i) -> named_struct('t', t, 'hit', i % 2 = 1))"
+    )
+    end = "acc.s + length(x.t)"
+    hit = Q.span("m.entity", "x.t", "acc.s", end, f"{S.RULE_SCORE}D")
+    return Q.fold_blocks(
+        parts, "0", S.SPANS_DDL, "x", end, f"if(x.hit, array({hit}), {Q.NO_SPANS})"
+    )
 
 
-def _piece_spans(
-    piece: Column,
-    rules: tuple[Rule, ...],
-    before: Column | None,
-    strict: Column | None,
-) -> Column:
-    """Matches accepted in one piece, in rule order, after the spans ``before``."""
-
-    def accept(kept: Column, m: Column) -> Column:
-        return F.when(m.marked.isNull(), kept).otherwise(
-            add_candidates(kept, _matches(m.entity, m.marked))
-        )
+def _piece_spans(rules: tuple[Rule, ...], before: str, by_row: bool) -> str:
+    """Spans ``before`` and the matches accepted after them, in rule order.
 
-    return let(
-        F.rlike(piece, F.lit(SOME_NUMBER)),
-        lambda digits: F.aggregate(
-            F.array(*[_marked(piece, r, digits, strict) for r in rules]),
-            no_spans() if before is None else before,
-            accept,
-        ),
+    The matches of one rule never overlap each other, so each rule takes one look
+    at what was accepted before it.
+    """
+    free = (
+        "filter(found, c -> not exists(kept, k -> k.end > c.start and c.end > k.start))"
+    )
+    accept = Q.let(
+        _matches(), "found", f"if(size(kept) = 0, found, concat(kept, {free}))"
+    )
+    tried = ", ".join(_marked(r, by_row) for r in rules)
+    return Q.let(
+        f"piece rlike {Q.pattern(SOME_NUMBER)}",
+        "digits",
+        f"aggregate(array({tried}), {before}, "
+        f"(kept, m) -> if(m.marked is null, kept, {accept}))",
     )
 
 
@@ -146,57 +126,67 @@ def scan_rules(
     rules: tuple[Rule, ...],
     existing: Column | None = None,
     strict: Column | None = None,
+    merge: bool = False,
 ) -> Column:
-    """Spans the rules add to ``existing``, in no particular order.
-
-    ``strict`` chooses per row between the rules of the two modes.
+    """Spans the rules add to ``existing``, sorted by start.
 
     Rules are tried in order and their matches from left to right.  A match is
     dropped as a whole if it overlaps an existing span or an accepted match.
+    ``strict`` chooses per row between the rules of the two modes.  ``merge``
+    returns the existing spans too.
     """
-    cuttable = all(r.cuttable for r in rules)
+    inputs = {"text": text}
+    if existing is not None:
+        inputs["existing"] = F.coalesce(existing, no_spans())
+    if strict is not None:
+        inputs["strict"] = strict
+    by_row = strict is not None
 
-    def in_piece(piece: Column, base: Column, end: Column) -> Column:
-        if existing is None:
-            return shift(_piece_spans(piece, rules, None, strict), base)
-        near = F.filter(existing, lambda s: (s.end > base) & (s.start < end))
-        # What was there before stands at the front and is cut off again.
-        return let(
-            shift(near, -base),
-            lambda before: shift(
-                F.filter(
-                    _piece_spans(piece, rules, before, strict),
-                    lambda s, i: i >= F.size(before),
-                ),
-                base,
-            ),
-        )
+    def shifted(spans: str, by: str, text: str = "s.text") -> str:
+        moved = Q.span("s.entity", text, f"s.start + {by}", f"s.end + {by}", "s.score")
+        return f"transform({spans}, s -> {moved})"
 
-    def whole(scan_text: Column) -> Column:
-        return F.aggregate(
-            _text_pieces(scan_text, cuttable),
-            F.struct(F.lit(0).alias("base"), no_spans().alias("out")),
-            lambda acc, piece: let(
-                acc.base + F.length(piece),
-                lambda end: F.struct(
-                    end.alias("base"),
-                    F.concat(acc.out, in_piece(piece, acc.base, end)).alias("out"),
-                ),
-            ),
-        ).out
-
-    has_mark = F.contains(text, F.lit(MARK))
-    found = whole(
-        F.when(has_mark, F.replace(text, F.lit(MARK), F.lit(MARK_STAND_IN))).otherwise(
-            text
+    if existing is None:
+        found = _piece_spans(rules, Q.NO_SPANS, by_row)
+    else:
+        near = "filter(v.existing, s -> s.end > base and s.start < stop)"
+        # What was there before stands at the front and is cut off again.
+        found = Q.let(
+            shifted(near, "(-base)"),
+            "old",
+            f"filter({_piece_spans(rules, 'old', by_row)}, (s, i) -> i >= size(old))",
         )
+    # With a stand-in for the mark, the span's text comes from the original.
+    original = "substring(v.text, base + 1, length(piece))"
+    restored = Q.let(
+        original,
+        "raw",
+        shifted("found", "base", "substring(raw, s.start + 1, s.end - s.start)"),
     )
-    return let(
-        found,
-        lambda spans: F.when(text.isNull(), no_spans())
-        .when(has_mark, recut_spans(text, spans))
-        .otherwise(spans),
+    placed = Q.let(
+        found, "found", f"if(has_mark, {restored}, {shifted('found', 'base')})"
+    )
+    in_piece = Q.let(
+        "acc0.base",
+        "base",
+        Q.let(
+            "base + length(piece)",
+            "stop",
+            f"named_struct('base', stop, 'out', concat(acc0.out, {placed}))",
+        ),
     )
+    scan_text = "if(has_mark, replace(v.text, char(1), char(2)), v.text)"
+    whole = Q.let(
+        scan_text,
+        "scanned",
+        f"aggregate({_text_pieces('scanned', all(r.cuttable for r in rules))}, "
+        f"named_struct('base', 0, 'out', {Q.NO_SPANS}), (acc0, piece) -> {in_piece}).out",
+    )
+    found = Q.let("contains(v.text, char(1))", "has_mark", whole)
+    if merge and existing is not None:
+        found = f"concat(v.existing, {found})"
+    body = f"if(v.text is null, {Q.NO_SPANS}, {Q.sort_spans(found)})"
+    return Q.apply(body, **inputs)
 
 
 def ru_postpass(
@@ -206,9 +196,4 @@ def ru_postpass(
     strict: Column | None = None,
 ) -> Column:
     """Rule spans merged into existing ones, stably sorted by start."""
-    if existing is None:
-        return sort_spans(scan_rules(text, rules, None, strict))
-    return let(
-        F.coalesce(existing, no_spans()),
-        lambda e: merge_spans(e, scan_rules(text, rules, e, strict)),
-    )
+    return scan_rules(text, rules, existing, strict, merge=True)

@@ -1,9 +1,6 @@
 """Span algebra on array columns: overlap, resolution, merge, sweep.
 
-Everything here is one row in, one row out: no shuffle.  ``let`` and
-``fold_blocks`` keep the expressions linear: the first names an intermediate
-value inside an expression so that it is computed once, the second folds a long
-array block by block, because appending to an array copies it.
+Everything here is one row in, one row out: no shuffle.
 """
 
 from __future__ import annotations
@@ -14,8 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkbar import schema as S
-
-BLOCK = 256
+from inkbar.functions import sqltext as Q
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -38,53 +34,6 @@ def span(entity, text, start, end, score) -> Column:
     )
 
 
-def shift(spans: Column, by: Column) -> Column:
-    """Move the offsets of every span."""
-    return F.transform(
-        spans,
-        lambda s: span(s.entity, s.text, s.start + by, s.end + by, s.score),
-    )
-
-
-def fold_blocks(
-    items: Column,
-    state: Column,
-    out_type: str,
-    step: Callable[[Column, Column], tuple[Column, Column]],
-) -> Column:
-    """Fold ``items`` from left to right, collecting an output array.
-
-    ``step(state, item)`` returns ``(next state, array to append)``.  The
-    arrays grow inside blocks of ``BLOCK`` items and the blocks are then joined,
-    so n items cost n * BLOCK / 2 + n * n / BLOCK copied references, not
-    n * n / 2.
-    """
-
-    def cell(s: Column, out: Column) -> Column:
-        return F.struct(s.alias("s"), out.alias("out"))
-
-    def empty() -> Column:
-        return F.array().cast(out_type)
-
-    def one(acc: Column, item: Column) -> Column:
-        s, more = step(acc.s, item)
-        return cell(s, F.concat(acc.out, more))
-
-    def by_block(all_items: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(0), F.size(all_items), F.lit(BLOCK)),
-            cell(state, empty()),
-            lambda acc, at: let(
-                F.aggregate(
-                    F.slice(all_items, at + 1, BLOCK), cell(acc.s, empty()), one
-                ),
-                lambda r: cell(r.s, F.concat(acc.out, r.out)),
-            ),
-        ).out
-
-    return let(items, by_block)
-
-
 def overlaps(a: Column, b: Column) -> Column:
     """Half-open interval test; touching is not overlapping."""
     return (a.end > b.start) & (b.end > a.start)
@@ -99,20 +48,6 @@ def drop_overlapping_existing(candidates: Column, existing: Column) -> Column:
     return F.filter(candidates, lambda c: ~overlaps_any(c, existing))
 
 
-def add_candidates(kept: Column, more: Column) -> Column:
-    """Append to ``kept`` the spans of ``more`` that overlap none of it.
-
-    ``more`` must not overlap itself (it is the matches of one pattern), so one
-    look at what was accepted before is enough.
-    """
-    return let(
-        more,
-        lambda m: F.when(F.size(kept) == 0, m).otherwise(
-            F.concat(kept, drop_overlapping_existing(m, kept))
-        ),
-    )
-
-
 def resolve_overlaps(candidates: Column) -> Column:
     """Greedy choice over one ordered list of arbitrary spans.
 
@@ -129,10 +64,7 @@ def resolve_overlaps(candidates: Column) -> Column:
 
 def sort_spans(spans: Column) -> Column:
     """Stable sort by start."""
-    keyed = F.transform(
-        spans, lambda s, i: F.struct(s.start.alias("k"), i.alias("i"), s.alias("s"))
-    )
-    return F.transform(F.array_sort(keyed), lambda e: e.s)
+    return Q.apply(Q.sort_spans("v.spans"), spans=spans)
 
 
 def merge_spans(existing: Column, additions: Column) -> Column:
@@ -142,15 +74,7 @@ def merge_spans(existing: Column, additions: Column) -> Column:
 
 def sweep_non_overlapping(spans: Column) -> Column:
     """Sort by start and skip a span that begins before the last kept one ends."""
-    return fold_blocks(
-        sort_spans(spans),
-        F.lit(0),
-        S.SPANS_DDL,
-        lambda cursor, s: (
-            F.when(s.start < cursor, cursor).otherwise(s.end),
-            F.when(s.start < cursor, no_spans()).otherwise(F.array(s)),
-        ),
-    )
+    return Q.apply(Q.sweep("v.spans"), spans=spans)
 
 
 def filter_min_score(spans: Column, min_score: Column) -> Column:

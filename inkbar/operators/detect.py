@@ -14,7 +14,6 @@ from inkbar.functions.spans import (
     filter_min_score_final,
     let,
     no_spans,
-    sort_spans,
 )
 from inkbar.operators.model import Predictor, detect_one
 
@@ -33,7 +32,7 @@ def pii_spans(
 
 def detect_part(text: Column, name: str) -> Column:
     """Spans of one shape alone, left to right."""
-    return sort_spans(scan_rules(text, (PART_RULES[name],)))
+    return scan_rules(text, (PART_RULES[name],))
 
 
 def detect_regex_only(

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkbar import schema as S
-from inkbar.functions.redact import cut, text_blocks
-from inkbar.functions.spans import let, no_spans, span
+from inkbar.functions.redact import cut_spans
+from inkbar.functions.spans import no_spans, span
 
 Predictor = Callable[[list[str]], list[list[dict]]]
 
@@ -32,17 +32,16 @@ def normalize_raw_spans(text: Column, raw: Column, min_score: Column) -> Column:
         raw, lambda r: r.score.isNotNull() & ~F.isnan(r.score) & ~(r.score < min_score)
     )
 
-    def one(blocks: Column, r: Column) -> Column:
-        start, end = r.start.cast("int"), r.end.cast("int")
+    def one(r: Column) -> Column:
         entity = F.coalesce(
             F.nullif(r.entity_group, F.lit("")),
             F.nullif(r.entity, F.lit("")),
             F.lit(S.UNKNOWN_ENTITY),
         )
-        return span(entity, cut(blocks, start, end), start, end, r.score)
+        return span(entity, F.lit(None), r.start, r.end, r.score)
 
     return F.when(text.isNull() | raw.isNull(), no_spans()).otherwise(
-        let(text_blocks(text), lambda b: F.transform(kept, lambda r: one(b, r)))
+        cut_spans(text, F.transform(kept, one))
     )
 
 

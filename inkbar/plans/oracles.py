@@ -273,10 +273,15 @@ ORACLES["highlight_html"] = f"""WITH t AS ({_FORM}),
 
 
 def _human(n: str) -> str:
+    """Of two equally near decimals the page shows the larger, printf the even."""
+
+    def tenths(x: str) -> str:
+        return f"floor({x} * 10 + 0.5) / 10"
+
     return (
         f"CASE WHEN {n} < 1024 THEN printf('%d B', {n}) "
-        f"WHEN {n} < 1048576 THEN printf('%.1f KB', {n} / 1024.0::DOUBLE) "
-        f"ELSE printf('%.1f MB', {n} / 1024.0::DOUBLE / 1024.0::DOUBLE) END"
+        f"WHEN {n} < 1048576 THEN printf('%.1f KB', {tenths(f'{n} / 1024.0::DOUBLE')}) "
+        f"ELSE printf('%.1f MB', {tenths(f'{n} / 1048576.0::DOUBLE')}) END"
     )
 
 

@@ -72,7 +72,7 @@ def span_report(df: DataFrame, key: str = "doc_id") -> DataFrame:
         F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")).alias(
             "range"
         ),
-        F.format_string("%.4f", "score").alias("score"),
+        F.format_string("%.4f", F.bround("score", 4)).alias("score"),
     )
 
 
@@ -88,7 +88,7 @@ def span_report_empty(df: DataFrame, key: str = "doc_id") -> DataFrame:
             F.col("s").isNotNull(),
             F.concat_ws("-", F.col("s.start").cast("string"), F.col("s.end").cast("string")),
         ).alias("range"),
-        F.when(F.col("s").isNotNull(), F.format_string("%.4f", "s.score")).alias("score"),
+        F.when(F.col("s").isNotNull(), F.format_string("%.4f", F.bround("s.score", 4))).alias("score"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkbar import schema as S
-from inkbar.functions.redact import cut, text_blocks
+from inkbar.functions.redact import cut_spans
 from inkbar.functions.spans import let, no_spans, span
 from inkbar.operators.validate import file_checks, oversized_file, with_verdict
 
@@ -134,12 +134,7 @@ def attach_external_spans(
             F.length(text),
             lambda n: F.filter(external, lambda s: span_is_valid(s, n)),
         )
-        return let(
-            F.struct(text_blocks(text).alias("b"), valid.alias("v")),
-            lambda x: F.transform(
-                x.v, lambda s: span(s.entity, cut(x.b, s.start, s.end), s.start, s.end, s.score)
-            ),
-        )
+        return cut_spans(text, valid)
 
     return joined.withColumn(
         out,
