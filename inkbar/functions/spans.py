@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkbar import schema as S
@@ -99,3 +99,26 @@ def spans_by_entity(spans: Column, entity: str) -> Column:
     return F.transform(
         F.filter(spans, lambda s: s.entity == F.lit(entity)), lambda s: s.text
     )
+
+
+def computed_once(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a costly column that later filters do not compute again.
+
+    A filter on a computed column is otherwise moved below it, expression and
+    all.  It cannot be moved below the generator this puts in between.
+    """
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.explode(F.array(column)).alias(column))
+
+
+def explode_spans(df: DataFrame, key: str = "doc_id", spans: str | Column = "spans") -> DataFrame:
+    """One row per span with its place in the document's list.
+
+    The outer form is used because for the plain one Spark adds a test for empty
+    arrays in front, which would run the detection that makes them twice more.
+    """
+    return (
+        df.select(key, F.posexplode_outer(spans).alias("pos", "span"))
+        .filter("pos is not null")
+        .select(key, "pos", "span.*")
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkbar.functions.keys import exact_fingerprint
-from inkbar.functions.spans import no_spans
+from inkbar.functions.spans import computed_once, no_spans
 from inkbar.operators.detect import request_options
 from inkbar.operators.skew import join_hot
 
@@ -73,11 +73,8 @@ def detect_distinct_once(
     ``detect`` adds a ``spans`` column.  Only documents that have spans take part
     in the join back; the others get an empty array.
     """
-    found = (
-        detect(distinct_requests(requests))
-        .select("fp", "spans")
-        .filter(F.size("spans") > 0)
-    )
+    scored = detect(distinct_requests(requests)).select("fp", "spans")
+    found = computed_once(scored, "spans").filter(F.size("spans") > 0)
     counts = first_requests(requests).select("fp", "n")
     joined = join_hot(mark_cached(requests), found, "fp", "req_id", counts)
     return joined.select(

@@ -28,12 +28,14 @@ def entity_counts(df: DataFrame) -> DataFrame:
     A document is counted once per category inside its own row, so nothing but
     two sums is shuffled.
     """
-    per_doc = df.select(
-        F.explode(F.array_distinct(F.transform("spans", lambda s: s.entity))).alias("entity"),
-        "spans",
-    ).select(
-        "entity", F.size(F.filter("spans", lambda s: s.entity == F.col("entity"))).alias("k")
+    names = F.transform("spans", lambda s: s.entity)
+    tallies = F.transform(
+        F.array_distinct(names),
+        lambda e: F.struct(
+            e.alias("entity"), F.size(F.filter("spans", lambda s: s.entity == e)).alias("k")
+        ),
     )
+    per_doc = df.select(F.explode_outer(tallies).alias("t")).filter("t is not null").select("t.*")
     return per_doc.groupBy("entity").agg(
         F.sum(F.col("k").cast("long")).alias("spans"), F.count("*").alias("documents")
     )

@@ -60,9 +60,7 @@ def template(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spans_long(df: DataFrame, spans: Column, key: str = "doc_id") -> DataFrame:
-    return df.select(key, F.posexplode(spans).alias("pos", "s")).select(
-        key, "pos", "s.entity", "s.text", "s.start", "s.end", "s.score"
-    )
+    return A.explode_spans(df, key, spans)
 
 
 # -- detectors -------------------------------------------------------------
@@ -109,9 +107,9 @@ def _detect_regex_only_pages(spark, sf):
     pages = spread(table(spark, sf, "pages", "page_id", "html")).select(
         F.col("page_id").alias("doc_id"), F.col("html").alias("text")
     )
-    found = detect_regex_only(pages)
-    return found.select("doc_id", F.explode("spans").alias("s")).groupBy("s.entity").agg(
-        F.count("*").alias("n"), F.sum(F.length("s.text")).cast("long").alias("chars")
+    found = A.explode_spans(detect_regex_only(pages))
+    return found.groupBy("entity").agg(
+        F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars")
     )
 
 
@@ -239,7 +237,7 @@ def _collect_spans(spark, sf):
 
 @query("explode_spans")
 def _explode_spans(spark, sf):
-    return sinks.explode_spans(_model_arrays(spark, sf)).drop("text")
+    return A.explode_spans(_model_arrays(spark, sf)).drop("text")
 
 
 @query("span_overlap_pairs")
@@ -284,7 +282,7 @@ def _resolve_overlaps(spark, sf):
         .agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c.s).alias("c"))
     )
     kept = lists.withColumn("spans", A.resolve_overlaps(F.col("c")))
-    return sinks.explode_spans(kept).select("doc_id", "pos", "entity", "start", "end")
+    return A.explode_spans(kept).select("doc_id", "pos", "entity", "start", "end")
 
 
 @query("merge_spans")
@@ -300,7 +298,7 @@ def _merge_spans(spark, sf):
         "doc_id",
         A.merge_spans(F.coalesce("spans", A.no_spans()), F.col("more")).alias("spans"),
     )
-    return sinks.explode_spans(merged).select("doc_id", "pos", "entity", "start", "end")
+    return A.explode_spans(merged).select("doc_id", "pos", "entity", "start", "end")
 
 
 @query("sweep_non_overlapping")
@@ -308,7 +306,7 @@ def _sweep(spark, sf):
     kept = _model_arrays(spark, sf).withColumn(
         "spans", A.sweep_non_overlapping(F.col("spans"))
     )
-    return sinks.explode_spans(kept).select("doc_id", "pos", "entity", "start", "end")
+    return A.explode_spans(kept).select("doc_id", "pos", "entity", "start", "end")
 
 
 @query("filter_min_score")
@@ -553,7 +551,7 @@ def _filter_text_files(spark, sf):
 def _attach_external_spans(spark, sf):
     rows = _external_rows(spark, sf)
     found = sources.attach_external_spans(table(spark, sf, "documents", "doc_id", "text"), rows)
-    return sinks.explode_spans(found)
+    return A.explode_spans(found)
 
 
 def _external_rows(spark: SparkSession, sf: str) -> DataFrame:

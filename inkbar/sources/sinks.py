@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkbar.functions.rules import BLANK
-from inkbar.functions.spans import no_spans
+from inkbar.functions.spans import explode_spans, no_spans
 
 NO_HITS = "No PII detected"
 
@@ -55,13 +55,6 @@ def strip(text: Column) -> Column:
     )
 
 
-def explode_spans(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per span with its place in the document's list."""
-    return df.select(key, F.posexplode("spans").alias("pos", "span")).select(
-        key, "pos", "span.*"
-    )
-
-
 def span_report(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """One printable row per span."""
     return explode_spans(df, key).select(
