@@ -1,8 +1,9 @@
 """Each distinct request is scored once and repeats are marked.
 
 Requests carry a unique ``req_id`` that grows in order of arrival.  Texts are
-compared by fingerprint, so only 64 characters per request are grouped; the
-text itself moves at most once, for the requests that are scored.
+compared by fingerprint.  One pass over the texts writes ``req_id, fp``; all
+grouping and marking reads that narrow table, and the texts are read once more
+for the requests that are scored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from inkbar.functions.keys import exact_fingerprint
 from inkbar.functions.spans import computed_once, no_spans
 from inkbar.operators.detect import request_options
 from inkbar.operators.skew import join_hot
+from inkbar.plans.scratch import written
 
 
 def with_fingerprint(requests: DataFrame) -> DataFrame:
@@ -31,38 +33,43 @@ def with_fingerprint(requests: DataFrame) -> DataFrame:
     )
 
 
-def first_requests(requests: DataFrame) -> DataFrame:
+def fingerprints(requests: DataFrame) -> DataFrame:
+    """``req_id, fp`` of every request, written once."""
+    return written(with_fingerprint(requests).select("req_id", "fp"), "fingerprints")
+
+
+def first_requests(keys: DataFrame) -> DataFrame:
     """Per fingerprint the first request and the number of requests.
 
     A sum and a minimum over short keys: combined before the shuffle, so a text
     that makes up a third of all requests costs one row per task.
     """
-    return (
-        with_fingerprint(requests)
-        .groupBy("fp")
-        .agg(F.min("req_id").alias("first_id"), F.count("*").alias("n"))
+    return keys.groupBy("fp").agg(F.min("req_id").alias("first_id"), F.count("*").alias("n"))
+
+
+def _marks(keys: DataFrame, firsts: DataFrame) -> DataFrame:
+    """A request is first if its id is its fingerprint's smallest.  That is a join
+    on the unique id, so no fingerprint's rows ever meet in one task."""
+    first_ids = firsts.select(F.col("first_id").alias("req_id"), F.lit(False).alias("_repeat"))
+    return keys.join(first_ids, "req_id", "left").select(
+        "req_id", "fp", F.coalesce("_repeat", F.lit(True)).alias("cached")
     )
 
 
 def mark_cached(requests: DataFrame) -> DataFrame:
-    """``req_id, fp, cached``: true from the second request of a fingerprint on.
+    """``req_id, fp, cached``: true from the second request of a fingerprint on."""
+    keys = fingerprints(requests)
+    return _marks(keys, first_requests(keys))
 
-    A request is first if its id is its fingerprint's smallest.  That is a join
-    on the unique id, so no fingerprint's rows ever meet in one task.
-    """
-    firsts = first_requests(requests).select("first_id", F.lit(False).alias("_repeat"))
-    keys = with_fingerprint(requests).select("req_id", "fp")
-    return keys.join(firsts, keys.req_id == firsts.first_id, "left").select(
-        "req_id", "fp", F.coalesce("_repeat", F.lit(True)).alias("cached")
-    )
+
+def _distinct(requests: DataFrame, firsts: DataFrame) -> DataFrame:
+    wanted = firsts.select(F.col("first_id").alias("req_id"), "fp")
+    return requests.join(wanted.hint("shuffle_hash"), "req_id")
 
 
 def distinct_requests(requests: DataFrame) -> DataFrame:
     """The first request of every fingerprint, with its text and options."""
-    firsts = first_requests(requests).select(F.col("first_id").alias("req_id"))
-    return with_fingerprint(requests).join(
-        firsts.hint("shuffle_hash"), "req_id", "left_semi"
-    )
+    return _distinct(requests, first_requests(fingerprints(requests)))
 
 
 def detect_distinct_once(
@@ -73,10 +80,13 @@ def detect_distinct_once(
     ``detect`` adds a ``spans`` column.  Only documents that have spans take part
     in the join back; the others get an empty array.
     """
-    scored = detect(distinct_requests(requests)).select("fp", "spans")
+    keys = fingerprints(requests)
+    firsts = written(first_requests(keys), "firsts")
+    scored = detect(_distinct(requests, firsts)).select("fp", "spans")
     found = computed_once(scored, "spans").filter(F.size("spans") > 0)
-    counts = first_requests(requests).select("fp", "n")
-    joined = join_hot(mark_cached(requests), found, "fp", "req_id", counts)
+    joined = join_hot(
+        _marks(keys, firsts), found, "fp", "req_id", firsts.select("fp", "n")
+    )
     return joined.select(
         "req_id", "fp", F.coalesce("spans", no_spans()).alias("spans"), "cached"
     )
@@ -84,7 +94,8 @@ def detect_distinct_once(
 
 def cache_stats(requests: DataFrame) -> DataFrame:
     """One row: distinct results, repeats, and first requests."""
-    return first_requests(requests).agg(
+    keys = with_fingerprint(requests).select("req_id", "fp")
+    return first_requests(keys).agg(
         F.count("*").alias("size"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("hits"),
         F.count("*").alias("misses"),

@@ -11,28 +11,34 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
     """At most ``HOT_SHARE`` rows: hot keys and how many lanes each is split in.
 
-    ``counts`` has one row per key.  Lanes are chosen so that each holds about
-    1 / HOT_SHARE of all rows.
+    ``counts`` (``key, n``) saves the counting where it is known.  Lanes are
+    chosen so that each holds about 1 / HOT_SHARE of all rows.
     """
-    total = counts.agg(F.sum(n)).scalar()
-    share = F.col(n) * F.lit(HOT_SHARE) / total
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*")).scalar()
+    share = F.col("n") * F.lit(HOT_SHARE) / total
     return counts.filter(share > 1).select(
         key, F.ceil(share).cast("int").alias("_lanes")
     )
 
 
 def join_hot(
-    many: DataFrame, one: DataFrame, key: str, row_id: str, counts: DataFrame
+    many: DataFrame,
+    one: DataFrame,
+    key: str,
+    row_id: str,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left join of ``many`` rows to ``one`` row per key, hot keys split in lanes.
 
     The rows of a hot key are spread over its lanes and its single partner row is
     repeated once per lane: at most 2 * HOT_SHARE extra rows in total.
     """
-    hot = F.broadcast(hot_keys(counts, key))
+    hot = F.broadcast(hot_keys(many, key, counts))
     left = many.join(hot, key, "left").withColumn(
         "_lane",
         F.coalesce(

@@ -15,7 +15,7 @@ from inkbar.operators.detect import detect_pii, pii_spans
 from inkbar.operators.model import Predictor
 from inkbar.operators.span_rows import essential_spans
 from inkbar.operators.validate import Options, validate_requests
-from inkbar.sources.text import attach_external_spans
+from inkbar.sources.text import attach_external_spans, with_text_length
 
 
 def _option(df: DataFrame, name: str) -> Column:
@@ -89,9 +89,8 @@ def redact_with_external_spans(
     Spans that cannot change the result are dropped before the spans of a
     document are gathered, so one document may hold most of the table.
     """
-    lengths = docs.select(key, F.length("text").alias("_n"))
     inside = (
-        spans.join(lengths, key)
+        with_text_length(docs, spans, key, order)
         .filter("start >= 0 and start <= end and end <= _n and not isnan(score)")
         .drop("_n")
     )

@@ -196,10 +196,12 @@ def _human_bytes(spark, sf):
 # -- span algebra ----------------------------------------------------------
 def _model_span_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as span rows: some touch, some overlap, some stand apart."""
-    return table(
-        spark, sf, "lineitem",
-        "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_discount", "l_returnflag",
+    return spread(
+        table(
+            spark, sf, "lineitem",
+            "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "l_discount", "l_returnflag",
+        )
     ).selectExpr(
         "l_orderkey as doc_id",
         "concat('kind_', l_returnflag) as entity",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkbar import schema as S
 from inkbar.functions.redact import cut_spans
 from inkbar.functions.spans import let, no_spans, span
+from inkbar.operators.skew import join_hot
 from inkbar.operators.validate import file_checks, oversized_file, with_verdict
 
 # The file endings accepted besides a text/* media type.
@@ -144,21 +145,29 @@ def attach_external_spans(
     ).drop("_external")
 
 
-def reject_external_spans(
-    docs: DataFrame, spans: DataFrame, key: str = "doc_id"
+def with_text_length(
+    docs: DataFrame, spans: DataFrame, key: str = "doc_id", order: str = "ord"
 ) -> DataFrame:
-    """Supplied spans that do not lie inside their document, with a reason.
+    """Span rows plus ``_n``, the length of their document; null without one.
 
-    Only the length of each text takes part in the join, not the text.
+    Only the length of each text takes part in the join, not the text, and a
+    document that holds a large share of the spans is split over many tasks.
     """
-    lengths = docs.select(key, F.length("text").alias("_n"))
-    judged = spans.join(lengths, key, "left")
+    lengths = docs.select(key, F.coalesce(F.length("text"), F.lit(-1)).alias("_n"))
+    return join_hot(spans, lengths, key, order)
+
+
+def reject_external_spans(
+    docs: DataFrame, spans: DataFrame, key: str = "doc_id", order: str = "ord"
+) -> DataFrame:
+    """Supplied spans that do not lie inside their document, with a reason."""
     inside = span_is_valid(
         F.struct(F.col("start"), F.col("end"), F.col("score").cast("double").alias("score")),
         F.col("_n"),
     )
     return (
-        judged.filter(~inside)
+        with_text_length(docs, spans, key, order)
+        .filter(~inside)
         .withColumn("status", F.lit(422))
         .withColumn(
             "reason",
