@@ -7,6 +7,7 @@ from pyspark import cloudpickle
 from inkbar.functions.redact import highlight_html, redact, segment_text
 from inkbar.functions.rules import make_rule
 from inkbar.functions.scan import ru_postpass
+from inkbar.functions.sql import register_sql_functions
 from inkbar.operators.detect import detect_pii, detect_regex_only, pii_spans
 from inkbar.operators.model import detect_batch, detect_one
 from inkbar.operators.validate import Options, validate_requests
@@ -31,6 +32,7 @@ __all__ = [
     "pii_spans",
     "redact",
     "redact_with_external_spans",
+    "register_sql_functions",
     "ru_postpass",
     "run",
     "segment_text",

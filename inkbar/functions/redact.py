@@ -37,9 +37,13 @@ _TAIL = _cut(
 )
 
 
-def _render(body: str, **inputs: Column) -> Column:
+def _rendered(body: str) -> str:
     """``body`` over ``blocks`` of the text and the ``kept`` spans."""
-    return Q.apply(Q.let(_BLOCKS_OF, "blocks", Q.let(Q.sweep("v.spans"), "kept", body)), **inputs)
+    return Q.let(_BLOCKS_OF, "blocks", Q.let(Q.sweep("v.spans"), "kept", body))
+
+
+def _render(body: str, **inputs: Column) -> Column:
+    return Q.apply(_rendered(body), **inputs)
 
 
 def cut_spans(text: Column, spans: Column) -> Column:
@@ -54,6 +58,21 @@ def _column(value: Column | str | None) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("string")
 
 
+def redact_body() -> str:
+    """SQL text of the redaction over ``v.text``, ``v.spans``, ``v.mask``, ``v.fixed``."""
+    drawn = (
+        "coalesce(repeat(v.mask, s.end - s.start), v.fixed, concat('[', upper(s.entity), ']'))"
+    )
+    pieces = f"transform(kept, (s, i) -> concat({_GAP}, {drawn}))"
+    done = _rendered(f"concat(array_join({pieces}, ''), {_TAIL})")
+    return (
+        "case when v.text is null or v.spans is null or size(v.spans) = 0 then v.text "
+        "when length(v.mask) <> 1 then "
+        "cast(raise_error('mask_char must be a single character') as string) "
+        f"else {done} end"
+    )
+
+
 def redact(
     text: Column,
     spans: Column,
@@ -67,26 +86,13 @@ def redact(
     empty placeholder deletes the span.  Spans that begin inside one already
     replaced are skipped.
     """
-    mask = _column(mask_char)
-    drawn = (
-        "coalesce(repeat(v.mask, s.end - s.start), v.fixed, concat('[', upper(s.entity), ']'))"
-    )
-    pieces = f"transform(kept, (s, i) -> concat({_GAP}, {drawn}))"
-    done = _render(
-        f"concat(array_join({pieces}, ''), {_TAIL})",
+    return Q.apply(
+        redact_body(),
         text=text,
         spans=spans,
-        mask=mask,
+        mask=_column(mask_char),
         fixed=_column(placeholder),
     )
-    return (
-        F.when(text.isNull() | (F.size(F.coalesce(spans, no_spans())) == 0), text)
-        .when(
-            F.length(mask) != 1,
-            F.raise_error(F.lit("mask_char must be a single character")).cast("string"),
-        )
-        .otherwise(done)
-    )
 
 
 def segment_text(text: Column, spans: Column) -> Column:

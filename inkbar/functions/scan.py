@@ -121,32 +121,16 @@ def _piece_spans(rules: tuple[Rule, ...], before: str, by_row: bool) -> str:
     )
 
 
-def scan_rules(
-    text: Column,
-    rules: tuple[Rule, ...],
-    existing: Column | None = None,
-    strict: Column | None = None,
-    merge: bool = False,
-) -> Column:
-    """Spans the rules add to ``existing``, sorted by start.
-
-    Rules are tried in order and their matches from left to right.  A match is
-    dropped as a whole if it overlaps an existing span or an accepted match.
-    ``strict`` chooses per row between the rules of the two modes.  ``merge``
-    returns the existing spans too.
-    """
-    inputs = {"text": text}
-    if existing is not None:
-        inputs["existing"] = F.coalesce(existing, no_spans())
-    if strict is not None:
-        inputs["strict"] = strict
-    by_row = strict is not None
+def scan_body(
+    rules: tuple[Rule, ...], with_existing: bool, by_row: bool, merge: bool
+) -> str:
+    """SQL text of the scan over ``v.text``, ``v.existing`` and ``v.strict``."""
 
     def shifted(spans: str, by: str, text: str = "s.text") -> str:
         moved = Q.span("s.entity", text, f"s.start + {by}", f"s.end + {by}", "s.score")
         return f"transform({spans}, s -> {moved})"
 
-    if existing is None:
+    if not with_existing:
         found = _piece_spans(rules, Q.NO_SPANS, by_row)
     else:
         near = "filter(v.existing, s -> s.end > base and s.start < stop)"
@@ -183,9 +167,31 @@ def scan_rules(
         f"named_struct('base', 0, 'out', {Q.NO_SPANS}), (acc0, piece) -> {in_piece}).out",
     )
     found = Q.let("contains(v.text, char(1))", "has_mark", whole)
-    if merge and existing is not None:
+    if merge and with_existing:
         found = f"concat(v.existing, {found})"
-    body = f"if(v.text is null, {Q.NO_SPANS}, {Q.sort_spans(found)})"
+    return f"if(v.text is null, {Q.NO_SPANS}, {Q.sort_spans(found)})"
+
+
+def scan_rules(
+    text: Column,
+    rules: tuple[Rule, ...],
+    existing: Column | None = None,
+    strict: Column | None = None,
+    merge: bool = False,
+) -> Column:
+    """Spans the rules add to ``existing``, sorted by start.
+
+    Rules are tried in order and their matches from left to right.  A match is
+    dropped as a whole if it overlaps an existing span or an accepted match.
+    ``strict`` chooses per row between the rules of the two modes.  ``merge``
+    returns the existing spans too.
+    """
+    inputs = {"text": text}
+    if existing is not None:
+        inputs["existing"] = F.coalesce(existing, no_spans())
+    if strict is not None:
+        inputs["strict"] = strict
+    body = scan_body(rules, existing is not None, strict is not None, merge)
     return Q.apply(body, **inputs)
 
 

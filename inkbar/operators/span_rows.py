@@ -23,18 +23,24 @@ def overlap_counts(
     ordered: a document contributes at most one row per text position, however
     many spans it has.  Candidates must not be empty spans.
     """
-    starts = existing.groupBy(key, F.col("start").alias("at")).agg(F.count("*").alias("s"))
-    ends = existing.groupBy(key, F.col("end").alias("at")).agg(F.count("*").alias("e"))
     # A candidate's end looks at starts strictly before it, its start at ends up
     # to and including it.
-    asked = candidates.select(
-        key, F.explode(F.array("start", "end")).alias("at")
-    ).distinct()
-    zero, no, yes = F.lit(0).cast("long"), F.lit(False), F.lit(True)
+    def place(at: str, s: int, e: int, asked: bool) -> Column:
+        return F.struct(
+            F.col(at).alias("at"),
+            F.lit(s).cast("long").alias("s"),
+            F.lit(e).cast("long").alias("e"),
+            F.lit(asked).alias("asked"),
+        )
+
+    def places(df: DataFrame, *of: Column) -> DataFrame:
+        return df.select(key, F.inline(F.array(*of)))
+
     marks = (
-        starts.select(key, "at", "s", zero.alias("e"), no.alias("asked"))
-        .unionByName(ends.select(key, "at", zero.alias("s"), "e", no.alias("asked")))
-        .unionByName(asked.select(key, "at", zero.alias("s"), zero.alias("e"), yes.alias("asked")))
+        places(existing, place("start", 1, 0, False), place("end", 0, 1, False))
+        .unionByName(
+            places(candidates, place("start", 0, 0, True), place("end", 0, 0, True))
+        )
         .groupBy(key, "at")
         .agg(F.sum("s").alias("s"), F.sum("e").alias("e"), F.max("asked").alias("asked"))
     )

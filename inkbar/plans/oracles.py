@@ -232,6 +232,7 @@ _CARD = _q(f"(^|{_NOT_WORD})({_CARD_PLAIN})($|{_NOT_WORD})")
 ORACLES["redact_mask"] = f"""SELECT doc_id, regexp_replace(
   regexp_replace(text, {_CARD}, {_STARS}), {_CARD}, {_STARS}) AS redacted FROM documents"""
 ORACLES["redact"] = f"WITH {_ON_DOCS} {redacted('a_src', _FOUND, _TAG)}"
+ORACLES["register_sql_functions"] = ORACLES["redact"]
 ORACLES["validate_options"] = """SELECT doc_id, CAST(length(text) AS INTEGER) AS n,
   CAST(length(text) AS INTEGER) AS n_before FROM documents"""
 

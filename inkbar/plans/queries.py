@@ -12,6 +12,7 @@ from inkbar.functions import redact as R
 from inkbar.functions import spans as A
 from inkbar.functions.keys import detect_fingerprint
 from inkbar.functions.rules import PART_RULES, make_rule
+from inkbar.functions.sql import register_sql_functions
 from inkbar.operators import dedup, metrics, span_rows
 from inkbar.operators import validate as V
 from inkbar.operators.detect import detect_part, detect_pii, detect_regex_only, pii_spans
@@ -421,6 +422,16 @@ def _extra_rules(spark, sf):
     return found.select("doc_id", F.size(only).alias("n"))
 
 
+@query("register_sql_functions")
+def _register_sql_functions(spark, sf):
+    register_sql_functions(spark)
+    documents(spark, sf).createOrReplaceTempView("inkbar_documents")
+    return spark.sql(
+        "select doc_id, pii_redact(text, spans, null, null) as redacted, size(spans) as n_spans "
+        "from (select doc_id, text, pii_spans(text, false) as spans from inkbar_documents)"
+    )
+
+
 # -- validation ------------------------------------------------------------
 @query("reject_oversized_text")
 def _reject_oversized_text(spark, sf):
