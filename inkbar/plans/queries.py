@@ -275,15 +275,7 @@ def _drop_overlapping_existing_arrays(spark, sf):
 @query("resolve_overlaps")
 def _resolve_overlaps(spark, sf):
     """Greedy choice in the order of ``ord``, whatever the position."""
-    cell = F.struct(
-        F.col("ord").alias("i"),
-        A.span(F.col("entity"), F.col("text"), F.col("start"), F.col("end"), F.col("score")).alias("s"),
-    )
-    lists = (
-        _model_span_rows(spark, sf)
-        .groupBy("doc_id")
-        .agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c.s).alias("c"))
-    )
+    lists = sources.collect_spans(_model_span_rows(spark, sf), out="c", by_start=False)
     kept = lists.withColumn("spans", A.resolve_overlaps(F.col("c")))
     return A.explode_spans(kept).select("doc_id", "pos", "entity", "start", "end")
 

@@ -87,35 +87,40 @@ SPAN_BUCKET = 1024
 
 
 def collect_spans(
-    spans: DataFrame, key: str = "doc_id", order: str = "ord", out: str = "spans"
+    spans: DataFrame,
+    key: str = "doc_id",
+    order: str = "ord",
+    out: str = "spans",
+    by_start: bool = True,
 ) -> DataFrame:
     """Long span rows back to one array per document, sorted by start, then order.
 
-    Two levels: spans of one stretch of a document are gathered and sorted
-    first, then the stretches are strung together.  A document with very many
-    spans is thus spread over many tasks, and what the last step holds is the
-    finished row.
+    With ``by_start=False`` the order column alone decides.  Two levels: spans of
+    one stretch of a document are gathered and sorted first, then the stretches are
+    strung together.  A document with very many spans is thus spread over many
+    tasks, and what the last step holds is the finished row.
     """
     cell = F.struct(
-        F.col("start").cast("int").alias("k"),
+        (F.col("start") if by_start else F.lit(0)).cast("int").alias("k"),
         F.col(order).cast("long").alias("i"),
         span(F.col("entity"), F.col("text"), F.col("start"), F.col("end"), F.col("score")).alias("s"),
     )
-    stretch = F.floor(F.col("start") / SPAN_BUCKET).cast("int")
     stretches = (
-        spans.withColumn("_stretch", stretch)
+        spans.withColumn("_stretch", F.floor(F.col("start") / SPAN_BUCKET).cast("int"))
         .groupBy(key, "_stretch")
         .agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
     )
+    strung = F.flatten(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("_stretch", "_cells"))), lambda b: b["_cells"]
+        )
+    )
+    if not by_start:
+        strung = F.array_sort(strung)
     return (
         stretches.groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("_stretch", "_cells"))).alias("_all"))
-        .select(
-            key,
-            F.flatten(
-                F.transform("_all", lambda b: F.transform(b["_cells"], lambda c: c.s))
-            ).alias(out),
-        )
+        .agg(strung.alias("_all"))
+        .select(key, F.transform("_all", lambda c: c.s).alias(out))
     )
 
 
