@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkbar.functions import sqltext as Q
 from inkbar.functions.spans import no_spans
 
-BLOCK_CHARS = 4096
+BLOCK_CHARS = 1024
 _BLOCKS = f"(?s).{{1,{BLOCK_CHARS}}}"
 
 
@@ -24,10 +24,13 @@ _BLOCKS_OF = (
 def _cut(start: str, end: str) -> str:
     """Characters ``[start, end)`` of the text behind ``blocks``."""
     first = f"cast({start} div {BLOCK_CHARS} as int)"
-    many = f"cast({end} div {BLOCK_CHARS} as int) - {first} + 1"
+    last = f"cast(({end} - 1) div {BLOCK_CHARS} as int)"
+    offset = f"{start} - {first} * {BLOCK_CHARS} + 1"
+    many = f"slice(blocks, {first} + 1, {last} - {first} + 1)"
     return (
-        f"if({end} <= {start}, '', substring(array_join(slice(blocks, {first} + 1, {many}), ''), "
-        f"{start} - {first} * {BLOCK_CHARS} + 1, {end} - {start}))"
+        f"case when {end} <= {start} then '' "
+        f"when {first} = {last} then substring(coalesce(get(blocks, {first}), ''), {offset}, {end} - {start}) "
+        f"else substring(array_join({many}, ''), {offset}, {end} - {start}) end"
     )
 
 

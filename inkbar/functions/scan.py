@@ -89,14 +89,22 @@ def _marked(rule: Rule, by_row: bool) -> str:
 
 def _matches() -> str:
     """Spans of the marked matches ``m`` of one piece, left to right."""
-    parts = (
-        "transform(split(m.marked, char(1), -1), "
-        "(t, i) -> named_struct('t', t, 'hit', i % 2 = 1))"
+    ends = Q.fold_blocks(
+        "parts",
+        "0",
+        "array<int>",
+        "x",
+        "acc.s + length(x)",
+        "array(acc.s + length(x))",
     )
-    end = "acc.s + length(x.t)"
-    hit = Q.span("m.entity", "x.t", "acc.s", end, f"{S.RULE_SCORE}D")
-    return Q.fold_blocks(
-        parts, "0", S.SPANS_DDL, "x", end, f"if(x.hit, array({hit}), {Q.NO_SPANS})"
+    hit = Q.span("m.entity", "parts[j]", "ends[j - 1]", "ends[j]", f"{S.RULE_SCORE}D")
+    hits = Q.let(
+        ends, "ends", f"transform(sequence(1, size(parts) - 1, 2), j -> {hit})"
+    )
+    return Q.let(
+        "split(m.marked, char(1), -1)",
+        "parts",
+        f"if(size(parts) < 3, {Q.NO_SPANS}, {hits})",
     )
 
 
@@ -150,21 +158,16 @@ def scan_body(
     placed = Q.let(
         found, "found", f"if(has_mark, {restored}, {shifted('found', 'base')})"
     )
-    in_piece = Q.let(
-        "acc0.base",
-        "base",
-        Q.let(
-            "base + length(piece)",
-            "stop",
-            f"named_struct('base', stop, 'out', concat(acc0.out, {placed}))",
-        ),
+    in_piece = Q.let("bases[n]", "base", Q.let("base + length(piece)", "stop", placed))
+    bases = Q.fold_blocks(
+        "pieces", "0", "array<int>", "q", "acc.s + length(q)", "array(acc.s)"
     )
     scan_text = "if(has_mark, replace(v.text, char(1), char(2)), v.text)"
+    pieces = Q.let(scan_text, "scanned", _text_pieces("scanned", all(r.cuttable for r in rules)))
     whole = Q.let(
-        scan_text,
-        "scanned",
-        f"aggregate({_text_pieces('scanned', all(r.cuttable for r in rules))}, "
-        f"named_struct('base', 0, 'out', {Q.NO_SPANS}), (acc0, piece) -> {in_piece}).out",
+        pieces,
+        "pieces",
+        Q.let(bases, "bases", f"flatten(transform(pieces, (piece, n) -> {in_piece}))"),
     )
     found = Q.let("contains(v.text, char(1))", "has_mark", whole)
     if merge and with_existing:

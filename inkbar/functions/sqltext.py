@@ -58,9 +58,9 @@ def fold_blocks(
 ) -> str:
     """Fold ``items`` from left to right, collecting an array of type ``out``.
 
-    ``next_state`` and ``more`` speak of ``acc.s`` and ``item``.  Appending to an
-    array copies it, so the output grows in blocks of ``BLOCK`` items that are
-    joined afterwards.
+    ``next_state`` and ``more`` speak of ``acc.s`` and ``item``.  Every step of a
+    fold copies what it carries, so the output should be plain numbers or flags,
+    and it grows in blocks of ``BLOCK`` items that are joined afterwards.
     """
     empty = f"cast(array() as {out})"
     one = f"named_struct('s', {next_state}, 'out', concat(acc.out, {more}))"
@@ -85,11 +85,16 @@ def sort_spans(spans: str) -> str:
 
 def sweep(spans: str) -> str:
     """Spans in order, without those that begin inside a kept one."""
-    return fold_blocks(
-        sort_spans(spans),
+    keep = fold_blocks(
+        "ordered",
         "0",
-        SPANS_DDL,
+        "array<boolean>",
         "x",
         "if(x.start < acc.s, acc.s, x.end)",
-        f"if(x.start < acc.s, {NO_SPANS}, array(x))",
+        "array(x.start >= acc.s)",
+    )
+    return let(
+        sort_spans(spans),
+        "ordered",
+        let(keep, "keep", "filter(ordered, (s, i) -> keep[i])"),
     )
