@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbar.llm import language, mixing, ngram_join, sharding
+from inkbar.llm import language, mixing, ngram_join, sharding, templates
 from inkbar.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,12 @@ def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return templates.decontaminate(
+        _docs(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
+    )
+
+
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf).select("doc_id", "text")
     return sharding.place(docs).select("doc_id", "shard")
@@ -40,6 +46,7 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op4_ngram_join": op4_ngram_join,
+    "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
     "op10_language_id": op10_language_id,
