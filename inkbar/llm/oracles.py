@@ -39,4 +39,22 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 FROM placed
 """
 
-ORACLES: dict[str, str] = {"op8_mixing": MIXING}
+CONTENT = r"""
+WITH n AS (
+  SELECT doc_id, coalesce(length(text), 0) AS points,
+    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id,
+  first_value(doc_id) OVER w AS keep_id,
+  count(*) OVER (PARTITION BY text_sha256) AS group_size,
+  row_number() OVER w = 1 AS kept,
+  text_sha256
+FROM n
+WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST)
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": CONTENT,
+    "op8_mixing": MIXING,
+}

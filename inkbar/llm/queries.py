@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbar.llm import language, mixing, ngram_join, sharding, templates
+from inkbar.llm import content_sort, language, mixing, ngram_join, sharding, templates
 from inkbar.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return content_sort.content_groups(_docs(spark, sf))
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return templates.decontaminate(
         _docs(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
@@ -46,6 +50,7 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op4_ngram_join": op4_ngram_join,
+    "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
