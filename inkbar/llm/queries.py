@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbar.llm import content_sort, language, mixing, ngram_join, sharding, templates
+from inkbar.llm import content_sort, language, mixing, ngram_join, sharding, templates, warc
 from inkbar.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,13 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    archive = warc.write(spark.read.parquet(f"{sf}/pages.parquet"))
+    return warc.read_back(archive, payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.ngram_join(_docs(spark, sf)).select(
         "doc_id", "class_id", "copy_of", "n_links"
@@ -49,6 +56,7 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
     "op4_ngram_join": op4_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
