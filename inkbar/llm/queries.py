@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbar.llm import content_sort, language, mixing, ngram_join, sharding, templates, warc
+from inkbar.llm import content_sort, language, mixing, ngram_join, sharding, templates, toxicity, warc
 from inkbar.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.classify(_docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.ngram_join(_docs(spark, sf)).select(
         "doc_id", "class_id", "copy_of", "n_links"
@@ -57,6 +61,7 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op3_toxicity": op3_toxicity,
     "op4_ngram_join": op4_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
