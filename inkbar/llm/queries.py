@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbar.llm import content_sort, language, mixing, ngram_join, sharding, templates, toxicity, warc
+from inkbar.llm import content_sort, disclosure, language, mixing, ngram_join, sharding, templates, toxicity, warc
 from inkbar.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,21 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_disclosure(spark: SparkSession, sf: str) -> DataFrame:
+    found = disclosure.detect(_docs(spark, sf))
+    of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    every = F.array_sort(F.concat("base", "extra"))
+    return found.select(
+        "doc_id",
+        of(0).alias("n_email"),
+        of(1).alias("n_ip"),
+        of(2).alias("n_card"),
+        of(3).alias("n_phone"),
+        F.sha2(disclosure.spelled(F.col("base")), 256).alias("base_sha256"),
+        disclosure.spelled(every).alias("spans"),
+    )
+
+
 def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(_docs(spark, sf))
 
@@ -67,5 +82,6 @@ QUERIES: dict[str, Query] = {
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
+    "op9_disclosure": op9_disclosure,
     "op10_language_id": op10_language_id,
 }
