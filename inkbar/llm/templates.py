@@ -159,6 +159,8 @@ class Index:
         low = np.searchsorted(self.hash, hashes[near], side="left")
         n = np.searchsorted(self.hash, hashes[near], side="right") - low
         near, low, n = near[n > 0], low[n > 0], n[n > 0]
+        if not len(near):
+            return []
         entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         window = np.repeat(near, n)
         row = np.searchsorted(at, window, side="right") - 1
