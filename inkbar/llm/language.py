@@ -33,6 +33,7 @@ EMBEDDING = 8
 PER_LANGUAGE = 1500
 EPOCHS = 8
 LEAST_SCORE = 0.3
+MOST_LABELS = 200
 UNKNOWN = "und"
 _BLANK = 32
 
@@ -180,6 +181,23 @@ class Scorer:
         return mean / mean.sum(axis=1, keepdims=True)
 
 
+def thinned(rows: DataFrame, by: str, order: Column, n: int) -> DataFrame:
+    """``rows`` thinned to about 4 * ``n`` for each value of ``by``, those of least ``order``.
+
+    Values with fewer rows keep all.  What is ranked afterwards is so bounded by the
+    number of labels, of which there may be ``MOST_LABELS``.
+    """
+    counts = rows.groupBy(by).count().limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"{by} has more than {MOST_LABELS} values")
+    keep = F.lit(False)
+    for r in counts:
+        part = min(1.0, (4 * n + 100) / r["count"])
+        share = F.lit(True) if part == 1 else order < int(-(2**63) + part * 2**64)
+        keep = F.when(F.col(by) == r[by], share).otherwise(keep)
+    return rows.filter(keep)
+
+
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
     """One window of at most ``WINDOW`` characters of each sampled labelled document.
 
@@ -189,7 +207,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[byte
         F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     ).cast("int")
     drawn = (
-        docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+        thinned(docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")), "lang", F.xxhash64("text"), per_language)
         .select("lang", F.xxhash64("text").alias("order"), F.lower(F.substring("text", place + 1, WINDOW)).alias("part"))
         .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "part")))
         .filter(F.col("n") <= per_language)

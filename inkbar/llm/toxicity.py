@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkbar.llm.kernel import LETTERS, Tokens, lower, pieces, text_bytes
-from inkbar.llm.language import fold
+from inkbar.llm.language import fold, thinned
 
 WINDOW = 32
 STRIDE = 24
 LETTERS_OF = 20  # bytes of a token; longer words are several tokens
-PER_CLASS = 2000
+PER_CLASS = 3000
 LONGEST = 4000
 EPOCHS = 8
 ALARM = 4  # a clean text called toxic costs as much as this many missed ones
@@ -314,15 +314,18 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Network:
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """``text, toxic`` of at most ``per_class`` documents of each label, by a hash of their id."""
+    known = (
+        labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    )
     drawn = (
-        labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        thinned(known, "toxic", F.xxhash64("doc_id"), per_class)
         .withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
         .filter(F.col("n") <= per_class).select("doc_id", "toxic")
     )
     # two labels, per_class rows each: the bound of the broadcast
     return (
         docs.filter(F.length("text").between(1, LONGEST)).select("doc_id", "text")
-        .join(F.broadcast(drawn.filter("toxic in (0, 1)")), "doc_id")
+        .join(F.broadcast(drawn), "doc_id")
     )
 
 
