@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkbar.llm.kernel import LETTERS, Tokens, lower, pieces, text_bytes
+from inkbar.llm.rows import boxed
 from inkbar.plans.scratch import written
 
 NEAR = 12
@@ -280,16 +281,16 @@ def rewrite(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``sanitised``."""
+    """``docs`` and a column ``sanitised`` after them."""
     found = (
         detect(docs).dropDuplicates(["doc_id", "tkey"])
         .select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), F.concat("base", "extra").alias("_spans"))
     )
-    keyed = docs.withColumn("_key", F.md5("text"))
-    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left")
+    keyed = boxed(docs, doc_id=F.col("doc_id"), text=F.col("text"), key=F.md5("text"))
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_t")), "left")
 
     @F.udf("string")
     def rewritten(text, spans):
         return rewrite(text, [(x["start"], x["kind"], x["end"]) for x in spans or []])
 
-    return joined.select(*docs.columns, rewritten("text", "_spans").alias("sanitised"))
+    return joined.select("row.*", rewritten("text", "_spans").alias("sanitised"))

@@ -226,9 +226,17 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
 
 def predict(docs: DataFrame, net: Network | None, *keep: str) -> DataFrame:
     """The columns ``keep`` of docs, and ``lang_pred, score`` from the text alone."""
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    told = _told(docs, net, keep)
+    return told.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+
+
+def _told(docs: DataFrame, net: Network | None, keep: tuple[str, ...]) -> DataFrame:
+    """As ``predict``, with the columns ``keep`` named c0, c1, ..."""
+    place = [f"c{i}" for i in range(len(keep))]
+    held = [F.col(f"`{c}`").alias(p) for c, p in zip(keep, place)]
+    fields = [f"{p} {docs.schema[c].dataType.simpleString()}" for c, p in zip(keep, place)]
     if net is None:
-        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*held, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
@@ -240,15 +248,15 @@ def predict(docs: DataFrame, net: Network | None, *keep: str) -> DataFrame:
             best = means.argmax(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c) for c in keep),
+                    *(batch.column(p) for p in place),
                     pa.array(np.where(letters, labels[best], UNKNOWN), pa.string()),
                     pa.array(np.where(letters, means[np.arange(len(best)), best], 0.0), pa.float64()),
                 ],
-                names=[*keep, "lang_pred", "score"],
+                names=[*place, "lang_pred", "score"],
             )
 
     return docs.select(
-        *keep, F.col("text").alias("_text"), F.col("text").rlike(r"\p{L}").alias("_letters")
+        *held, F.col("text").alias("_text"), F.col("text").rlike(r"\p{L}").alias("_letters")
     ).mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
 
 
@@ -256,12 +264,12 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``; fold ``held`` of ``folds`` teaches nothing."""
     held_out = fold(F.col("doc_id"), folds) == held
     net = train(docs.filter(~held_out))
-    return predict(docs.withColumn("held_out", held_out), net, "doc_id", "held_out")
+    return predict(docs.select("doc_id", "text", held_out.alias("held_out")), net, "doc_id", "held_out")
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is told with a score of ``least`` or more."""
-    net = train(docs)
-    return predict(docs, net, *docs.columns).filter(
-        (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
-    ).select(docs.columns)
+    told = _told(docs, train(docs), tuple(docs.columns))
+    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns))
+    )

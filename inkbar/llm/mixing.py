@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkbar.llm.rows import boxed, unboxed
 from inkbar.plans.scratch import written
 
 WEIGHTS = (3, 1, 2)
@@ -161,14 +162,14 @@ def mixed_rows(
         .agg(F.max(F.expr("taken div size")).alias("_times"))
         .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("tkey").alias("_t"), "_times")
     )
-    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
-    return (
+    keyed = boxed(
+        docs, doc_id=F.col("doc_id"), source=F.col("source"), key=F.md5(F.coalesce("text", F.lit("")))
+    )
+    return unboxed(
         keyed.join(
             chosen,
             F.col("doc_id").eqNullSafe(F.col("_d"))
             & F.col("source").eqNullSafe(F.col("_s"))
-            & (F.col("_key") == F.col("_t")),
-        )
-        .withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-        .select(docs.columns)
+            & (F.col("key") == F.col("_t")),
+        ).select("row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
     )

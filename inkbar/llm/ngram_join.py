@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from inkbar.llm.components import components
 from inkbar.llm.kernel import NOT_SPACE, Tokens, lower, mix, pieces, text_bytes, windows
+from inkbar.llm.rows import boxed, unboxed
 from inkbar.plans.scratch import written
 
 SHINGLE = 5
@@ -110,7 +111,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 schema=schema,
             )
 
-    keyed = docs.select("doc_id", "text", F.md5("text").alias("tkey"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5("text").alias("tkey"))
     return keyed.mapInArrow(run, "doc_id long, tkey string, set_key string, bands array<long>")
 
 
@@ -228,7 +229,7 @@ def ngram_join(
             "n_blocks", F.expr("cast(pmod(xxhash64(set_key), n_blocks) as int)").alias("block"),
         )
     )
-    texts = docs.select("doc_id", "text", F.md5("text").alias("tkey"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5("text").alias("tkey"))
     chosen = (
         texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t")))
         .select("text", "set_key", "copies", "label", "n_blocks", "block")
@@ -301,11 +302,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         stays.groupBy("class_id").agg(F.min(rank).alias("r"), F.count("*").alias("n"))
         .select(F.col("class_id").alias("_d"), F.col("r.tkey").alias("_t"), "n")
     )
-    keyed = docs.withColumn("_key", F.md5("text"))
-    alone = keyed.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    rest = keyed.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(
-        heads, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t"))
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = boxed(docs, doc_id=F.col("doc_id").cast("long"), key=F.md5("text"), words=words)
+    rest = keyed.filter("words").join(
+        heads, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_t"))
     )
-    single = rest.filter("n = 1").select(docs.columns)
-    repeated = rest.filter("n > 1").dropDuplicates(["doc_id", "_key"]).select(docs.columns)
-    return single.unionByName(repeated).unionByName(alone.select(docs.columns))
+    single = rest.filter("n = 1")
+    repeated = rest.filter("n > 1").dropDuplicates(["doc_id", "key"])
+    return unboxed(single.union(repeated).select("row").union(keyed.filter("not words").select("row")))

@@ -8,7 +8,8 @@ A document's slot is a hash of its id; the table is broadcast, so placing is one
 lookup.  Its size is a parameter and does not depend on the data.
 
 Defined cases: null ids are placed by their text, null in both by the hash of an empty string; equal rows
-go to one shard.  Empty tables give empty results; extra columns are kept.
+go to one shard.  Empty tables give empty results; extra columns are kept, but
+a column ``shard`` is replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkbar.llm.rows import boxed
+
 SHARDS = 64
 SLOTS = 16_381
 
@@ -56,11 +59,8 @@ def place(docs: DataFrame, n_shards: int = SHARDS, slots: int = SLOTS) -> DataFr
     spark = docs.sparkSession
     lookup = spark.createDataFrame(list(enumerate(table)), "_slot long, shard int")
     key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
-    rows = docs.drop("shard").withColumn("_at", slot_of(key, slots))
-    return (
-        rows.join(F.broadcast(lookup), F.col("_at") == F.col("_slot"), "left")
-        .select(*(c for c in docs.columns if c != "shard"), "shard")
-    )
+    rows = boxed(docs.drop("shard"), at=slot_of(key, slots))
+    return rows.join(F.broadcast(lookup), F.col("at") == F.col("_slot"), "left").select("row.*", "shard")
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, lanes: int = 8) -> None:

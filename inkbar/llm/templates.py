@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkbar.llm.kernel import ALNUM, Tokens, lower, pieces, text_bytes, windows
+from inkbar.llm.rows import boxed, unboxed
 from inkbar.plans.scratch import written
 
 SHINGLE = 5
@@ -253,7 +254,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     none = F.array().cast("array<bigint>")
     return (
-        docs.select("doc_id", F.md5("text").alias("tkey"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("tkey"))
         .join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t")), "left")
         .select(
             "doc_id",
@@ -270,8 +271,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = written(
         leaks(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")), "leaks"
     )
-    return (
-        docs.withColumn("_key", F.md5("text"))
-        .join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left_anti")
-        .select(docs.columns)
+    keyed = boxed(docs, doc_id=F.col("doc_id").cast("long"), key=F.md5("text"))
+    return unboxed(
+        keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_t")), "left_anti")
     )
