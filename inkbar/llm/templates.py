@@ -93,7 +93,8 @@ def template(column: pa.Array) -> Template:
     begins[1:] |= stops[written_as.start[1:]] > stops[written_as.end[:-1]]
     long = tokens.end - tokens.start > bytes_of
     # more than MOST_NAMES capitals on end are a way of writing, not names
-    edge = np.flatnonzero(np.concatenate([[True], (capital[1:] != capital[:-1]) | first[1:], [True]]))
+    shout = capital | number
+    edge = np.flatnonzero(np.concatenate([[True], (shout[1:] != shout[:-1]) | first[1:], [True]]))
     run = np.repeat(np.diff(edge), np.diff(edge))
     name = capital & (run <= MOST_NAMES) & ~begins & ~number & long
     units = _unit_hashes()
@@ -119,12 +120,18 @@ class Index:
     def __init__(self, ids: list[int | None], texts: pa.Array):
         t = template(texts)
         hashes, at, useful = _windows(t)
+        # documents written without capitals, or in capitals only, show no names
+        flat = Template(t.plain, np.where(t.template == _NAME, t.plain, t.template), t.row)
+        flat_hashes, _, flat_useful = _windows(flat)
         item = np.repeat(np.arange(len(ids)), np.diff(at))
         place = np.arange(len(hashes)) - at[item]
-        order = np.argsort(hashes[useful], kind="stable")
-        self.hash = hashes[useful][order]
-        self.item, self.place = item[useful][order], place[useful][order]
-        self.n = np.bincount(item[useful], minlength=len(ids))
+        self.n = np.bincount(item[useful | flat_useful], minlength=len(ids))
+        other = flat_useful & (hashes != flat_hashes)
+        hashes = np.concatenate([hashes[useful], flat_hashes[other]])
+        order = np.argsort(hashes, kind="stable")
+        self.hash = hashes[order]
+        self.item = np.concatenate([item[useful], item[other]])[order]
+        self.place = np.concatenate([place[useful], place[other]])[order]
         self.need = np.minimum(NEED, np.ceil(COVER * self.n)).astype(np.int64)
         self.ids, self.t = ids, t
         self.maybe = np.zeros(1 << _BITS, dtype=bool)

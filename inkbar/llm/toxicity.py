@@ -287,8 +287,9 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Network:
         rows = np.concatenate([positive, hard, easy])
         y = np.concatenate([np.ones(len(positive)), np.zeros(len(hard) + len(easy))]).astype(np.float32)
         order = rng.permutation(len(rows))
-        for low in range(0, len(rows), 128):
-            part = order[low : low + 128]
+        batch = int(np.clip(len(rows) // 20, 16, 128))
+        for low in range(0, len(rows), batch):
+            part = order[low : low + batch]
             step += 1
             grads = net.gradients(words, window[rows[part]], y[part])
             for p, m, v, g in zip(net.parts(), first, second, grads):
