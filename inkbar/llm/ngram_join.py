@@ -9,7 +9,7 @@ Jaccard similarity of their sets reaches the threshold.
 2. Bands are shuffled by hash.  A band hash that several classes share ties them to
    its least class, so a bucket of n classes gives n - 1 rows, not n * n.
 3. Tied classes form candidate groups; each class's set is sent to its group
-   once.  Groups of more than ``BLOCK`` classes are cut in blocks, and each pair of
+   once (texts are read again, and a bitmap of fixed size tells most that are not needed).  Groups of more than ``BLOCK`` classes are cut in blocks, and each pair of
    blocks is one task group, so no group is gathered whole.
 4. Inside a pair of blocks all pairs are compared on their full sets by matrix
    products.  Out come a count of links for each class and a spanning forest of the links,
@@ -30,18 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkbar.llm.components import components
 from inkbar.llm.kernel import NOT_SPACE, Tokens, lower, mix, pieces, text_bytes, windows
 from inkbar.llm.rows import boxed, unboxed
+from inkbar.operators.skew import join_hot
 from inkbar.plans.scratch import written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 BLOCK = 128
+_BITS = 24
 
 
 def bands_for(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -79,7 +81,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         [
             ("doc_id", pa.int64()),
             ("tkey", pa.string()),
-            ("set_key", pa.string()),
+            ("set_key", pa.binary()),
             ("bands", pa.list_(pa.int64())),
         ]
     )
@@ -99,20 +101,20 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             hashes = [None] * batch.num_rows
             for j, i in enumerate(full.tolist()):
                 own = np.unique(grams[at[i] : at[i + 1]])
-                set_key[i] = hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest()
+                set_key[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                 hashes[i] = keys[j].view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
                     batch.column("tkey"),
-                    pa.array(set_key, pa.string()),
+                    pa.array(set_key, pa.binary()),
                     pa.array(hashes, pa.list_(pa.int64())),
                 ],
                 schema=schema,
             )
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5("text").alias("tkey"))
-    return keyed.mapInArrow(run, "doc_id long, tkey string, set_key string, bands array<long>")
+    return keyed.mapInArrow(run, "doc_id long, tkey string, set_key binary, bands array<long>")
 
 
 def _linked(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -139,7 +141,7 @@ def _linked(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.nd
 
 
 def _verify(threshold: float):
-    schema = pa.schema([("u", pa.string()), ("v", pa.string()), ("links", pa.int64())])
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("links", pa.int64())])
 
     def run(key, table):
         table = table.combine_chunks()
@@ -176,8 +178,8 @@ def _verify(threshold: float):
         some = np.flatnonzero(links)
         return pa.table(
             [
-                pa.array(u + [ids[i] for i in some], pa.string()),
-                pa.array(v + [None] * len(some), pa.string()),
+                pa.array(u + [ids[i] for i in some], pa.binary()),
+                pa.array(v + [None] * len(some), pa.binary()),
                 pa.array(n + links[some].tolist(), pa.int64()),
             ],
             schema=schema,
@@ -186,6 +188,18 @@ def _verify(threshold: float):
     return run
 
 
+def _place_of(tkey: str | Column) -> Column:
+    """A place in the bitmap, by the first digits of a text's md5."""
+    return F.conv(F.substring(tkey, 1, _BITS // 4), 16, 10).cast("long").alias("place")
+
+
+def _bitmap(places: DataFrame) -> np.ndarray:
+    """Which places occur: of fixed size, it only thins out what is then joined exactly."""
+    table = np.zeros(1 << _BITS, dtype=bool)
+    table[np.asarray(places.distinct().toArrow().column("place"), dtype=np.int64)] = True
+    return table
+
+
 def ngram_join(
     docs: DataFrame,
     threshold: float = THRESHOLD,
@@ -208,12 +222,13 @@ def ngram_join(
         .select("set_key", "least.doc_id", "least.tkey", "copies", "bands"),
         "ngram-classes",
     )
-    banded = classes.select("set_key", F.posexplode("bands").alias("band", "hash"))
-    heads = banded.groupBy("band", "hash").agg(
+    # hashes of different bands are no more alike than any two hashes
+    banded = classes.select("set_key", F.explode("bands").alias("hash"))
+    heads = banded.groupBy("hash").agg(
         F.min("set_key").alias("head"), F.count("*").alias("n")
     )
     ties = (
-        banded.join(heads.filter("n > 1").drop("n"), ["band", "hash"])
+        banded.join(heads.filter("n > 1").drop("n"), "hash")
         .filter("set_key <> head")
         .select(F.col("set_key").alias("u"), F.col("head").alias("v"))
         .distinct()
@@ -229,23 +244,23 @@ def ngram_join(
             "n_blocks", F.expr("cast(pmod(xxhash64(set_key), n_blocks) as int)").alias("block"),
         )
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5("text").alias("tkey"))
-    chosen = (
-        texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t")))
-        .select("text", "set_key", "copies", "label", "n_blocks", "block")
+    wanted = written(wanted, "ngram-wanted")
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5("text").alias("tkey"), _place_of(F.md5("text"))
     )
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(_place_of("t"))))
 
     def with_sets(batches):
-        for batch in pieces(batches):
-            grams = pa.array([x.tobytes() for x in _sets(batch, size)], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("set_key", "copies", "label", "n_blocks", "block")), grams],
-                names=["set_key", "copies", "label", "n_blocks", "block", "grams"],
-            )
-
-    sets = chosen.mapInArrow(
-        with_sets,
-        "set_key string, copies long, label string, n_blocks int, block int, grams binary",
+        for batch in batches:
+            near = np.flatnonzero(shared.value[np.asarray(batch.column("place").fill_null(0))])
+            for part in pieces(iter([batch.take(pa.array(near))])):
+                grams = pa.array([x.tobytes() for x in _sets(part, size)], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("tkey"), grams], names=["doc_id", "tkey", "grams"]
+                )
+
+    sets = texts.mapInArrow(with_sets, "doc_id long, tkey string, grams binary").join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t"))
     )
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     found = written(
@@ -253,7 +268,7 @@ def ngram_join(
         .withColumn("high", F.greatest("block", "other"))
         .dropDuplicates(["label", "low", "high", "set_key"])
         .groupBy("label", "low", "high")
-        .applyInArrow(_verify(threshold), "u string, v string, links long"),
+        .applyInArrow(_verify(threshold), "u binary, v binary, links long"),
         "ngram-links",
     )
     joined = components(found.filter("v is not null").select("u", "v"))
@@ -276,15 +291,15 @@ def ngram_join(
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         )
     )
-    own = F.col("set_key").isNull()
-    return signed.select("doc_id", "tkey", "set_key").join(table, "set_key", "left").select(
-        "doc_id",
-        "tkey",
-        "set_key",
-        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(own, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
-        F.when(own, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
-    )
+    names = ["doc_id", "tkey", "set_key", "class_id", "copy_of", "n_links"]
+    rows = signed.select("doc_id", "tkey", "set_key")
+    wordless = rows.filter("set_key is null").select(
+        "doc_id", "tkey", "set_key", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"),
+        F.lit(0).cast("long").alias("n_links"),
+    )
+    counts = classes.select("set_key", F.col("copies").alias("n"))
+    members = join_hot(rows.filter("set_key is not null"), table, "set_key", "doc_id", counts)
+    return members.select(*names).union(wordless)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
