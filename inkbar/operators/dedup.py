@@ -64,7 +64,7 @@ def mark_cached(requests: DataFrame) -> DataFrame:
 
 def _distinct(requests: DataFrame, firsts: DataFrame) -> DataFrame:
     wanted = firsts.select(F.col("first_id").alias("req_id"), "fp")
-    return requests.join(wanted.hint("shuffle_hash"), "req_id")
+    return requests.join(wanted, "req_id")
 
 
 def distinct_requests(requests: DataFrame) -> DataFrame:

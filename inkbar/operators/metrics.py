@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkbar.plans.scratch import written
+
 BOUNDS = 1024
+SMALL = 4096
 
 
 def corpus_totals(docs: DataFrame) -> DataFrame:
@@ -59,58 +64,60 @@ def latency_percentiles(
 ) -> DataFrame:
     """Percentiles by rounded rank: ``pct, value``; 0.0 where there are no rows.
 
-    The rank is ``p / 100 * (n - 1)`` rounded half to even, which neither of
-    Spark's percentile functions gives.  Exact, without sorting everything in one
-    place: equal values are counted first; about ``BOUNDS`` approximate quantiles
-    (the only numbers that pass through the driver) split the rest into even
-    ranges; the counts of the ranges say in which range each rank falls; and only
-    those ranges are put in order.
+    The rank is ``p / 100 * (n - 1)`` rounded half to even and kept within the rows,
+    which neither of Spark's percentile functions gives.  Exact, without sorting
+    everything in one place: equal values are counted once and written; approximate
+    quantiles cut the rest into ranges, whose counts tell where a rank falls; and a
+    range is cut again until it is small.  Null and NaN are left out.  A few
+    thousand numbers for each rank pass through the driver, however much data there is.
     """
     counted = (
         df.select(F.col(value).cast("double").alias("v"))
-        .where("v is not null")
+        .where("v is not null and not isnan(v)")
         .groupBy("v")
         .agg(F.count("*").alias("n"))
     )
+    counted = written(counted, "percentile-counts")
+    total = counted.agg(F.sum("n")).first()[0]
+    found = {}
+    for p in percents:
+        if total:
+            found[p] = min(max(round(p / 100 * (total - 1)), 0), total - 1)
+    values = _at_ranks(counted, sorted(set(found.values())), float("-inf"), float("inf"))
+    rows = [(float(p), float(values[found[p]]) if p in found else 0.0) for p in percents]
+    return df.sparkSession.createDataFrame(rows, "pct double, value double")
+
+
+def _at_ranks(counted: DataFrame, ranks: list[int], low: float, high: float) -> dict[int, float]:
+    """The values at the ranks among those of ``counted(v, n)`` from ``low`` to ``high``.
+
+    Up to ``SMALL`` distinct values are read outright.  More are cut at about ``BOUNDS``
+    quantiles, and each range that holds a rank is looked at in the same way.
+    """
+    if not ranks:
+        return {}
+    inside = counted.filter(F.col("v").between(low, high))
+    few = inside.limit(SMALL + 1).count()
+    if few <= SMALL:
+        out, below = {}, 0
+        for v, n in inside.orderBy("v").collect():
+            out |= {k: v for k in ranks if below <= k < below + n}
+            below += n
+        return out
     steps = [i / BOUNDS for i in range(1, BOUNDS)]
-    bounds = counted.agg(F.percentile_approx("v", steps, 10 * BOUNDS)).first()[0] or []
-    inner = sorted({b for b in bounds})
-    splits = [float("-inf"), *inner, float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="v", outputCol="r", handleInvalid="keep")
-    ranges = ranged.transform(counted)
-
-    # At most BOUNDS + 2 rows from here on.
-    before = F.sum("m").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
-    totals = ranges.groupBy("r").agg(F.sum("n").alias("m"))
-    per_range = totals.select(
-        "r",
-        "m",
-        F.coalesce(before, F.lit(0)).alias("before"),
-        F.sum("m").over(Window.partitionBy()).alias("total"),
-    )
-    rank = F.bround(F.col("pct") / 100 * (F.col("total") - 1), 0).cast("long")
-    wanted = (
-        per_range.withColumn("pct", F.explode(F.array(*[F.lit(float(p)) for p in percents])))
-        .withColumn("k", rank)
-        .filter("k >= before and k < before + m")
-        .select("r", "pct", F.expr("k - before").alias("k"))
-    )
-    # One row per percentile, so the broadcast has a fixed size.
-    inside = ranges.join(F.broadcast(wanted), "r")
-    upto = F.sum("n").over(
-        Window.partitionBy("pct", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    found = (
-        inside.withColumn("upto", upto)
-        .filter("k < upto and k >= upto - n")
-        .select("pct", F.col("v").alias("value"))
-    )
-    asked = df.sparkSession.createDataFrame([(float(p),) for p in percents], "pct double")
-    return asked.join(F.broadcast(found), "pct", "left").select(
-        "pct", F.coalesce("value", F.lit(0.0)).alias("value")
-    )
+    bounds = inside.agg(F.percentile_approx("v", steps, 10 * BOUNDS)).first()[0]
+    inner = sorted({b for b in bounds if math.isfinite(b)} - {low, high})
+    ranged = Bucketizer(
+        splits=[float("-inf"), *inner, float("inf")], inputCol="v", outputCol="r"
+    ).transform(inside)
+    # one row for each range
+    parts = ranged.groupBy("r").agg(F.sum("n").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+    out, below = {}, 0
+    for _, n, a, b in parts.orderBy("r").collect():
+        here = [k - below for k in ranks if below <= k < below + n]
+        out |= {k + below: v for k, v in _at_ranks(counted, here, a, b).items()}
+        below += n
+    return out
 
 
 def latency_mean(df: DataFrame, value: str) -> DataFrame:

@@ -25,11 +25,14 @@ def normalize_raw_spans(text: Column, raw: Column, min_score: Column) -> Column:
     """Raw scorer records to spans.
 
     The category is the first non-empty of ``entity_group`` and ``entity``.
-    Records below the threshold, or with a score that is not a number, go.  The
+    Records below the threshold, with a score that is not a number, or that do not lie
+    inside the text, go (``misplaced_raw_spans`` returns the last).  The
     span's text is cut from the source, never taken from the record.
     """
+    length = F.length(text)
     kept = F.filter(
-        raw, lambda r: r.score.isNotNull() & ~F.isnan(r.score) & ~(r.score < min_score)
+        raw,
+        lambda r: r.score.isNotNull() & ~F.isnan(r.score) & ~(r.score < min_score) & _lies_inside(r, length),
     )
 
     def one(r: Column) -> Column:
@@ -45,6 +48,16 @@ def normalize_raw_spans(text: Column, raw: Column, min_score: Column) -> Column:
     )
 
 
+def _lies_inside(r: Column, length: Column) -> Column:
+    return F.coalesce((r.start >= 0) & (r.start <= r.end) & (r.end <= length), F.lit(False))
+
+
+def misplaced_raw_spans(text: Column, raw: Column) -> Column:
+    """The scorer's records whose offsets do not lie inside the text."""
+    length = F.length(text)
+    return F.filter(raw, lambda r: ~_lies_inside(r, length))
+
+
 def raw_spans_udf(make_predictor: Callable[[], Predictor], batch_size: int = 8):
     """Arrow UDF ``text -> array<raw record>``, scored in slices of ``batch_size``."""
 

@@ -19,7 +19,9 @@ def hot_keys(rows: DataFrame, key: str, counts: DataFrame | None = None) -> Data
     """
     if counts is None:
         counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    total = rows.agg(F.count("*")).scalar()
+        total = rows.agg(F.count("*")).scalar()
+    else:
+        total = counts.agg(F.sum("n")).scalar()
     share = F.col("n") * F.lit(HOT_SHARE) / total
     return counts.filter(share > 1).select(
         key, F.ceil(share).cast("int").alias("_lanes")

@@ -11,6 +11,9 @@ from inkbar.functions.rules import PAGE_BLANK
 from inkbar.schema import MAX_TEXT_BYTES
 
 
+MALFORMED = "malformed"
+
+
 def oversized_text(text: Column, max_bytes: int = MAX_TEXT_BYTES) -> Column:
     """UTF-8 bytes above the limit."""
     return F.octet_length(text) > max_bytes
@@ -58,7 +61,13 @@ def first_failure(checks: list[Check]) -> tuple[Column, Column]:
 
 
 def text_checks(df: DataFrame, max_bytes: int = MAX_TEXT_BYTES) -> list[Check]:
-    checks = [Check(oversized_text(F.col("text"), max_bytes), 422, f"text exceeds {max_bytes} bytes")]
+    checks = []
+    if MALFORMED in df.columns:
+        checks.append(Check(F.col(MALFORMED).isNotNull(), 422, "malformed request"))
+    checks += [
+        Check(F.col("text").isNull(), 422, "text missing"),
+        Check(oversized_text(F.col("text"), max_bytes), 422, f"text exceeds {max_bytes} bytes"),
+    ]
     if "min_score" in df.columns:
         checks.append(
             Check(bad_min_score(F.col("min_score")), 422, "min_score must be between 0 and 1")
@@ -106,11 +115,6 @@ def validate_requests(
     )
 
 
-def skip_empty_text(text: Column, spans: Column) -> Column:
-    """An empty text is never given to the scorer."""
-    return F.when(F.length(text) > 0, spans)
-
-
 @dataclass(frozen=True)
 class Options:
     """Options of one run.  Contradictions are refused on construction."""

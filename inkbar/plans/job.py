@@ -11,11 +11,12 @@ from inkbar import schema as S
 from inkbar.functions.redact import redact
 from inkbar.functions.rules import Rule
 from inkbar.functions.spans import no_spans
+from inkbar.operators.dedup import detect_distinct_once
 from inkbar.operators.detect import detect_pii, pii_spans
 from inkbar.operators.model import Predictor
 from inkbar.operators.span_rows import essential_spans
 from inkbar.operators.validate import Options, validate_requests
-from inkbar.sources.text import attach_external_spans, with_text_length
+from inkbar.sources.text import attach_external_spans, ingest_binary_files, with_text_length
 
 
 def _option(df: DataFrame, name: str) -> Column:
@@ -42,11 +43,37 @@ def serve_requests(
     """Validate, detect and redact; options come from each row.
 
     Returns results and rejects.  The checks are filters in front of detection,
-    so an oversized text is never scanned.
+    so an oversized text is never scanned.  Requests with a ``req_id`` (unique, in order
+    of arrival) are detected once for each distinct text and options, and ``cached`` marks
+    the repeats; a ready column of spans stands for its own row and is not shared.
     """
     accepted, rejects = validate_requests(requests, max_bytes)
-    found = detect_pii(accepted, make_predictor, model_spans, extra_rules)
-    return redact_per_row_options(found), rejects
+
+    def detect(df: DataFrame) -> DataFrame:
+        return detect_pii(df, make_predictor, model_spans, extra_rules)
+
+    if "req_id" not in requests.columns or model_spans is not None:
+        return redact_per_row_options(detect(accepted)), rejects
+    found = detect_distinct_once(accepted, detect).select("req_id", "spans", "cached")
+    return redact_per_row_options(accepted.join(found, "req_id")), rejects
+
+
+def redact_uploads(
+    files: DataFrame,
+    make_predictor: Callable[[], Predictor] | None = None,
+    extra_rules: tuple[Rule, ...] = (),
+    max_bytes: int = S.MAX_TEXT_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """Uploaded files to redacted texts, with the options beside each file; and rejects.
+
+    Files are requests in order of their path: a repeated text is marked ``cached``.
+    """
+    accepted, rejects = ingest_binary_files(files, max_bytes)
+    asked = accepted.withColumn("req_id", F.col("path"))
+    found = detect_distinct_once(
+        asked, lambda df: detect_pii(df, make_predictor, None, extra_rules)
+    ).select("req_id", "spans", "cached")
+    return redact_per_row_options(asked.join(found, "req_id")).drop("req_id"), rejects
 
 
 def run(

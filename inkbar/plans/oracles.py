@@ -233,8 +233,9 @@ ORACLES["redact_mask"] = f"""SELECT doc_id, regexp_replace(
   regexp_replace(text, {_CARD}, {_STARS}), {_CARD}, {_STARS}) AS redacted FROM documents"""
 ORACLES["redact"] = f"WITH {_ON_DOCS} {redacted('a_src', _FOUND, _TAG)}"
 ORACLES["register_sql_functions"] = ORACLES["redact"]
-ORACLES["validate_options"] = """SELECT doc_id, CAST(length(text) AS INTEGER) AS n,
-  CAST(length(text) AS INTEGER) AS n_before FROM documents"""
+_ctes, _last = chain(_DOCS, True, name="o")
+ORACLES["validate_options"] = f"""WITH {_ctes} SELECT doc_id, redacted
+  FROM ({redacted("o_src", _last, "repeat('*', f.\"end\" - f.start)")}) AS x"""
 
 _REQUESTS = """SELECT doc_id AS req_id, doc_id, text,
   CAST(CASE WHEN doc_id % 10 = 3 THEN 0.99 WHEN doc_id % 50 = 7 THEN 1.5 ELSE 0.5 END AS DOUBLE) AS min_score,
@@ -440,9 +441,10 @@ ORACLES["flag_blank_text"] = r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN TRUE
 _VERDICT = f"""CASE WHEN {_BYTES} > 6000 THEN 'text exceeds 6000 bytes'
   WHEN min_score < 0 OR min_score > 1 THEN 'min_score must be between 0 and 1'
   WHEN length(mask_char) <> 1 THEN 'mask_char must be a single character' ELSE 'ok' END"""
-ORACLES["validate_requests"] = f"""SELECT req_id,
+ORACLES["validate_requests"] = f"""SELECT CASE WHEN reason <> 'malformed request' THEN req_id END AS req_id,
   CASE WHEN reason = 'ok' THEN 200 ELSE 422 END AS status, reason
-  FROM (SELECT req_id, {_VERDICT} AS reason FROM ({_REQUESTS}) AS r) AS v"""
+  FROM (SELECT req_id, CASE WHEN req_id % 20 IN (11, 12) THEN 'malformed request'
+    WHEN req_id % 20 = 13 THEN 'text missing' ELSE {_VERDICT} END AS reason FROM ({_REQUESTS}) AS r) AS v"""
 
 # -- sources and sinks -----------------------------------------------------
 ORACLES["read_text_documents"] = """SELECT s_suppkey,
@@ -450,13 +452,21 @@ ORACLES["read_text_documents"] = """SELECT s_suppkey,
   1 AS n FROM supplier"""
 ORACLES["read_requests"] = f"""SELECT req_id, text, min_score, ru_postpass,
   CAST(NULL AS BOOLEAN) AS ru_postpass_strict, placeholder, mask_char FROM ({_REQUESTS}) AS r"""
-ORACLES["ingest_binary_files"] = f"""SELECT path, status, reason,
-    CASE WHEN status = 200 THEN CAST(length(text) AS INTEGER) END AS chars
-  FROM (SELECT *, CASE status WHEN 413 THEN 'file exceeds 6000 bytes' WHEN 400 THEN 'not UTF-8'
+_judged = f"""(SELECT *, CASE status WHEN 413 THEN 'file exceeds 6000 bytes' WHEN 400 THEN 'not UTF-8'
     WHEN 422 THEN 'mask_char must be a single character' ELSE 'ok' END AS reason
     FROM (SELECT *, CASE WHEN length > 6000 THEN 413 WHEN broken THEN 400
       WHEN length(mask_char) <> 1 THEN 422 ELSE 200 END AS status
-      FROM ({_UPLOADS}) AS u) AS v) AS w"""
+      FROM ({_UPLOADS}) AS u) AS v)"""
+_ctes, _last = chain("SELECT doc_id, text FROM good", name="u")
+_MASKED = """coalesce(repeat(d.mask_char, f."end" - f.start), '[' || upper(f.entity) || ']')"""
+ORACLES["ingest_binary_files"] = f"""WITH judged AS {_judged},
+  good AS (SELECT * FROM judged WHERE status = 200), {_ctes}
+  SELECT g.path, 200 AS status, 'ok' AS reason, redacted, n_spans,
+    row_number() OVER (PARTITION BY g.text ORDER BY g.path) > 1 AS cached
+  FROM ({redacted("good", _last, _MASKED)}) AS x JOIN good AS g ON g.doc_id = x.doc_id
+  UNION ALL SELECT path, status, reason, NULL, NULL, NULL FROM judged WHERE status <> 200"""
+ORACLES["redact_stored_files"] = """SELECT s_suppkey,
+  '[PRIVATE_EMAIL], card [ACCOUNT_NUMBER]' || chr(10) AS redacted, 2 AS n_spans FROM supplier"""
 ORACLES["filter_text_files"] = f"""SELECT path FROM ({_UPLOADS}) AS u
   WHERE media_type LIKE 'text/%' OR doc_id % 5 IN (0, 1, 4)"""
 _INSIDE = f"""SELECT r.doc_id, r.entity, substring(d.text, r.start + 1, r."end" - r.start) AS text,
@@ -490,8 +500,12 @@ _strict, _b = chain(
 )
 ORACLES["redact_response"] = f"""WITH ok AS ({_ok}), {_loose}, {_strict},
   f AS (SELECT * FROM {_a} UNION ALL SELECT * FROM {_b})
-  SELECT doc_id AS req_id, 'rules-only' AS model, redacted, n_spans, FALSE AS cached
-  FROM ({redacted("ok", "f", _BY_ROW)}) AS x"""
+  SELECT x.doc_id AS req_id, 'rules-only' AS model, redacted, n_spans, cached, 200 AS status, 'ok' AS reason
+  FROM ({redacted("ok", "f", _BY_ROW)}) AS x JOIN (SELECT doc_id, row_number() OVER (
+    PARTITION BY text, min_score, ru_postpass, ru_postpass_strict ORDER BY doc_id) > 1 AS cached FROM ok) AS c
+    ON c.doc_id = x.doc_id
+  UNION ALL SELECT req_id, NULL, NULL, NULL, NULL, 422, reason
+  FROM (SELECT req_id, {_VERDICT} AS reason FROM ({_REQUESTS}) AS r) AS v WHERE reason <> 'ok'"""
 
 _MAIL = template_sql("email")
 

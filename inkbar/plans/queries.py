@@ -19,6 +19,7 @@ from inkbar.operators.detect import detect_part, detect_pii, detect_regex_only,
 from inkbar.operators.model import detect_batch, detect_one, normalize_raw_spans
 from inkbar.plans.job import (
     redact_per_row_options,
+    redact_uploads,
     redact_with_external_spans,
     run,
     serve_requests,
@@ -496,9 +497,18 @@ def _flag_blank_text(spark, sf):
 
 @query("validate_requests")
 def _validate_requests(spark, sf):
-    accepted, rejects = V.validate_requests(_requests(spark, sf), 6000)
+    """Request lines, some broken off, of wrong types or without a text; one row for each line."""
+    path = scratch_path(spark, "lines")
+    whole = F.to_json(F.struct("req_id", "text", "min_score", "ru_postpass", "placeholder", "mask_char"))
+    line = F.expr(
+        "case req_id % 20 when 11 then concat('{\"req_id\": ', req_id, ', \"text\": \"') "
+        "when 12 then concat('{\"req_id\": \"', req_id, ' x\", \"text\": \"a\"}') "
+        "when 13 then concat('{\"req_id\": ', req_id, ', \"min_score\": 0.5}') else whole end"
+    )
+    _requests(spark, sf).withColumn("whole", whole).select(line.alias("value")).write.text(path)
+    accepted, rejects = V.validate_requests(sources.read_requests(spark, path), 6000)
     return accepted.select("req_id", F.lit(200).alias("status"), F.lit("ok").alias("reason")).unionByName(
-        rejects.select("req_id", "status", "reason")
+        rejects.select(F.when(F.col("malformed").isNull(), F.col("req_id")).alias("req_id"), "status", "reason")
     )
 
 
@@ -507,7 +517,7 @@ def _validate_options(spark, sf):
     """Options with the stars shortcut, applied to every document."""
     options = V.validate_options(no_model=True, ru_postpass=True, ru_postpass_strict=True, stars=True)
     done = run(documents(spark, sf), options)
-    return done.select("doc_id", F.length("redacted").alias("n"), F.length("text").alias("n_before"))
+    return done.select("doc_id", "redacted")
 
 
 # -- sources and sinks -----------------------------------------------------
@@ -538,12 +548,28 @@ def _read_requests(spark, sf):
 
 @query("ingest_binary_files")
 def _ingest_binary_files(spark, sf):
-    accepted, rejects = sources.ingest_binary_files(_uploads(spark, sf), 6000)
-    done = accepted.select(
-        "path", F.lit(200).alias("status"), F.lit("ok").alias("reason"), F.length("text").alias("chars")
+    """Uploads to redacted texts, or refused with a reason."""
+    files = _uploads(spark, sf).withColumn("ru_postpass", F.lit(True))
+    done, rejects = redact_uploads(files, max_bytes=6000)
+    return done.select(
+        "path", F.lit(200).alias("status"), F.lit("ok").alias("reason"), "redacted",
+        F.size("spans").alias("n_spans"), "cached",
+    ).unionByName(rejects.select("path", "status", "reason"), allowMissingColumns=True)
+
+
+@query("redact_stored_files")
+def _redact_stored_files(spark, sf):
+    """Every supplier's note is stored as a file of its own, read as bytes and redacted."""
+    path = scratch_path(spark, "files")
+    notes = table(spark, sf, "supplier").selectExpr(
+        "s_suppkey", "concat('s', cast(s_suppkey % 7 as string), '@mail.ru, card 5284 7710 3962 4408') as value"
     )
-    return done.unionByName(
-        rejects.select("path", "status", "reason", F.lit(None).cast("int").alias("chars"))
+    notes.repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    files = sources.filter_text_files(sources.read_uploads(spark, path)).withColumn("ru_postpass", F.lit(True))
+    done, _ = redact_uploads(files)
+    return done.select(
+        F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long").alias("s_suppkey"),
+        "redacted", F.size("spans").alias("n_spans"),
     )
 
 
@@ -590,9 +616,14 @@ def _detect_response(spark, sf):
 
 @query("redact_response")
 def _redact_response(spark, sf):
-    results, _ = serve_requests(_requests(spark, sf), max_bytes=6000)
+    """Answers, and the refused requests with status and reason."""
+    results, rejects = serve_requests(_requests(spark, sf), max_bytes=6000)
     answer = sinks.redact_response(results, "rules-only")
-    return answer.select("req_id", "model", "redacted", F.size("spans").alias("n_spans"), "cached")
+    done = answer.select(
+        "req_id", "model", "redacted", F.size("spans").alias("n_spans"), "cached",
+        F.lit(200).alias("status"), F.lit("ok").alias("reason"),
+    )
+    return done.unionByName(rejects.select("req_id", "status", "reason"), allowMissingColumns=True)
 
 
 def _email_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -756,9 +787,8 @@ def _latency_mean(spark, sf):
 # -- streams ---------------------------------------------------------------
 def _document_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    )
+    # the pattern holds for a single file and for a folder of part files
+    return spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*")
 
 
 def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:

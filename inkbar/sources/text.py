@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkbar import schema as S
 from inkbar.functions.redact import cut_spans
 from inkbar.functions.spans import let, no_spans, span
 from inkbar.operators.skew import join_hot
-from inkbar.operators.validate import file_checks, oversized_file, with_verdict
+from inkbar.operators.validate import MALFORMED, file_checks, oversized_file, with_verdict
 
 # The file endings accepted besides a text/* media type.
 TEXT_ENDINGS = ("txt", "md", "log", "csv", "json", "html", "xml", "yml", "yaml")
@@ -28,8 +29,18 @@ def read_inline_documents(spark: SparkSession, texts: dict[str, str]) -> DataFra
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Requests as JSON lines with the declared schema; nothing is inferred."""
-    return spark.read.schema(S.REQUEST).json(path)
+    """Requests as JSON lines with the declared schema; nothing is inferred.
+
+    A line that is not JSON, or whose values have other types, is kept whole in the column
+    ``malformed`` (null otherwise), which the request checks refuse.
+    """
+    schema = T.StructType([*S.REQUEST.fields, T.StructField(MALFORMED, T.StringType())])
+    return (
+        spark.read.schema(schema)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", MALFORMED)
+        .json(path)
+    )
 
 
 def file_ending(path: Column) -> Column:

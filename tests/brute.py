@@ -48,8 +48,8 @@ SHAPES = {
     "secret_aws_key": r"\bAKIA[0-9A-Z]{16}\b",
     "secret_github_token": r"\b(?:gh[pousr]|github_pat)_[A-Za-z0-9_]{20,}\b",
 }
-SHAPES["ogrn_strict"] = CONTEXT + "(" + SHAPES["ogrn"] + ")"
-SHAPES["inn_strict"] = CONTEXT + "(" + SHAPES["inn"] + ")"
+for kind in ("ogrn", "inn"):
+    SHAPES[f"{kind}_strict"] = f"{CONTEXT}(?P<{kind}>{SHAPES[kind]})"
 
 
 def rule_list(strict):
@@ -71,8 +71,7 @@ def rule_list(strict):
 
 def find(names, text, flags=0):
     for m in re.finditer("|".join(SHAPES[n] for n in names), text, flags):
-        inner = [i for i in range(1, (m.re.groups or 0) + 1) if m.group(i) is not None]
-        yield m.span(inner[-1] if inner else 0)
+        yield m.span(m.lastgroup or 0)  # the digits only, where a keyword stands before them
 
 
 def part(name, text):
@@ -81,10 +80,20 @@ def part(name, text):
 
 
 def spans(text, strict=False, existing=()):
-    taken = [(e[0], e[1], e[2], e[3]) for e in existing]
-    out = list(taken)
+    """A map of occupied places decides which matches are let in."""
+    occupied = bytearray(len(text))
+    points = set()  # empty spans occupy no place, but a match may not hold one inside
+    places = [[] for _ in range(len(text) + 1)]
+
+    def enter(entity, a, b, score):
+        occupied[a:b] = b"x" * (b - a)
+        points.update({a} if a == b else ())
+        places[a].append((entity, a, b, score))
+
+    for e in existing:
+        enter(*e[:4])
     for entity, names, flags in rule_list(strict):
         for a, b in find(names, text, flags):
-            if all(s[2] <= a or b <= s[1] for s in out):
-                out.append((entity, a, b, 0.95))
-    return sorted(out, key=lambda s: s[1])
+            if not any(occupied[a:b]) and not any(a < p < b for p in points):
+                enter(entity, a, b, 0.95)
+    return [s for at in places for s in at]

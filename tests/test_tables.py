@@ -1,6 +1,7 @@
 """Validation, sources, repeats, metrics, span tables, scorers, streams."""
 
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -139,8 +140,12 @@ def test_thresholds_share_a_key_to_four_decimals(spark):
 def rounded_rank(values, p):
     if not values:
         return 0.0
-    v = sorted(values)
-    return v[max(0, min(len(v) - 1, round(p / 100 * (len(v) - 1))))]
+    rank = min(max(round(p / 100 * (len(values) - 1)), 0), len(values) - 1)
+    below = 0
+    for value, same in sorted(Counter(values).items()):
+        if below <= rank < below + same:
+            return value
+        below += same
 
 
 @pytest.mark.parametrize("kind", ["spread", "hot", "single", "empty"])
