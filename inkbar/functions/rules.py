@@ -89,8 +89,8 @@ class Rule:
 
     ``cuttable`` promises that no match contains any of ``, ; < > " '`` and that
     a blank inside a match is followed only by what ``scan.CUT`` leaves alone.
-    Rules added by a caller are not cuttable unless they say so; a rule list
-    with such a rule reads every text in one piece.  ``mode`` is "loose" or
+    Rules added by a caller are not cuttable unless they say so, and then
+    read every text in one piece.  ``mode`` is "loose" or
     "strict" for a rule of that mode only.
     """
 
@@ -280,11 +280,15 @@ def make_rule(
     *patterns: str,
     literals: tuple[str, ...] = (),
     ignore_case: bool = False,
+    cuttable: bool = False,
 ) -> Rule:
-    """A caller's rule.  ``patterns`` use the Java dialect and must not match ''."""
+    """A caller's rule.  ``patterns`` use the Java dialect and must not match ''.
+
+    ``cuttable`` promises what ``Rule`` says of it, so that long texts are read in pieces.
+    """
     if not patterns or not all(patterns):
         raise ValueError("a rule needs at least one pattern, none of them empty")
     parts = tuple(
         Part(f"{entity}_{i}", p, literals=literals) for i, p in enumerate(patterns)
     )
-    return Rule(entity, parts, ignore_case=ignore_case)
+    return Rule(entity, parts, ignore_case=ignore_case, cuttable=cuttable)

@@ -8,8 +8,10 @@ apart, both are one code point, and the span's text is then cut from the
 original.
 
 Long texts are cut into pieces of about ``PIECE`` characters at places no match
-can cross, so overlap resolution compares spans of one piece only and the work
-stays linear in the length of the text.  Pieces that lack a rule's necessary
+can cross, so overlap resolution compares spans of one piece only.  A text with no
+such place, and a caller's rule that may cross them, is read in one piece; there
+matches are held against accepted spans in order of their start.  Either way the work
+stays close to linear in the length of the text.  Pieces that lack a rule's necessary
 shape skip that rule.
 """
 
@@ -25,6 +27,7 @@ from inkbar.functions.spans import no_spans
 
 MARK = "\x01"
 PIECE = 4096
+GROUP = 128
 
 # After one of the first characters, or after a blank that none
 # of the second set follows, a text may be cut.  No match contains the first;
@@ -108,15 +111,51 @@ def _matches() -> str:
     )
 
 
+def _free_of_kept() -> str:
+    """Spans of ``found`` that overlap none of ``kept``, which is looked at in groups."""
+    group = f"slice(kept, i + 1, {GROUP})"
+    groups = (
+        f"transform(sequence(0, greatest(size(kept) - 1, 0), {GROUP}), i -> named_struct('spans', {group}, "
+        f"'low', array_min(transform({group}, k -> k.start)), 'high', array_max(transform({group}, k -> k.end))))"
+    )
+    hit = "exists(g.spans, k -> k.end > c.start and c.end > k.start)"
+    free = f"filter(found, c -> not exists(groups, g -> g.high > c.start and c.end > g.low and {hit}))"
+    return Q.let(groups, "groups", free)
+
+
+def _free_by_order() -> str:
+    """Spans of ``v.found`` that overlap none of ``v.kept``, without comparing pairs.
+
+    Both are put in order of start.  A match (never empty, disjoint from the other
+    matches) is taken if a kept span that begins no later ends after its start, or if the next
+    kept span begins before its end.
+    """
+    events = (
+        "array_sort(concat("
+        "transform(v.kept, k -> named_struct('at', k.start, 'own', 0, 'stop', k.end)), "
+        "transform(v.found, c -> named_struct('at', c.start, 'own', 1, 'stop', c.end))))"
+    )
+    own = "if(x.own = 1, array({}), cast(array() as array<boolean>))"
+    before = Q.fold_blocks(
+        "events", "-1", "array<boolean>", "x",
+        "if(x.own = 1, acc.s, greatest(acc.s, x.stop))", own.format("acc.s > x.at"),
+    )
+    after = Q.fold_blocks(
+        "reverse(events)", str(2**31 - 1), "array<boolean>", "x",
+        "if(x.own = 1, acc.s, x.at)", own.format("acc.s < x.stop"),
+    )
+    kept = "filter(v.found, (c, i) -> not near.hit[i] and not near.met[i])"
+    near = f"named_struct('hit', {before}, 'met', reverse({after}))"
+    return Q.let(events, "events", Q.let(near, "near", kept))
+
+
 def _piece_spans(rules: tuple[Rule, ...], before: str, by_row: bool) -> str:
     """Spans ``before`` and the matches accepted after them, in rule order.
 
     The matches of one rule never overlap each other, so each rule takes one look
     at what was accepted before it.
     """
-    free = (
-        "filter(found, c -> not exists(kept, k -> k.end > c.start and c.end > k.start))"
-    )
+    free = _free_of_kept()
     accept = Q.let(
         _matches(), "found", f"if(size(kept) = 0, found, concat(kept, {free}))"
     )
@@ -189,6 +228,15 @@ def scan_rules(
     ``strict`` chooses per row between the rules of the two modes.  ``merge``
     returns the existing spans too.
     """
+    free = next((i for i, r in enumerate(rules) if not r.cuttable), len(rules))
+    if 0 < free < len(rules) and (merge or existing is None):
+        # rules that need the whole text read it in one piece, one after the other
+        taken = scan_rules(text, rules[:free], existing, strict, merge)
+        for rule in rules[free:]:
+            found = scan_rules(text, (rule,), strict=strict)
+            both = f"concat(v.kept, {_free_by_order()})"
+            taken = Q.apply(Q.sort_spans(both), kept=taken, found=found)
+        return taken
     inputs = {"text": text}
     if existing is not None:
         inputs["existing"] = F.coalesce(existing, no_spans())

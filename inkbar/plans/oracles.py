@@ -415,8 +415,8 @@ ORACLES["detect_pii"] = f"""WITH {_loose}, {_strict}, u AS (
   FROM u WHERE doc_id % 7 <> 0"""
 _ctes, _last = chain(_DOCS, extra=True)
 ORACLES["extra_rules"] = f"""WITH {_ctes}
-  SELECT d.doc_id, CAST(count(f.doc_id) AS INTEGER) AS n FROM documents AS d
-  LEFT JOIN {_last} AS f ON f.doc_id = d.doc_id AND f.entity = 'order_word' GROUP BY d.doc_id"""
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS pos,
+    text, start, "end" FROM {_last} WHERE entity = 'order_word'"""
 
 # -- validation ------------------------------------------------------------
 _BYTES = "octet_length(encode(text))"

@@ -412,7 +412,7 @@ def _extra_rules(spark, sf):
     rule = make_rule("order_word", r"(?<![A-Za-z])the(?![A-Za-z])", literals=("the",))
     found = detect_regex_only(documents(spark, sf), extra_rules=(rule,))
     only = F.filter("spans", lambda s: s.entity == "order_word")
-    return found.select("doc_id", F.size(only).alias("n"))
+    return A.explode_spans(found, "doc_id", only).select("doc_id", "pos", "text", "start", "end")
 
 
 @query("register_sql_functions")
