@@ -251,8 +251,13 @@ def _spoken_for(words: Words, toxic: np.ndarray) -> np.ndarray:
         parts.append(np.where(length >= k + 4, gram, np.uint64(0)))
     feature, place = np.unique(np.stack(parts), return_inverse=True)
     place = place.reshape(len(parts), -1)
-    once = np.unique(np.stack([np.tile(doc, len(parts)), place[:, words.token].ravel()]), axis=1)
-    counts = [np.bincount(once[1][toxic[once[0]] == v], minlength=len(feature)) for v in (1, 0)]
+    pair = np.unique(doc * len(words.hash) + words.token)  # a text's distinct tokens
+    of, token = pair // len(words.hash), pair % len(words.hash)
+    counts = [np.zeros(len(feature)), np.zeros(len(feature))]
+    for row in place:  # one kind of part at a time, so memory follows the tokens
+        once = np.unique(of * len(feature) + row[token])
+        for count, v in zip(counts, (1, 0)):
+            count += np.bincount(once[toxic[once // len(feature)] == v] % len(feature), minlength=len(feature))
     total = [max(1, int((toxic == v).sum())) for v in (1, 0)]
     odds = np.log((counts[0] + 0.5) / (total[0] + 4)) - np.log((counts[1] + 0.5) / (total[1] + 4))
     odds[feature == 0] = -9
