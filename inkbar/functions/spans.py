@@ -51,15 +51,11 @@ def drop_overlapping_existing(candidates: Column, existing: Column) -> Column:
 def resolve_overlaps(candidates: Column) -> Column:
     """Greedy choice over one ordered list of arbitrary spans.
 
-    A candidate is dropped if it overlaps one accepted before it.
+    A candidate is dropped if it overlaps one accepted before it.  Put in order of
+    start, the list falls into islands that no span crosses; candidates are compared
+    inside their island only.
     """
-    return F.aggregate(
-        candidates,
-        no_spans(),
-        lambda kept, c: F.when(overlaps_any(c, kept), kept).otherwise(
-            F.concat(kept, F.array(c))
-        ),
-    )
+    return Q.apply(Q.resolve("v.spans"), spans=candidates)
 
 
 def sort_spans(spans: Column) -> Column:

@@ -98,3 +98,34 @@ def sweep(spans: str) -> str:
         "ordered",
         let(keep, "keep", "filter(ordered, (s, i) -> keep[i])"),
     )
+
+
+def resolve(spans: str) -> str:
+    """Spans that overlap none accepted before them, island by island, in their order."""
+    keyed = f"array_sort(transform({spans}, (s, i) -> named_struct('k', s.start, 'i', i, 's', s)))"
+    begins = fold_blocks(
+        "ordered",
+        "-1",
+        "array<boolean>",
+        "x",
+        "greatest(acc.s, x.s.end)",
+        "array(x.k >= acc.s)",
+    )
+    heads = "filter(sequence(0, greatest(size(ordered) - 1, 0)), j -> begins[j])"
+    island = (
+        "array_sort(transform(slice(ordered, a + 1, coalesce(get(heads, j + 1), size(ordered)) - a), "
+        "e -> named_struct('i', e.i, 's', e.s)))"
+    )
+    taken = let(
+        island,
+        "near",
+        "aggregate(near, slice(near, 1, 0), "
+        "(kept, e) -> if(exists(kept, k -> k.s.end > e.s.start and e.s.end > k.s.start), kept, "
+        "concat(kept, array(e))))",
+    )
+    chosen = f"array_sort(flatten(transform(heads, (a, j) -> {taken})))"
+    return let(
+        keyed,
+        "ordered",
+        let(begins, "begins", let(heads, "heads", f"transform({chosen}, e -> e.s)")),
+    )

@@ -2,15 +2,24 @@
 
 The array forms in ``functions.spans`` hold one document's spans in one row.  The
 forms here never do that and never pair spans with each other: overlaps are
-counted from running totals, and what is only needed for redaction is reduced to
-at most a few spans per text position before anything is gathered.
+counted from running totals, choices between spans are made island by island, and what
+is only needed for redaction is reduced to at most a few spans per text position
+before anything is gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkbar.functions.spans import (
+    filter_min_score,
+    filter_min_score_final,
+    resolve_overlaps,
+    sweep_non_overlapping,
+)
+from inkbar.operators.ordered import with_running
+
 
 def overlap_counts(
     candidates: DataFrame, existing: DataFrame, key: str = "doc_id", out: str = "n_overlaps"
@@ -19,50 +28,38 @@ def overlap_counts(
 
     An existing span overlaps a candidate if it starts before the candidate's end
     and does not end at or before its start, so the number is a difference of two
-    running counts.  Starts and ends are counted per position before they are
-    ordered: a document contributes at most one row per text position, however
-    many spans it has.  Candidates must not be empty spans.
+    running counts along the document.  Two empty spans never overlap, so an empty
+    candidate counts spans that are not empty only.  Each start, end and question is a
+    row of its own: no place and no document is gathered.
     """
-    # A candidate's end looks at starts strictly before it, its start at ends up
-    # to and including it.
-    def place(at: str, s: int, e: int, asked: bool) -> Column:
+    filled = F.col("end") > F.col("start")
+
+    def event(at: str, turn: int, s: Column, e: Column, sign: int) -> Column:
         return F.struct(
-            F.col(at).alias("at"),
-            F.lit(s).cast("long").alias("s"),
-            F.lit(e).cast("long").alias("e"),
-            F.lit(asked).alias("asked"),
-        )
-
-    def places(df: DataFrame, *of: Column) -> DataFrame:
-        return df.select(key, F.inline(F.array(*of)))
-
-    marks = (
-        places(existing, place("start", 1, 0, False), place("end", 0, 1, False))
-        .unionByName(
-            places(candidates, place("start", 0, 0, True), place("end", 0, 0, True))
-        )
-        .groupBy(key, "at")
-        .agg(F.sum("s").alias("s"), F.sum("e").alias("e"), F.max("asked").alias("asked"))
-    )
-    by_place = Window.partitionBy(key).orderBy("at")
-    running = (
-        marks.withColumn(
-            "started_before",
-            F.sum("s").over(by_place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s"),
-        )
-        .withColumn(
-            "ended_upto", F.sum("e").over(by_place.rowsBetween(Window.unboundedPreceding, 0))
-        )
-        .filter("asked")
-    )
-    at_end = running.select(key, F.col("at").alias("end"), "started_before")
-    at_start = running.select(key, F.col("at").alias("start"), "ended_upto")
-    return (
-        candidates.join(at_end, [key, "end"], "left")
-        .join(at_start, [key, "start"], "left")
-        .withColumn(out, F.col("started_before") - F.col("ended_upto"))
-        .select(*[F.col(c) for c in candidates.columns], out)
+            F.col(at).alias("at"), F.lit(turn).alias("turn"), s.cast("long").alias("s"), e.cast("long").alias("e"),
+            (s * filled.cast("int")).cast("long").alias("fs"), (e * filled.cast("int")).cast("long").alias("fe"),
+            F.lit(sign).alias("sign"),
+        )
+
+    # a candidate's end asks before the starts of its place count, its start after the ends do
+    none, one = F.lit(0), F.lit(1)
+    marks = existing.select(
+        key, F.inline(F.array(event("start", 1, one, none, 0), event("end", 1, none, one, 0)))
     )
+    asked = candidates.select(
+        key, F.struct(*candidates.columns).alias("row"), F.monotonically_increasing_id().alias("id"),
+        F.array(event("end", 0, none, none, 1), event("start", 2, none, none, -1)).alias("events"),
+    ).select(key, "row", "id", F.inline("events"))
+    events = asked.unionByName(marks, allowMissingColumns=True)
+    told = with_running(
+        events, key, ["at", "turn", "id"],
+        {"starts": F.col("s"), "ends": F.col("e"), "filled_starts": F.col("fs"), "filled_ends": F.col("fe")},
+    ).filter("sign <> 0")
+    of = F.when(
+        F.col("row.end") > F.col("row.start"), F.when(F.col("sign") > 0, F.col("starts")).otherwise(-F.col("ends"))
+    ).otherwise(F.when(F.col("sign") > 0, F.col("filled_starts")).otherwise(-F.col("filled_ends")))
+    counted = told.groupBy("id").agg(F.first("row").alias("row"), F.sum(of).alias(out))
+    return counted.select("row.*", out)
 
 
 def span_overlap_pairs(
@@ -73,7 +70,70 @@ def span_overlap_pairs(
     The pairs themselves are never formed.
     """
     counted = overlap_counts(spans, spans, key, out)
-    return counted.withColumn(out, F.col(out) - 1)
+    itself = (F.col("end") > F.col("start")).cast("long")
+    return counted.withColumn(out, F.col(out) - itself)
+
+
+def scored(spans: DataFrame, min_score: Column, final: bool = False) -> DataFrame:
+    """The score gates on span rows: those before the rules, or the ``final`` one after them."""
+    one = F.array(F.struct(F.col("score")))
+    gate = filter_min_score_final if final else filter_min_score
+    return spans.filter(F.size(gate(one, min_score)) > 0)
+
+
+def numbered(
+    spans: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("start", "ord")
+) -> DataFrame:
+    """Span rows with ``pos``, their place in the document's list, from 0."""
+    return with_running(spans, key, list(order), {"pos": F.lit(1)}).withColumn(
+        "pos", F.col("pos").cast("int")
+    )
+
+
+def merge_rows(
+    existing: DataFrame, additions: DataFrame, key: str = "doc_id", order: str = "ord"
+) -> DataFrame:
+    """Both span tables in one, numbered by start; existing ones first where starts are equal."""
+    both = existing.withColumn("added", F.lit(0)).unionByName(
+        additions.withColumn("added", F.lit(1)), allowMissingColumns=True
+    )
+    return numbered(both, key, ("start", "added", order)).drop("added")
+
+
+def islands(spans: DataFrame, key: str = "doc_id", order: str = "ord") -> DataFrame:
+    """Span rows with ``island``: a document is cut where no span crosses.
+
+    What is decided between overlapping spans is decided inside an island, so a document
+    need not be gathered; an island is as large as its overlaps make it.
+    """
+    placed = with_running(spans, key, ["start", order], highest={"_reach": F.col("end")})
+    begins = (F.col("_reach").isNull() | (F.col("start") >= F.col("_reach"))).cast("int")
+    return (
+        with_running(placed.withColumn("_begins", begins), key, ["start", order], {"island": F.col("_begins")})
+        .withColumn("island", F.col("island") + F.col("_begins"))
+        .drop("_reach", "_begins")
+    )
+
+
+def _by_island(spans: DataFrame, key: str, order: str, by: str, choose) -> DataFrame:
+    """The spans ``choose`` keeps of each island's array in the order of ``by``."""
+    row = F.struct(*(c for c in spans.columns if c != key))
+    held = F.struct(F.col(by).alias("_by"), F.col(order).alias("_order"), row.alias("s"))
+    lists = (
+        islands(spans, key, order).groupBy(key, "island").agg(F.array_sort(F.collect_list(held)).alias("_all"))
+    )
+    kept = lists.select(key, F.explode(choose(F.transform("_all", lambda x: x.s))).alias("s"))
+    return kept.select(key, "s.*")
+
+
+def sweep_rows(spans: DataFrame, key: str = "doc_id", order: str = "ord") -> DataFrame:
+    """Spans that begin at or after the end of the last kept one, in order of start."""
+    return _by_island(spans, key, order, "start", sweep_non_overlapping)
+
+
+def resolve_rows(spans: DataFrame, key: str = "doc_id", order: str = "ord") -> DataFrame:
+    """Spans that overlap none that was accepted before them in the order of ``order``."""
+    return _by_island(spans, key, order, order, resolve_overlaps)
 
 
 def drop_overlapping_rows(

@@ -16,6 +16,7 @@ from inkbar.operators.detect import detect_pii, pii_spans
 from inkbar.operators.model import Predictor
 from inkbar.operators.span_rows import essential_spans
 from inkbar.operators.validate import Options, validate_requests
+from inkbar.plans.scratch import written
 from inkbar.sources.text import attach_external_spans, ingest_binary_files, with_text_length
 
 
@@ -121,6 +122,7 @@ def redact_with_external_spans(
         .filter("start >= 0 and start <= end and end <= _n and not isnan(score)")
         .drop("_n")
     )
+    inside = written(inside, "spans-inside")  # read in several branches
     with_spans = attach_external_spans(docs, essential_spans(inside, key, order), key)
     found = F.col("spans")
     if ru_postpass:

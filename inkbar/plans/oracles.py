@@ -347,11 +347,10 @@ def _sweep(rows: str) -> str:
 ORACLES["sweep_non_overlapping"] = f"""WITH RECURSIVE {_sweep(_ROWS)}
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rn) - 1 AS INTEGER) AS pos,
     entity, start, "end" FROM w WHERE kept"""
-ORACLES["filter_min_score"] = f"""SELECT doc_id,
-  CAST(count(*) FILTER (WHERE NOT score < 0.95::DOUBLE) AS INTEGER) AS n FROM ({_ROWS}) AS r GROUP BY doc_id"""
-ORACLES["filter_min_score_final"] = f"""SELECT doc_id,
-  CAST(count(*) FILTER (WHERE doc_id % 3 = 0 OR score >= 0.97::DOUBLE) AS INTEGER) AS n
-  FROM ({_ROWS}) AS r GROUP BY doc_id"""
+ORACLES["filter_min_score"] = f"""SELECT doc_id, start, "end", score, ord
+  FROM ({_ROWS}) AS r WHERE NOT score < 0.95::DOUBLE"""
+ORACLES["filter_min_score_final"] = f"""SELECT doc_id, start, "end", score, ord
+  FROM ({_ROWS}) AS r WHERE doc_id % 3 = 0 OR score >= 0.97::DOUBLE"""
 
 _EXISTING = f"""SELECT doc_id, 0 AS rule, 'private_person' AS entity,
   substring(text, CAST(instr(text, '@') - 2 AS INTEGER), 2) AS text,

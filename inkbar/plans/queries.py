@@ -241,7 +241,8 @@ def _collect_spans(spark, sf):
 
 @query("explode_spans")
 def _explode_spans(spark, sf):
-    return A.explode_spans(_model_arrays(spark, sf)).drop("text")
+    rows = span_rows.numbered(_model_span_rows(spark, sf))
+    return rows.select("doc_id", "pos", "entity", "start", "end", "score")
 
 
 @query("span_overlap_pairs")
@@ -276,50 +277,36 @@ def _drop_overlapping_existing_arrays(spark, sf):
 @query("resolve_overlaps")
 def _resolve_overlaps(spark, sf):
     """Greedy choice in the order of ``ord``, whatever the position."""
-    lists = sources.collect_spans(_model_span_rows(spark, sf), out="c", by_start=False)
-    kept = lists.withColumn("spans", A.resolve_overlaps(F.col("c")))
-    return A.explode_spans(kept).select("doc_id", "pos", "entity", "start", "end")
+    kept = span_rows.resolve_rows(_model_span_rows(spark, sf))
+    return span_rows.numbered(kept, order=("ord",)).select("doc_id", "pos", "entity", "start", "end")
 
 
 @query("merge_spans")
 def _merge_spans(spark, sf):
     added = _candidate_rows(spark, sf).select(
-        "doc_id",
-        F.array(
-            A.span(F.lit("added"), F.lit(None), F.col("start"), F.col("end"), F.lit(S.RULE_SCORE))
-        ).alias("more"),
-    )
-    held = added.join(_model_arrays(spark, sf), "doc_id", "left")
-    merged = held.select(
-        "doc_id",
-        A.merge_spans(F.coalesce("spans", A.no_spans()), F.col("more")).alias("spans"),
+        "doc_id", F.lit("added").alias("entity"), "start", "end", F.lit(0).cast("long").alias("ord")
     )
-    return A.explode_spans(merged).select("doc_id", "pos", "entity", "start", "end")
+    rows = _model_span_rows(spark, sf).join(added.select("doc_id"), "doc_id", "left_semi")
+    return span_rows.merge_rows(rows, added).select("doc_id", "pos", "entity", "start", "end")
 
 
 @query("sweep_non_overlapping")
 def _sweep(spark, sf):
-    kept = _model_arrays(spark, sf).withColumn(
-        "spans", A.sweep_non_overlapping(F.col("spans"))
-    )
-    return A.explode_spans(kept).select("doc_id", "pos", "entity", "start", "end")
+    kept = span_rows.sweep_rows(_model_span_rows(spark, sf))
+    return span_rows.numbered(kept).select("doc_id", "pos", "entity", "start", "end")
 
 
 @query("filter_min_score")
 def _filter_min_score(spark, sf):
-    kept = _model_arrays(spark, sf).withColumn(
-        "spans", A.filter_min_score(F.col("spans"), F.lit(0.95))
-    )
-    return kept.select("doc_id", F.size("spans").alias("n"))
+    kept = span_rows.scored(_model_span_rows(spark, sf), F.lit(0.95))
+    return kept.select("doc_id", "start", "end", "score", "ord")
 
 
 @query("filter_min_score_final")
 def _filter_min_score_final(spark, sf):
     threshold = F.when(F.col("doc_id") % 3 == 0, 0.0).otherwise(0.97)
-    kept = _model_arrays(spark, sf).withColumn(
-        "spans", A.filter_min_score_final(F.col("spans"), threshold)
-    )
-    return kept.select("doc_id", F.size("spans").alias("n"))
+    kept = span_rows.scored(_model_span_rows(spark, sf), threshold, final=True)
+    return kept.select("doc_id", "start", "end", "score", "ord")
 
 
 @query("ru_postpass")

@@ -19,6 +19,8 @@ from inkbar.operators.validate import text_checks, with_verdict
 from inkbar.plans.job import redact_per_row_options
 
 LANES = 64
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MARKS = "req_id long, fp string, cached boolean"
 
 
@@ -84,6 +86,8 @@ def _decide(
 def stream_mark_cached(requests: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """``req_id, fp, cached`` for a stream.
 
+    The state is one number for each distinct text: without a time limit it grows with
+    the number of distinct texts for as long as the stream runs.
     With ``ttl_ms`` a fingerprint is forgotten when it was not asked for that
     long; Spark then keeps running batches to look for expired keys, so such a
     stream is for a continuous trigger and does not end under ``availableNow``.
@@ -113,7 +117,24 @@ def stream_mark_cached(requests: DataFrame, ttl_ms: int | None = None) -> DataFr
 def start_to_files(
     stream: DataFrame, path: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Append a stream to parquet files."""
+    """Append a stream to parquet files.
+
+    State is kept in RocksDB, on the executors' disks, with its changes in the checkpoint
+    folder; the store is chosen for this query only.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(STORE, None)
+    conf.set(STORE, ROCKS)
+    try:
+        return _started(stream, path, checkpoint, available_now)
+    finally:
+        if before is None:
+            conf.unset(STORE)
+        else:
+            conf.set(STORE, before)
+
+
+def _started(stream: DataFrame, path: str, checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")

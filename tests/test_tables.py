@@ -30,8 +30,23 @@ def test_rejects_carry_status_and_reason(spark):
     ]
     df = spark.createDataFrame(rows, "req_id long, text string, min_score double, mask_char string")
     good, bad = validate_requests(df, max_bytes=10)
-    assert sorted(r.req_id for r in good.collect()) == [1, 7, 8]
-    assert sorted((r.req_id, r.status) for r in bad.collect()) == [(i, 422) for i in (2, 3, 4, 5, 6)]
+    assert sorted(r.req_id for r in good.collect()) == [1, 7]
+    assert sorted((r.req_id, r.status) for r in bad.collect()) == [(i, 422) for i in (2, 3, 4, 5, 6, 8)]
+    assert [r.reason for r in bad.collect() if r.req_id == 8] == ["text missing"]
+
+
+def test_malformed_request_lines_are_refused(spark, tmp_path):
+    lines = [
+        '{"req_id": 1, "text": "fine"}', '{"req_id": 2, "text": "cut', '{"req_id": "x", "text": "a"}',
+        '{"req_id": 4, "min_score": 0.5}', "nothing", '{"req_id": 6, "text": "a", "min_score": "high"}',
+    ]
+    (tmp_path / "r.json").write_text("\n".join(lines))
+    good, bad = validate_requests(src.read_requests(spark, str(tmp_path)))
+    assert [r.req_id for r in good.collect()] == [1]
+    reasons = sorted(r.reason for r in bad.collect())
+    assert reasons == ["malformed request"] * 4 + ["text missing"]
+    done = st.stream_redact(src.read_requests(spark, str(tmp_path))).collect()
+    assert sorted(str(r.status) for r in done) == ["422"] * 5 + ["None"]
 
 
 def test_options_refuse_contradictions():
@@ -285,3 +300,87 @@ def test_only_one_row_per_batch_asks_the_state():
 
 def test_scratch_is_below_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+# -- span rows, streams over folders, percentiles at the edges ---------------
+def plain_overlap(a, b):
+    return a[1] > b[0] and b[1] > a[0]
+
+
+def empty_and_hot_spans(n=300):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(n):
+        a = rnd.randint(0, 150)
+        doc = 0 if i % 3 == 0 else rnd.randint(1, 5) if i % 7 else None
+        rows.append((doc, "e", None, a, a + rnd.choice([0, 0, 1, 3, 9, 40]), 0.5, i))
+    return rows
+
+
+def test_span_rows_equal_plain_python_with_empty_spans(spark):
+    rows = empty_and_hot_spans()
+    spans = spark.createDataFrame(rows, SPAN_ROWS)
+    asked = [(r[0], r[3] - 2, r[3] + (r[6] % 3) * 2 - 2) for r in rows[:120]]
+    candidates = spark.createDataFrame(asked, "doc_id long, start int, end int")
+    counted = span_rows.overlap_counts(candidates, spans).collect()
+    counts = Counter((r.doc_id, r.start, r.end, r.n_overlaps) for r in counted)
+    assert counts == Counter(
+        (d, a, b, sum(x[0] == d and plain_overlap((a, b), x[3:5]) for x in rows)) for d, a, b in asked
+    )
+    left = span_rows.drop_overlapping_rows(candidates, spans).collect()
+    free = {k[:3]: v for k, v in counts.items() if k[3] == 0}
+    assert Counter((r.doc_id, r.start, r.end) for r in left) == Counter(free)
+    partners = {r.ord: r.n_partners for r in span_rows.span_overlap_pairs(spans).collect()}
+    places = {r.ord: r.pos for r in span_rows.numbered(spans).collect()}
+    swept, taken = set(), set()
+    for d in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == d]
+        for r in own:
+            assert partners[r[6]] == sum(x is not r and plain_overlap(r[3:5], x[3:5]) for x in own)
+        reach, kept = 0, []
+        for pos, r in enumerate(sorted(own, key=lambda r: (r[3], r[6]))):
+            assert places[r[6]] == pos
+            if r[3] >= reach:
+                swept.add(r[6])
+                reach = r[4]
+        for r in own:
+            if not any(plain_overlap(r[3:5], k[3:5]) for k in kept):
+                kept.append(r)
+                taken.add(r[6])
+    assert {r.ord for r in span_rows.sweep_rows(spans).collect()} == swept
+    assert {r.ord for r in span_rows.resolve_rows(spans).collect()} == taken
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_stream_queries_read_files_and_folders(spark, tmp_path, parts):
+    from inkbar.plans.queries import QUERIES
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(parts).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("stream_redact", "stream_mark_cached"):
+        one = sorted(map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+        assert sorted(map(str, QUERIES[name](spark, str(tmp_path)).collect())) == one and len(one) == 200
+
+
+def test_percentiles_with_odd_numbers_and_ranks(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "SMALL", 20)
+    monkeypatch.setattr(metrics, "BOUNDS", 8)
+    inf = float("inf")
+    values = [float(i * i % 997) for i in range(500)] + [inf, -inf, inf]
+    df = spark.createDataFrame([(v,) for v in [*values, float("nan"), None]], "v double").repartition(3)
+    asked = (-5, 0, 37.5, 50, 99.9, 100, 130)
+    got = {r.pct: r.value for r in metrics.latency_percentiles(df, "v", asked).collect()}
+    assert got == {float(p): rounded_rank(values, p) for p in asked}
+
+
+def test_scorer_records_outside_their_text_are_told_apart(spark):
+    from inkbar.operators.model import misplaced_raw_spans
+
+    raw = [("g", None, 0.9, -2, 3), ("g", None, 0.9, 4, 99), ("g", None, 0.9, 5, 2), ("g", None, 0.9, 1, 4)]
+    df = spark.createDataFrame([("abcdef", raw)], f"text string, raw {S.RAW_SPANS_DDL}")
+    row = df.select(
+        normalize_raw_spans(F.col("text"), F.col("raw"), F.lit(0.0)).alias("ok"),
+        misplaced_raw_spans(F.col("text"), F.col("raw")).alias("bad"),
+    ).first()
+    assert [(s.text, s.start, s.end) for s in row.ok] == [("bcd", 1, 4)]
+    assert [(s.start, s.end) for s in row.bad] == [(-2, 3), (4, 99), (5, 2)]
