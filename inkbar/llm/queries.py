@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbar.llm import content_sort, disclosure, language, mixing, ngram_join, sharding, templates, toxicity, warc
+from inkbar.llm import content_sort, disclosure, language, line_dedup, mixing, ngram_join, sharding, templates, toxicity, warc
 from inkbar.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,14 @@ def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = line_dedup.repeated_lines(_docs(spark, sf))
+    spelled = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["first"], x["last"])), ",")
+    return found.select(
+        "doc.doc_id", "n_lines", "removed_lines", "removed_words", spelled.alias("removed")
+    )
+
+
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.classify(_docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
 
@@ -76,6 +84,7 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_ngram_join": op4_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,

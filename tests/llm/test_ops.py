@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkbar.llm import (
-    components, content_sort, disclosure, kernel, language, mixing, ngram_join, sharding, templates,
+    components, content_sort, disclosure, kernel, language, line_dedup, mixing, ngram_join, sharding, templates,
     toxicity, warc,
 )
 from inkbar.llm.queries import QUERIES
@@ -140,6 +140,68 @@ def test_warc_keys_and_empty_table(spark):
     assert warc.lookup(archive, spark.createDataFrame([("http://x.org",)], "url string")).count() == 0
 
 
+# ---- 2 line dedup ------------------------------------------------------------
+
+
+def test_patience_blocks_are_common_and_in_order():
+    import random
+
+    rnd = random.Random(1)
+    for _ in range(300):
+        a = [rnd.randint(0, 12) for _ in range(rnd.randint(0, 30))]
+        b = a[:5] + [rnd.randint(0, 12) for _ in range(rnd.randint(0, 20))] + a[8:]
+        done = (0, 0)
+        for i, j, n in line_dedup.patience(a, b):
+            assert n > 0 and a[i : i + n] == b[j : j + n] and i >= done[0] and j >= done[1]
+            done = (i + n, j + n)
+    # a line that both hold once is never lost to others of its kind
+    assert (2, 1, 2) in line_dedup.patience([1, 1, 7, 8, 1], [1, 7, 8, 1, 1, 1])
+
+
+SENTENCES = [" ".join(f"{c}{k}" for k in range(15)) + "." for c in "abcdefgh"]
+
+
+def test_lines_are_removed_from_later_documents(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "RARE", 8)
+    s = SENTENCES
+    texts = {
+        1: " ".join(s[:4]),
+        2: f"Own start here. {s[1]} {s[2]} Own end.",
+        3: "nothing shared here at all.",
+        6: " ".join(s[4:6]) + "\n" + " ".join(s[:2]),
+        7: s[0] + " short tail.",  # 15 words are too few
+        8: s[3] + " Between. " + s[1],  # another order
+    }
+    texts |= {100 + i: f"doc {i} alone. {s[6]} Yes. {s[7]} rest {i}." for i in range(30)}
+    rows = [(i, t) for i, t in texts.items()] + [(4, None), (5, ""), (None, " ".join(s[:4]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("own"))
+    got = {r.doc_id: r.cleaned for r in line_dedup.clean(table).collect()}
+    want = {i: t for i, t in rows if i is not None}
+    want |= {2: "Own start here. Own end.", 6: " ".join(s[4:6]) + "\n"}
+    want |= {100 + i: f"doc {i} alone. rest {i}." for i in range(1, 30)}
+    assert {i: t for i, t in got.items() if i is not None} == want and got[None] == ""
+    counts = {r.doc.doc_id: r for r in line_dedup.repeated_lines(table).collect()}
+    assert counts[2].removed_lines == 2 and counts[2].removed_words == 30 and counts[2].n_lines == 4
+
+
+def test_exact_copies_lose_all_their_lines(spark, docs, texts):
+    rows = {r.doc_id: r for r in QUERIES["op2_line_dedup"](spark, SF).collect()}
+    assert set(rows) == set(texts)
+    first = {}
+    for i, t in sorted(texts.items()):
+        if first.setdefault(t, i) != i and len(re.findall(r"[^\W_]+", t)) >= 200:
+            # a text of one long line or of several: nothing of a copy is left but short lines
+            assert rows[i].removed_lines >= 0.9 * rows[i].n_lines
+
+
+def test_line_dedup_on_odd_rows(odd, empty):
+    found = line_dedup.repeated_lines(odd).collect()
+    assert len(found) == 12 and all(r.removed_lines <= r.n_lines for r in found)
+    done = line_dedup.clean(odd)
+    assert done.columns == [*odd.columns, "cleaned"] and done.count() == 12
+    assert line_dedup.clean(empty).count() == 0 and line_dedup.repeated_lines(empty).count() == 0
+
+
 # ---- 3 toxicity --------------------------------------------------------------
 
 
