@@ -63,3 +63,25 @@ def test_existing_spans_do_not_double_the_work(spark):
     assert scans(plan_of(spark, out.select("doc_id", "spans"))) == 1
     by_row = pii_spans(F.col("text"), strict=F.col("doc_id") > 3).alias("spans")
     assert scans(plan_of(spark, docs.select(by_row))) == 1
+
+
+@pytest.mark.parametrize(
+    "name, most",
+    [("detect_distinct_once", 8), ("redact_with_external_spans", 8), ("drop_overlapping_existing", 8)],
+)
+def test_shuffles_stay_few_without_broadcasts(spark, name, most):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(spark, QUERIES[name](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= most and "ShuffledHashJoin" not in plan
+
+
+def test_no_span_table_is_gathered_or_ordered_by_document_alone(spark):
+    for name in ("sweep_non_overlapping", "resolve_overlaps", "explode_spans", "span_overlap_pairs", "merge_spans"):
+        plan = plan_of(spark, QUERIES[name](spark, SF))
+        # windows are by (partition, document) or, over one row per partition, by document
+        for line in plan.split("\n"):
+            if "windowspecdefinition(doc_id" in line:
+                raise AssertionError(f"{name}: {line[:200]}")
