@@ -200,18 +200,10 @@ def _bitmap(places: DataFrame) -> np.ndarray:
     return table
 
 
-def ngram_join(
-    docs: DataFrame,
-    threshold: float = THRESHOLD,
-    size: int = SHINGLE,
-    recall: float = RECALL,
-) -> DataFrame:
-    """``doc_id, tkey, set_key, class_id, copy_of, n_links``, a row for each row of docs.
-
-    ``class_id`` is the least doc_id of the document's connected group,
-    ``copy_of`` the least doc_id with the same n-gram set, ``n_links`` the number
-    of other rows whose similarity reaches the threshold.  ``tkey`` is the md5 of the text.
-    """
+def _linked_sets(
+    docs: DataFrame, threshold: float, size: int, recall: float
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signed rows, their classes, what ``_verify`` found, and ``node, label`` of the linked classes."""
     bands, rows = bands_for(threshold, recall)
     signed = written(signatures(docs, size, bands, rows), "ngram-signatures")
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
@@ -271,7 +263,23 @@ def ngram_join(
         .applyInArrow(_verify(threshold), "u binary, v binary, links long"),
         "ngram-links",
     )
-    joined = components(found.filter("v is not null").select("u", "v"))
+    return signed, classes, found, components(found.filter("v is not null").select("u", "v"))
+
+
+def ngram_join(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    size: int = SHINGLE,
+    recall: float = RECALL,
+) -> DataFrame:
+    """``doc_id, tkey, set_key, class_id, copy_of, n_links``, a row for each row of docs.
+
+    ``class_id`` is the least doc_id of the document's connected group,
+    ``copy_of`` the least doc_id with the same n-gram set, ``n_links`` the number
+    of other rows whose similarity reaches the threshold.  ``tkey`` is the md5 of the text.
+    A doc_id may stand on several texts, so ``class_id`` names a group but is no key of it.
+    """
+    signed, classes, found, joined = _linked_sets(docs, threshold, size, recall)
     linked = (
         classes.select("set_key", "doc_id", "copies")
         .join(joined, F.col("set_key") == F.col("node"))
@@ -305,17 +313,27 @@ def ngram_join(
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with one document left of each connected group.
 
-    The row of the least doc_id stays (of repeated rows with it, one).  Rows without words are
-    linked to nothing and stay.
+    The row of the least (doc_id, md5 of the text), null ids last, stays (of repeated rows
+    with it, one).  Groups are told by their sets, never by doc_id, which may be null or stand on
+    several texts.  Rows without words are linked to nothing and stay.
     """
-    classes = written(ngram_join(docs, threshold), "ngram-members")
-    stays = classes.filter(
-        F.col("set_key").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    )
-    rank = F.struct("tkey")
+    signed, classes, _, joined = _linked_sets(docs, threshold, SHINGLE, RECALL)
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
+    # one text has one set, so a doc_id and text head one group at most
     heads = (
-        stays.groupBy("class_id").agg(F.min(rank).alias("r"), F.count("*").alias("n"))
-        .select(F.col("class_id").alias("_d"), F.col("r.tkey").alias("_t"), "n")
+        classes.select("set_key", least.alias("least"))
+        .join(joined, F.col("set_key") == F.col("node"), "left")
+        .groupBy(F.coalesce("label", "set_key").alias("group"))
+        .agg(F.min("least").alias("least"))
+        .select(F.col("least.doc_id").alias("_d"), F.col("least.tkey").alias("_t"))
+    )
+    times = (
+        signed.filter("set_key is not null")
+        .groupBy(F.col("doc_id").alias("d"), F.col("tkey").alias("t")).agg(F.count("*").alias("n"))
+    )
+    heads = written(
+        heads.join(times, F.col("_d").eqNullSafe(F.col("d")) & (F.col("_t") == F.col("t"))).select("_d", "_t", "n"),
+        "ngram-heads",
     )
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     keyed = boxed(docs, doc_id=F.col("doc_id").cast("long"), key=F.md5("text"), words=words)

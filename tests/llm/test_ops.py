@@ -342,6 +342,19 @@ def test_join_on_odd_rows(odd, empty):
     assert joined(empty) == Counter() and ngram_join.keep_one(empty).count() == 0
 
 
+def test_keep_one_keeps_every_group(spark):
+    def text(c):
+        return " ".join(f"{c}{k}" for k in range(30))
+
+    rows = [(None, text(c)) for c in "abc"] + [(None, text("a"))]  # three groups without an id
+    rows += [(7, text("d")), (7, text("e")), (7, text("e")), (8, text("e")), (9, text("d") + " end")]
+    rows += [(None, None), (5, text("c"))]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(
+        [(None, text("a")), (None, text("b")), (5, text("c")), (7, text("d")), (7, text("e")), (None, None)]
+    )
+
+
 def test_bands_reach_their_recall():
     for t in (0.5, 0.7, 0.8, 0.95):
         bands, rows = ngram_join.bands_for(t, 0.9995)
