@@ -1,19 +1,22 @@
 """Line deduplication by pairwise alignment.
 
 A line is a stretch of words that ends at a line break or at the end of a sentence; lines
-are equal if their lower-case words are.  Documents that share a line of ``ANCHOR``
-words or more are found through the line's hash:
+are equal if their lower-case words are.  A stretch of lines of ``BLOCK_WORDS`` words or
+more that also stands, line by line, in an earlier document goes from the later one,
+however many documents hold it.
 
-* Each line pairs a document with the first one that holds it and, if it is rare (in
+* A *run* is a shortest series of lines of ``BLOCK_WORDS`` words from a line on, or up to a
+  line.  Each common stretch is covered by its runs, so documents are met through run
+  hashes: a run pairs a document with the first one that holds it and, if it is rare (in
   ``RARE`` documents at most), with the one before it in order of doc_id.  Each pair is aligned by patience
   diff: lines that are unique in both and in the same order are fixed, equal lines next to
   them join, and the gaps are aligned in the same way.  Aligned blocks of ``BLOCK_WORDS``
   words or more go from the later document.
-* Of lines in more documents all but the first document's are repeats.  Runs of them of
-  ``BLOCK_WORDS`` words or more go whatever was aligned, so nothing is left out for
-  being too frequent, and no group of documents meets in one task.
+* What alignment leaves (lines that are not unique, passages in another order, holders that
+  are not paired) goes by the runs themselves: every run that an earlier document holds.
+  No count bounds this, and no group of documents meets in one task.
 
-Pairs grow with the shared lines, two for each at most.  What is sent for a pair
+Pairs grow with the shared runs, two for each at most.  What is sent for a pair
 are two lists of line hashes, never texts.
 
 Defined cases: null and empty texts have no lines.  A null doc_id counts as the latest.  Repeated
@@ -35,7 +38,6 @@ from inkbar.llm.rows import boxed
 from inkbar.operators.skew import join_hot
 from inkbar.plans.scratch import written
 
-ANCHOR = 6
 BLOCK_WORDS = 20
 RARE = 64
 _DOC = "struct<none:boolean,doc_id:bigint,tkey:string>"
@@ -160,6 +162,50 @@ def lines(docs: DataFrame) -> DataFrame:
     )
 
 
+_STEP = 0xD1342543DE82EF95
+_STEP_BACK = pow(_STEP, -1, 1 << 64)
+
+
+def _runs(hashes: np.ndarray, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, end and hash of every run, in order of the first line; ``row`` as in ``Lines``."""
+    n, count = len(hashes), np.diff(row)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    here = np.arange(n)
+    ahead = np.searchsorted(total, total[:-1] + BLOCK_WORDS, side="left")
+    back = np.searchsorted(total, total[1:] - BLOCK_WORDS, side="right") - 1
+    fits, reaches = ahead <= np.repeat(row[1:], count), back >= np.repeat(row[:-1], count)
+    first = np.concatenate([here[fits], back[reaches]])
+    end = np.concatenate([ahead[fits], here[reaches] + 1])
+    code = np.unique(first * (n + 1) + end)
+    first, end = code // (n + 1), code % (n + 1)
+    power, inverse = (np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (_STEP, _STEP_BACK))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1])])
+    return first, end, mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
+
+
+def _runs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of a batch of ``lines``, and the first line of each row."""
+    column = batch.column("hashes")
+    row = np.asarray(column.offsets, dtype=np.int64)
+    hashes, words = (np.asarray(batch.column(c).flatten(), dtype=np.int64) for c in ("hashes", "words"))
+    row = row - row[0]
+    return *_runs(hashes.view(np.uint64), words, row), row
+
+
+def _run_rows(batches):
+    """``doc, hash``: the distinct runs of every row."""
+    for batch in batches:
+        first, _, key, row = _runs_of(batch)
+        of = np.searchsorted(row, first, side="right") - 1
+        order = np.lexsort((key, of))
+        of, key = of[order], key[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc").take(pa.array(of[new])), pa.array(key[new].view(np.int64))], names=["doc", "hash"]
+        )
+
+
 def _long_enough(blocks, words) -> list[dict]:
     return [
         {"first": s, "last": e - 1} for s, e in blocks if sum(words[s:e]) >= BLOCK_WORDS
@@ -176,24 +222,22 @@ def _aligned(batches):
 
 
 def _merged(batches):
-    """All blocks of a row, and the runs of its frequent lines, as one sorted list."""
+    """All blocks of a row, and its runs that an earlier document holds, as one sorted list."""
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     for batch in batches:
         out, n_removed, w_removed = [], [], []
-        for hashes, words, blocks, often in zip(
-            *(batch.column(c).to_pylist() for c in ("hashes", "words", "blocks", "often"))
+        first, end, key, row = _runs_of(batch)
+        key, at = key.view(np.int64), np.searchsorted(first, row)
+        for i, (words, blocks, held) in enumerate(
+            zip(*(batch.column(c).to_pylist() for c in ("words", "blocks", "held")))
         ):
             gone = [False] * len(words)
             for block in blocks or []:
                 gone[block["first"] : block["last"] + 1] = [True] * (block["last"] - block["first"] + 1)
-            repeated = set(often or [])
-            edge = [h in repeated for h in hashes] + [False]
-            start = 0
-            for k, held in enumerate(edge if repeated else []):
-                if not held:
-                    if sum(words[start:k]) >= BLOCK_WORDS:
-                        gone[start:k] = [True] * (k - start)
-                    start = k + 1
+            own = slice(at[i], at[i + 1])
+            known = np.flatnonzero(np.isin(key[own], held or [])) + at[i]
+            for s, e in zip((first[known] - row[i]).tolist(), (end[known] - row[i]).tolist()):
+                gone[s:e] = [True] * (e - s)
             runs, start = [], None
             for k, dead in enumerate([*gone, False]):
                 if dead and start is None:
@@ -220,21 +264,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     held = written(lines(docs), "line-hashes")
     one = held.dropDuplicates(["doc"])
-    long_lines = F.filter(
-        F.arrays_zip("hashes", "words"), lambda x: x["words"] >= ANCHOR
-    )
-    anchors = written(
-        held.select(
-            "doc", F.explode(F.array_distinct(F.transform(long_lines, lambda x: x["hashes"]))).alias("hash")
-        ),
-        "line-anchors",
+    runs = written(
+        held.select("doc", "hashes", "words").mapInArrow(_run_rows, f"doc {_DOC}, hash long"), "line-runs"
     )
     shared = written(
-        anchors.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc").alias("head")).filter("n > 1"),
+        runs.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc").alias("head")).filter("n > 1"),
         "line-shared",
     )
     told = written(
-        join_hot(anchors, shared, "hash", "doc", shared.select("hash", "n")).filter("n > 1 and doc > head"),
+        join_hot(runs, shared, "hash", "doc", shared.select("hash", "n")).filter("n > 1 and doc > head"),
         "line-told",
     )
     rare = told.filter(F.col("n") <= RARE)
@@ -255,11 +293,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         .select("doc", F.explode("blocks").alias("block"))
         .groupBy("doc").agg(F.collect_set("block").alias("blocks"))
     )
-    often = (
-        told.filter(F.col("n") > RARE).groupBy("doc").agg(F.collect_set("hash").alias("often"))
-    )
+    # a document's own runs, two for each of its lines at most
+    known = told.groupBy("doc").agg(F.collect_set("hash").alias("held"))
     return (
-        held.join(aligned, "doc", "left").join(often, "doc", "left")
+        held.join(aligned, "doc", "left").join(known, "doc", "left")
         .mapInArrow(
             _merged,
             f"doc {_DOC}, n_lines long, removed_lines long, removed_words long, removed {_BLOCKS}",

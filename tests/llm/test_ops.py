@@ -184,6 +184,41 @@ def test_lines_are_removed_from_later_documents(spark, monkeypatch):
     assert counts[2].removed_lines == 2 and counts[2].removed_words == 30 and counts[2].n_lines == 4
 
 
+def plain_removed(texts, least=20):
+    """Lines that lie in a stretch of ``least`` words which an earlier document holds."""
+    cut = {i: [x.lower().split() for x in t.rstrip(".").split(". ")] for i, t in texts.items()}
+    out = {}
+    for i, own in cut.items():
+        gone = set()
+        for s in range(len(own)):
+            for e in range(s + 1, len(own) + 1):
+                if sum(map(len, own[s:e])) >= least and any(
+                    own[s:e] == b[k : k + e - s] for j, b in cut.items() if j < i for k in range(len(b))
+                ):
+                    gone |= set(range(s, e))
+        out[i] = gone
+    return out
+
+
+def test_every_stretch_of_an_earlier_document_goes(spark):
+    import random
+
+    line = lambda c, n=12: " ".join(f"{c}{k}" for k in range(n)) + "."
+    a, b, x, y = line("a"), line("b"), line("x", 3), line("y", 25)
+    texts = {1: a, 2: b, 3: f"{a} {b}", 4: a, 5: b, 6: f"{a} {b}"}  # 6 repeats 3, not 1, 2 or 5
+    texts |= {10: f"{y} {a} {x} {b}", 11: f"own. {a} {x} {b} mid. {y} {a} {x} {b} {a} {x} {b}"}  # twice, and in another order
+    rnd = random.Random(4)
+    kinds = [line(c, n) for c, n in zip("cdefgh", (2, 5, 9, 12, 19, 21))]
+    texts |= {20 + i: " ".join(rnd.choice(kinds) for _ in range(8)) for i in range(25)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {
+        r.doc.doc_id: {k for x in r.removed for k in range(x["first"], x["last"] + 1)}
+        for r in line_dedup.repeated_lines(table).collect()
+    }
+    assert got[6] == {0, 1} and not got[3] and len(got[11]) == 10
+    assert got == plain_removed(texts)
+
+
 def test_exact_copies_lose_all_their_lines(spark, docs, texts):
     rows = {r.doc_id: r for r in QUERIES["op2_line_dedup"](spark, SF).collect()}
     assert set(rows) == set(texts)
