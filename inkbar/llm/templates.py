@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of lower-case word tokens in which numbers, names
-(capitalised words that do not begin a sentence, ``MOST_NAMES`` on end at most) and units after a number are
-typed placeholders.  Windows of ``SHINGLE`` template tokens are looked up by hash.
+(capitalised words, ``MOST_NAMES`` on end at most) and units after a number are
+typed placeholders.  Digit groups with an inner comma or point are one number.  A capital that begins
+a sentence may be a name or not, so items and documents are read both ways.  Windows of ``SHINGLE`` template tokens are looked up by hash.
 A benchmark item is found in a document if ``NEED`` of its windows (80% of a
 shorter item's) stand there in the same order, within a small drift for words
 put in or left out, and if its slots are filled consistently: equal values of the
@@ -22,7 +23,7 @@ Repeated rows and repeated items give equal answers.  Empty tables: every docume
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -53,11 +54,15 @@ _BITS = 22
 
 @dataclass
 class Template:
-    """Tokens of several rows: plain hashes, template hashes, first token of each row."""
+    """Tokens of several rows: plain hashes, template hashes, first token of each row.
+
+    In ``initial`` capitals that begin a sentence are names too.
+    """
 
     plain: np.ndarray
     template: np.ndarray
     row: np.ndarray
+    initial: np.ndarray
 
 
 _STOP = np.zeros(256, dtype=bool)
@@ -69,40 +74,64 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(Tokens(data, offsets, ALNUM).hashes())
 
 
+def _joined(tokens: Tokens, lead: np.ndarray) -> np.ndarray:
+    """Which tokens go on a number: digits right after digits and an inner comma or point."""
+    digit = (tokens.data >= 48) & (tokens.data <= 57)
+    others = np.concatenate([[0], np.cumsum(~digit)])
+    whole = others[tokens.end] == others[tokens.start]
+    inner = tokens.data[np.minimum(tokens.end, len(tokens.data) - 1)]
+    on = np.zeros(len(tokens), dtype=bool)
+    on[1:] = (
+        whole[:-1] & lead[1:] & (tokens.start[1:] == tokens.end[:-1] + 1) & ((inner[:-1] == 44) | (inner[:-1] == 46))
+    )
+    on[tokens.row[:-1][tokens.row[:-1] < len(tokens)]] = False
+    return on
+
+
 def template(column: pa.Array) -> Template:
     raw, raw_at = text_bytes(column)
     data, at = text_bytes(lower(column))
     tokens, written_as = Tokens(data, at, ALNUM), Tokens(raw, raw_at, ALNUM)
-    n = len(tokens)
     plain = tokens.hashes()
-    if not n:
-        return Template(plain, plain, tokens.row)
+    if not len(tokens):
+        return Template(plain, plain, tokens.row, plain)
     lead = data[tokens.start]
+    head = np.flatnonzero(~_joined(tokens, (lead >= 48) & (lead <= 57)))
+    last = np.append(head[1:], len(tokens)) - 1
+    place = np.arange(len(tokens)) - np.repeat(head, last - head + 1)
+    power = np.cumprod(np.append(np.uint64(1), np.full(int(place.max()), 0x9E3779B97F4A7C15, dtype=np.uint64)))
+    plain = np.add.reduceat(plain * power[place], head)
+    row = np.searchsorted(head, tokens.row)
+    start, end, raw_start, raw_end = tokens.start[head], tokens.end[last], written_as.start[head], written_as.end[last]
+    n, lead = len(head), lead[head]
     number = (lead >= 48) & (lead <= 57)
     # a first letter is a capital if lower case changes it
     bytes_of = np.where(lead < 0xC0, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
     capital = np.zeros(n, dtype=bool)
     for k in range(4):
-        here = np.minimum(tokens.start + k, len(data) - 1)
-        there = np.minimum(written_as.start + k, len(raw) - 1)
+        here = np.minimum(start + k, len(data) - 1)
+        there = np.minimum(raw_start + k, len(raw) - 1)
         capital |= (bytes_of > k) & (data[here] != raw[there])
     stops = np.concatenate([[0], np.cumsum(_STOP[raw])])
     first = np.zeros(n, dtype=bool)
-    first[tokens.row[:-1][tokens.row[:-1] < n]] = True
+    first[row[:-1][row[:-1] < n]] = True
     begins = first.copy()
-    begins[1:] |= stops[written_as.start[1:]] > stops[written_as.end[:-1]]
-    long = tokens.end - tokens.start > bytes_of
+    begins[1:] |= stops[raw_start[1:]] > stops[raw_end[:-1]]
+    long = end - start > bytes_of
     # more than MOST_NAMES capitals on end are a way of writing, not names
     shout = capital | number
     edge = np.flatnonzero(np.concatenate([[True], (shout[1:] != shout[:-1]) | first[1:], [True]]))
     run = np.repeat(np.diff(edge), np.diff(edge))
-    name = capital & (run <= MOST_NAMES) & ~begins & ~number & long
+    initial = capital & (run <= MOST_NAMES) & ~number & long
+    name = initial & ~begins
     units = _unit_hashes()
     place = np.minimum(np.searchsorted(units, plain), len(units) - 1)
     unit = np.zeros(n, dtype=bool)
     unit[1:] = (units[place[1:]] == plain[1:]) & number[:-1] & ~first[1:]
-    typed = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, plain)))
-    return Template(plain, typed, tokens.row)
+    typed, every = (
+        np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(x, _NAME, plain))) for x in (name, initial)
+    )
+    return Template(plain, typed, row, every)
 
 
 def _windows(t: Template) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,17 +150,19 @@ class Index:
         t = template(texts)
         hashes, at, useful = _windows(t)
         # documents written without capitals, or in capitals only, show no names
-        flat = Template(t.plain, np.where(t.template == _NAME, t.plain, t.template), t.row)
+        flat = replace(t, template=np.where(t.template == _NAME, t.plain, t.template))
         flat_hashes, _, flat_useful = _windows(flat)
+        all_hashes, _, all_useful = _windows(replace(t, template=t.initial))
         item = np.repeat(np.arange(len(ids)), np.diff(at))
         place = np.arange(len(hashes)) - at[item]
         self.n = np.bincount(item[useful | flat_useful], minlength=len(ids))
         other = flat_useful & (hashes != flat_hashes)
-        hashes = np.concatenate([hashes[useful], flat_hashes[other]])
+        more = all_useful & (hashes != all_hashes)
+        hashes = np.concatenate([hashes[useful], flat_hashes[other], all_hashes[more]])
         order = np.argsort(hashes, kind="stable")
         self.hash = hashes[order]
-        self.item = np.concatenate([item[useful], item[other]])[order]
-        self.place = np.concatenate([place[useful], place[other]])[order]
+        self.item = np.concatenate([item[useful], item[other], item[more]])[order]
+        self.place = np.concatenate([place[useful], place[other], place[more]])[order]
         self.need = np.minimum(NEED, np.ceil(COVER * self.n)).astype(np.int64)
         self.ids, self.t = ids, t
         self.maybe = np.zeros(1 << _BITS, dtype=bool)
@@ -144,6 +175,11 @@ class Index:
         x = (to[:, None] + np.arange(length)).ravel() + own
         y = (at[:, None] + np.arange(length)).ravel() + base
         slot = self.t.plain[x] != self.t.template[x]
+        # a word that begins a sentence fills a slot if it was changed, or stands in another slot
+        begins = (self.t.plain[x] != self.t.initial[x]) & ~slot
+        slot |= begins & (
+            (self.t.plain[x] != doc.plain[y]) | np.isin(self.t.plain[x], self.t.plain[x[slot]])
+        )
         pairs = np.unique(np.stack([x[slot].astype(np.uint64), self.t.plain[x[slot]], doc.plain[y[slot]]]), axis=1)
         if np.sum(pairs[1] == pairs[2]) >= CONSISTENT * pairs.shape[1]:
             return True  # the item's own values
@@ -161,16 +197,18 @@ class Index:
         hashes, at, useful = _windows(doc)
         if not len(hashes) or not len(self.hash):
             return []
-        near = np.flatnonzero(
-            self.maybe[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] & useful
-        )
+        all_hashes, _, all_useful = _windows(replace(doc, template=doc.initial))
+        more = np.flatnonzero(all_useful & (all_hashes != hashes))
+        spot = np.concatenate([np.flatnonzero(useful), more])
+        hashes = np.concatenate([hashes[useful], all_hashes[more]])
+        near = np.flatnonzero(self.maybe[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
         low = np.searchsorted(self.hash, hashes[near], side="left")
         n = np.searchsorted(self.hash, hashes[near], side="right") - low
         near, low, n = near[n > 0], low[n > 0], n[n > 0]
         if not len(near):
             return []
         entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        window = np.repeat(near, n)
+        window = np.repeat(spot[near], n)
         row = np.searchsorted(at, window, side="right") - 1
         here, item, place = window - at[row], self.item[entry], self.place[entry]
         order = np.lexsort((place, item, row))

@@ -452,6 +452,15 @@ def test_templates_find_questions_with_other_slots():
     assert find([QUESTION], texts) == {(0, 0), (1, 0), (6, 0)}
 
 
+def test_templates_find_other_first_names_and_numbers():
+    item = "Tom has 12 apples. Tom gives 5 apples to Eve. How many apples does Tom have now?"
+    other = item.replace("Tom", "Lisa").replace("Eve", "Max").replace("5", "3.5")
+    texts = [other.replace("12", "9"), f"Now this: {other.replace('12', '1,250')} More.", item]
+    mixed = other.replace("Lisa gives", "Paul gives").replace("does Lisa", "does Mary")
+    assert find([item], [*texts, mixed, "Lisa has 9 pears. How many pears does Lisa have now?"]) == {(0, 0), (1, 0), (2, 0)}
+    assert find([texts[1]], [item, texts[0]]) >= {(0, 0), (1, 0)}
+
+
 def test_templates_short_items_and_odd_items():
     assert find(["two words", None, "", "12 13 14 15 16 17"], ["two words", "these two words here", "12 13 14 15 16 17"]) == {(0, 0)}
 
