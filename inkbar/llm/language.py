@@ -3,7 +3,8 @@
 Lower-cased UTF-8 bytes are embedded; filters of several widths run over windows of
 ``WINDOW`` bytes; each filter's greatest answer in the window feeds a softmax.  The
 network is trained in numpy on one window of each document of a bounded sample
-(``PER_LANGUAGE`` documents of each language).  All windows of a text are scored,
+(``PER_LANGUAGE`` documents of each language; ``SAMPLE`` in all, if there are so many
+languages, but one of each at least).  All windows of a text are scored,
 and the document's probabilities are their mean, weighted by length.
 
 At scoring time a filter is a sum of table rows, one for each pair of bytes, so a
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkbar.llm.kernel import lower, pieces, text_bytes
+from inkbar.plans.scratch import written
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -33,7 +35,7 @@ EMBEDDING = 8
 PER_LANGUAGE = 1500
 EPOCHS = 8
 LEAST_SCORE = 0.3
-MOST_LABELS = 200
+SAMPLE = 300_000
 UNKNOWN = "und"
 _BLANK = 32
 
@@ -93,7 +95,8 @@ def fit(windows: list[bytes], labels: list[str], seed: int = 10) -> Network:
     """Train on ``windows`` (bytes, ``WINDOW`` at most are used) with Adam."""
     rng = np.random.Generator(np.random.PCG64(seed))
     known = sorted(set(labels))
-    y = np.array([known.index(v) for v in labels])
+    number = {v: k for k, v in enumerate(known)}
+    y = np.array([number[v] for v in labels])
     x = np.full((len(windows), WINDOW), _BLANK, dtype=np.uint8)
     for i, w in enumerate(windows):
         raw = np.frombuffer(w[:WINDOW], dtype=np.uint8)
@@ -184,18 +187,22 @@ class Scorer:
 def thinned(rows: DataFrame, by: str, order: Column, n: int) -> DataFrame:
     """``rows`` thinned to about 4 * ``n`` for each value of ``by``, those of least ``order``.
 
-    Values with fewer rows keep all.  What is ranked afterwards is so bounded by the
-    number of labels, of which there may be ``MOST_LABELS``.
+    Values with fewer rows keep all, and rows without a value go.  Only values with more rows
+    stand in the table of bounds that is joined; it is small unless there are very many such values,
+    and Spark picks the join by its size.
     """
-    counts = rows.groupBy(by).count().limit(MOST_LABELS + 1).collect()
-    if len(counts) > MOST_LABELS:
-        raise ValueError(f"{by} has more than {MOST_LABELS} values")
-    keep = F.lit(False)
-    for r in counts:
-        part = min(1.0, (4 * n + 100) / r["count"])
-        share = F.lit(True) if part == 1 else order < int(-(2**63) + part * 2**64)
-        keep = F.when(F.col(by) == r[by], share).otherwise(keep)
-    return rows.filter(keep)
+    part = F.lit(4.0 * n + 100) / F.col("count")
+    bounds = written(
+        rows.groupBy(F.col(by).alias("_by")).count().filter(part < 1)
+        .select("_by", (part * F.lit(2.0**64) - F.lit(2.0**63)).cast("long").alias("_bound")),
+        "label-bounds",
+    )
+    keyed = rows.withColumn("_order", order)
+    return (
+        keyed.join(bounds, F.col(by) == F.col("_by"), "left")
+        .filter(F.col(by).isNotNull() & (F.col("_bound").isNull() | (F.col("_order") < F.col("_bound"))))
+        .drop("_by", "_bound", "_order")
+    )
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
@@ -206,8 +213,11 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[byte
     place = F.pmod(
         F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     ).cast("int")
+    rows = docs.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    n_labels = rows.agg(F.count_distinct("lang")).first()[0]
+    per_language = max(1, min(per_language, SAMPLE // max(1, n_labels)))
     drawn = (
-        thinned(docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")), "lang", F.xxhash64("text"), per_language)
+        thinned(rows, "lang", F.xxhash64("text"), per_language)
         .select("lang", F.xxhash64("text").alias("order"), F.lower(F.substring("text", place + 1, WINDOW)).alias("part"))
         .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "part")))
         .filter(F.col("n") <= per_language)
@@ -243,14 +253,19 @@ def _told(docs: DataFrame, net: Network | None, keep: tuple[str, ...]) -> DataFr
         scorer = Scorer(shared.value)
         labels = np.array(scorer.net.labels, dtype=object)
         for batch in pieces(batches, "_text"):
-            means = scorer.texts(*text_bytes(lower(batch.column("_text"))))
+            data, at = text_bytes(lower(batch.column("_text")))
             letters = np.asarray(batch.column("_letters").fill_null(False).to_numpy(False))
-            best = means.argmax(axis=1)
+            best, top = np.zeros(len(letters), np.int64), np.zeros(len(letters))
+            step = max(1, (1 << 22) // len(labels))  # rows whose probabilities are held at once
+            for low in range(0, len(letters), step):
+                own = at[low : low + step + 1]
+                means = scorer.texts(data[own[0] : own[-1]], own - own[0])
+                best[low : low + step], top[low : low + step] = means.argmax(axis=1), means.max(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(p) for p in place),
                     pa.array(np.where(letters, labels[best], UNKNOWN), pa.string()),
-                    pa.array(np.where(letters, means[np.arange(len(best)), best], 0.0), pa.float64()),
+                    pa.array(np.where(letters, top, 0.0), pa.float64()),
                 ],
                 names=[*place, "lang_pred", "score"],
             )

@@ -787,6 +787,21 @@ def test_language_on_odd_rows(odd, empty, docs):
     assert {r.lang_pred for r in language.identify(unlabelled).collect()} == {"und"}
 
 
+def test_language_with_many_labels(spark, monkeypatch):
+    rows = [(i, f"some words in language number {i % 230}", f"l{i % 230}") for i in range(460)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    windows, labels = language.sample(table)
+    assert len(set(labels)) == 230 and len(windows) == 460
+    told = language.predict(table, language.fit(windows[:40], labels[:40]), "doc_id")
+    assert told.count() == 460
+    monkeypatch.setattr(language, "SAMPLE", 100)
+    assert sorted(language.sample(table)[1]) == sorted({r[2] for r in rows})
+    # a frequent label is thinned to those of least order, a rare one is whole
+    rows = spark.range(3000).select(F.when(F.col("id") < 2990, "a").otherwise("b").alias("lang"), "id")
+    kept = Counter(r.lang for r in language.thinned(rows, "lang", F.xxhash64("id"), 50).collect())
+    assert kept["b"] == 10 and 200 < kept["a"] < 420
+
+
 # ---- queries -----------------------------------------------------------------
 
 
