@@ -3,12 +3,14 @@
 Two levels share one layer.  The first reads the bytes of a word in both directions and
 pools them by attention; joined with an embedding of the word itself it is the
 word's input to the second, which reads ``WINDOW`` words in both directions and
-pools them by attention into one score.  A text's score is the highest of its overlapping windows
-(each begins ``STRIDE`` words after the one before), and all of them are scored.
+pools them by attention into one score.  A text's score is the highest of all its overlapping windows:
+one begins at every word that has ``WINDOW`` words from it on, so every stretch of up to ``WINDOW`` words
+is whole in one of them.
 
 A text's label says that some window is toxic, not which.  Training therefore
 picks one window of each toxic text: first the one whose words and word
-parts the labels speak for most, later the one the network itself scores highest.
+parts the labels speak for most, later the one the network itself scores highest.  For that, windows
+begin ``STRIDE`` words apart; the bound between the labels is set on all overlapping windows, as scored.
 The sample is bounded: ``PER_CLASS`` texts of each label, of ``LONGEST`` characters at most.
 
 Scoring is one pass without a shuffle.  A word's first level is computed once for each slice.
@@ -136,16 +138,24 @@ class Words:
         padded = np.append(data, np.zeros(LETTERS_OF, np.uint8))
         self.bytes = np.where(self.mask, padded[np.minimum(spot, len(padded) - 1)], 0)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(window, place) -> distinct token or -1, and the first window of each row."""
+    def starts(self, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First token of each window, end of its row, and the first window of each row."""
         count = np.diff(self.row)
-        n = np.where(count > 0, 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE)), 0)
+        n = np.where(count > 0, 1 + np.maximum(0, -(-(count - WINDOW) // stride)), 0)
         at = np.concatenate([[0], np.cumsum(n)])
-        start = np.repeat(self.row[:-1], n) + (np.arange(at[-1]) - np.repeat(at[:-1], n)) * STRIDE
+        start = np.repeat(self.row[:-1], n) + (np.arange(at[-1]) - np.repeat(at[:-1], n)) * stride
+        return start, np.repeat(self.row[1:], n), at
+
+    def tokens_from(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(window, place) -> distinct token or -1."""
         place = start[:, None] + np.arange(WINDOW)
-        inside = place < np.repeat(self.row[1:], n)[:, None]
         token = np.append(self.token, [0])[np.minimum(place, len(self.token))]
-        return np.where(inside, token, -1), at
+        return np.where(place < end[:, None], token, -1)
+
+    def windows(self, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place) -> distinct token or -1, and the first window of each row."""
+        start, end, at = self.starts(stride)
+        return self.tokens_from(start, end), at
 
 
 class Known:
@@ -188,6 +198,19 @@ class Network:
 
     def logits(self, words: Words, window: np.ndarray, known: Known | None = None) -> np.ndarray:
         """Scores of windows; the first level runs once for each distinct word not ``known``."""
+        return self._scores(self._given(words, known), window)
+
+    def highest(self, words: Words, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that have a window, and the highest score of all overlapping windows of each."""
+        start, end, at = words.starts(1)
+        given, value = self._given(words, known), np.empty(len(start), np.float32)
+        for low in range(0, len(start), 1 << 15):  # the windows of a slice are never held at once
+            part = slice(low, low + (1 << 15))
+            value[part] = self._scores(given, words.tokens_from(start[part], end[part]))
+        full = np.flatnonzero(np.diff(at))
+        return full, np.maximum.reduceat(value, at[full]) if len(full) else value
+
+    def _given(self, words: Words, known: Known | None) -> dict[str, np.ndarray]:
         given = {d: np.empty((len(words.hash), 3 * UNIT), np.float32) for d in "fb"}
         new = np.arange(len(words.hash))
         if known is not None and len(known.hash):
@@ -206,6 +229,9 @@ class Network:
                 given[d][part] = rows
         if known is not None:
             known.add(words.hash, given)
+        return given
+
+    def _scores(self, given: dict[str, np.ndarray], window: np.ndarray) -> np.ndarray:
         out = [np.zeros(0, np.float32)]
         for low in range(0, len(window), 2048):
             part = window[low : low + 2048].T
@@ -304,8 +330,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Network:
                     v[k] += 0.001 * (g[k] * g[k] - v[k])
                     p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         value = net.logits(words, window)
-    best, of = chosen()
-    top, label = value[best], toxic[of]
+    of, top = net.highest(words)
+    label = toxic[of]
     order = np.argsort(top)
     top, label = top[order], label[order]
     # cost if the bound lies before each place; the middle of the cheapest stretch is taken
@@ -356,13 +382,9 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
         known = Known()
         for batch in pieces(batches, limit=1 << 22):
             words = Words(batch.column("text"))
-            window, at = words.windows()
-            value = shared.value.logits(words, window, known)
-            full = np.flatnonzero(np.diff(at))
+            full, best = shared.value.highest(words, known)
             out = np.zeros(batch.num_rows)
-            if len(full):
-                best = np.maximum.reduceat(value, at[full]).astype(np.float64)
-                out[full] = _sigmoid(best - shared.value.shift)
+            out[full] = _sigmoid(best.astype(np.float64) - shared.value.shift)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(out)], names=["doc_id", "score"]
             )

@@ -296,6 +296,20 @@ def test_toxicity_windows_overlap_and_cover():
     assert (window[0][24:] == window[1][:8]).all() and (window[4] >= 0).sum() == 5
 
 
+def test_toxicity_scores_every_overlapping_window():
+    net = toxicity.Network()
+    texts = [" ".join("abcdefghijk"[(i * i + k) % 11] * 3 for i in range(90 + k)) for k in range(4)] + ["", "two words"]
+    words = toxicity.Words(pa.array(texts))
+    full, best = net.highest(words)
+    assert full.tolist() == [0, 1, 2, 3, 5]
+    for i, value in zip(full.tolist(), best.tolist()):
+        own = texts[i].split()
+        parts = [" ".join(own[k : k + 32]) for k in range(max(1, len(own) - 31))]
+        alone = toxicity.Words(pa.array(parts))
+        assert value == pytest.approx(float(net.logits(alone, alone.windows()[0]).max()), abs=1e-5)
+        assert len(alone.windows()[0]) == len(parts)
+
+
 def test_toxicity_query_and_odd_rows(spark, odd, empty):
     got = QUERIES["op3_toxicity"](spark, SF).collect()
     labels = spark.read.parquet(f"{SF}/labels.parquet")
