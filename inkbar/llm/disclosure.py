@@ -3,7 +3,7 @@
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers that plain
 patterns find (base spans).  The corpus then tells which other words give
 an entity away.  With p(e | t) the part of a term's occurrences that stand near entity e
-(``NEAR`` words on either side in the same line) and IC(e) = -log2 of the part of all
+(``NEAR`` words on either side in the same line, however far) and IC(e) = -log2 of the part of all
 words that stand near e, a term reveals
 
     PMI(t; e) / IC(e) = 1 + log2 p(e | t) / IC(e)
@@ -18,7 +18,7 @@ reveal too much.  Candidates are passed to (2) and (3) as a bitmap of fixed size
 thins out what is then joined exactly.
 
 Defined cases: null texts count as empty and have no spans.  A term is ``SHORTEST`` bytes of letters at least
-and is never one inside a base span.  Repeated rows get equal answers, and their
+and is never one inside a base span; words that touch a base span are in no count.  Repeated rows get equal answers, and their
 occurrences all count.  Empty tables give empty results; other columns are kept by ``sanitise`` only.
 """
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ NEAR = 12
 SUPPORT = 3
 GENERALISE = 0.9
 REMOVE = 0.97
-SHORTEST = 4  # bytes of a term
+SHORTEST = 3  # bytes of a term
 KINDS = ("email", "ip", "card", "phone", "removed", "generalised")
 _BITS = 20
 
@@ -98,15 +99,19 @@ def _near(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str,
     covered = [False] * (len(text) + 1)
     for s, _, e in spans:
         covered[s:e] = [True] * (e - s)
+    line_end, words_of, starts = -1, [], []
     for s, kind, e in spans:
         entity = f"{KINDS[kind]}:{text[s:e].lower()}"
-        # words of the line, read outwards in stretches that hold enough of them
-        left = text[text.rfind("\n", 0, s) + 1 : s][-4096:]
-        stop = text.find("\n", e)
-        right = text[e : stop if stop >= 0 else len(text)][:4096]
-        base = s - len(left)
-        before = [m[0] for m in _TERM.finditer(left) if not covered[base + m.start()]][-NEAR:]
-        after = [m[0] for m in _TERM.finditer(right) if not covered[e + m.start()]][:NEAR]
+        if e > line_end:  # the words of a line are read once
+            line = text.rfind("\n", 0, s) + 1
+            line_end = stop if (stop := text.find("\n", e)) >= 0 else len(text)
+            words_of = [
+                m for m in _TERM.finditer(text, line, line_end) if not (covered[m.start()] or covered[m.end() - 1])
+            ]
+            starts = [m.start() for m in words_of]
+        at = bisect_left(starts, s)
+        before = [m[0] for m in words_of[max(0, at - NEAR) : at]]
+        after = [m[0] for m in words_of[at : at + NEAR]]
         words = [w.lower() for w in before + after]
         around = " ".join(words)
         seen = int.from_bytes(hashlib.blake2b(around.encode(), digest_size=8).digest(), "big", signed=True)
@@ -150,17 +155,34 @@ def _places(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
+def _free(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words of a text column touch no base span, and their code points in the row: start, end."""
+    raw, raw_at = text_bytes(column)
+    there = Tokens(raw, raw_at, LETTERS)
+    point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    base = np.repeat(point[raw_at[:-1]], np.diff(there.row))
+    start, end = point[there.start] - base, point[there.end] - base
+    free = np.ones(len(start), dtype=bool)
+    for i, value in enumerate(column):
+        own = slice(there.row[i], there.row[i + 1])
+        for s, _, e in base_spans(value.as_py()) if own.start < own.stop else ():
+            low, high = np.searchsorted(end[own], s, side="right"), np.searchsorted(start[own], e, side="left")
+            free[own.start + low : own.start + high] = False
+    return free, start, end
+
+
 def _count(shared):
     def run(batches):
         for batch in pieces(batches):
             data, at = text_bytes(lower(batch.column("text")))
             tokens = Tokens(data, at, LETTERS)
+            free, _, _ = _free(batch.column("text"))
             hashes = tokens.hashes()
-            near = np.flatnonzero(shared.value[_places(hashes)])
+            near = np.flatnonzero(shared.value[_places(hashes)] & free)
             _, first, n = np.unique(hashes[near], return_index=True, return_counts=True)
             # a row without a term counts all words
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *tokens.strings(near[first])], pa.string()), pa.array([len(tokens), *n.tolist()], pa.int64())],
+                [pa.array([None, *tokens.strings(near[first])], pa.string()), pa.array([int(free.sum()), *n.tolist()], pa.int64())],
                 names=["term", "n"],
             )
 
@@ -174,22 +196,19 @@ def _occurrences(shared):
             data, at = text_bytes(lower(column))
             tokens = Tokens(data, at, LETTERS)
             near = np.flatnonzero(shared.value[_places(tokens.hashes())]) if shared.value.any() else np.zeros(0, np.int64)
-            raw, raw_at = text_bytes(column)
-            there = Tokens(raw, raw_at, LETTERS)
-            point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
             row = np.searchsorted(tokens.row, near, side="right") - 1
-            start = point[there.start[near]] - point[raw_at[row]]
-            end = point[there.end[near]] - point[raw_at[row]]
-            keep = np.ones(len(near), dtype=bool)
-            for i in np.unique(row).tolist():
-                for s, _, e in base_spans(column[i].as_py()):
-                    keep &= (row != i) | (end <= s) | (start >= e)
+            some = np.unique(row)  # spans are looked for in these rows only
+            free, start, end = _free(column.take(pa.array(some)))
+            own = np.diff(tokens.row)[some]
+            held = near - tokens.row[row] + np.concatenate([[0], np.cumsum(own)]).astype(np.int64)[np.searchsorted(some, row)]
+            keep = free[held]
+            row, near, start, end = row[keep], near[keep], start[held][keep], end[held][keep]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(row[keep])),
-                    batch.column("tkey").take(pa.array(row[keep])),
-                    pa.array(tokens.strings(near[keep]), pa.string()),
-                    pa.array(start[keep].astype(np.int32)), pa.array(end[keep].astype(np.int32)),
+                    batch.column("doc_id").take(pa.array(row)),
+                    batch.column("tkey").take(pa.array(row)),
+                    pa.array(tokens.strings(near), pa.string()),
+                    pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)),
                 ],
                 names=["doc_id", "tkey", "term", "start", "end"],
             )

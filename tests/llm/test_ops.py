@@ -707,6 +707,20 @@ def test_revealing_terms_equal_brute_force(spark):
     assert "quux" not in texts[0] and texts[10] == "[WORD] was seen, [EMAIL]" and texts[12] is None
 
 
+def test_names_in_their_own_address_short_names_and_far_words(spark):
+    seen = ["alpha", "bravo", "gamma", "delta", "omega"]
+    rows = [(i, f"{w} smith bob j.smith@ex.com {w}") for i, w in enumerate(seen)]
+    rows += [(10 + i, f"{w} quux{' -' * 3000} jo@far.org{' -' * 3000} zorb {w}") for i, w in enumerate(seen)]
+    rows += [(100 + i, " ".join(f"{w} filler{chr(97 + i)}" for w in seen * 40)) for i in range(20)]
+    found = {}
+    for r in disclosure.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = dict(rows)[r.doc_id]
+        found |= {text[x.start : x.end]: x.kind for x in r.extra}
+        spans = disclosure.base_spans(text)
+        assert not any(x.start < e and s < x.end for x in r.extra for s, _, e in spans)
+    assert found == {"smith": 4, "bob": 4, "quux": 4, "zorb": 4}
+
+
 def test_disclosure_on_odd_rows(odd, empty):
     assert disclosure.detect(odd).count() == 12 and disclosure.detect(empty).count() == 0
     done = disclosure.sanitise(odd)
