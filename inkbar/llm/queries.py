@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbar.llm import content_sort, disclosure, language, line_dedup, mixing, ngram_join, phrases, sharding, templates, toxicity, warc
+from inkbar.llm import content_sort, disclosure, divergence, language, line_dedup, mixing, ngram_join, phrases, sharding, templates, toxicity, warc
 from inkbar.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,10 @@ def op11_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.with_neighbours(_docs(spark, sf))
 
 
+def op12_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(_docs(spark, sf))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
@@ -98,4 +102,5 @@ QUERIES: dict[str, Query] = {
     "op9_disclosure": op9_disclosure,
     "op10_language_id": op10_language_id,
     "op11_fingerprint": op11_fingerprint,
+    "op12_divergence": op12_divergence,
 }
