@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbar.llm import content_sort, disclosure, divergence, language, line_dedup, mixing, ngram_join, phrases, sharding, templates, toxicity, warc
+from inkbar.llm import content_sort, disclosure, divergence, language, lexical, line_dedup, mixing, ngram_join, phrases, sharding, templates, toxicity, warc
 from inkbar.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,10 @@ def op12_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(_docs(spark, sf))
 
 
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(lexical.build(_docs(spark, sf)), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
@@ -103,4 +107,5 @@ QUERIES: dict[str, Query] = {
     "op10_language_id": op10_language_id,
     "op11_fingerprint": op11_fingerprint,
     "op12_divergence": op12_divergence,
+    "op13_lexical_search": op13_lexical_search,
 }
