@@ -2,7 +2,7 @@
 
 The array forms in ``functions.spans`` hold one document's spans in one row.  The
 forms here never do that and never pair spans with each other: overlaps are
-counted from running totals, choices between spans are made island by island, and what
+counted from running totals, choices between spans (``operators.choices``) gather no island, and what
 is only needed for redaction is reduced to at most a few spans per text position
 before anything is gathered.
 """
@@ -12,12 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkbar.functions.spans import (
-    filter_min_score,
-    filter_min_score_final,
-    resolve_overlaps,
-    sweep_non_overlapping,
-)
+from inkbar.functions.spans import filter_min_score, filter_min_score_final
+from inkbar.operators import choices
 from inkbar.operators.ordered import with_running
 
 
@@ -100,40 +96,14 @@ def merge_rows(
     return numbered(both, key, ("start", "added", order)).drop("added")
 
 
-def islands(spans: DataFrame, key: str = "doc_id", order: str = "ord") -> DataFrame:
-    """Span rows with ``island``: a document is cut where no span crosses.
-
-    What is decided between overlapping spans is decided inside an island, so a document
-    need not be gathered; an island is as large as its overlaps make it.
-    """
-    placed = with_running(spans, key, ["start", order], highest={"_reach": F.col("end")})
-    begins = (F.col("_reach").isNull() | (F.col("start") >= F.col("_reach"))).cast("int")
-    return (
-        with_running(placed.withColumn("_begins", begins), key, ["start", order], {"island": F.col("_begins")})
-        .withColumn("island", F.col("island") + F.col("_begins"))
-        .drop("_reach", "_begins")
-    )
-
-
-def _by_island(spans: DataFrame, key: str, order: str, by: str, choose) -> DataFrame:
-    """The spans ``choose`` keeps of each island's array in the order of ``by``."""
-    row = F.struct(*(c for c in spans.columns if c != key))
-    held = F.struct(F.col(by).alias("_by"), F.col(order).alias("_order"), row.alias("s"))
-    lists = (
-        islands(spans, key, order).groupBy(key, "island").agg(F.array_sort(F.collect_list(held)).alias("_all"))
-    )
-    kept = lists.select(key, F.explode(choose(F.transform("_all", lambda x: x.s))).alias("s"))
-    return kept.select(key, "s.*")
-
-
 def sweep_rows(spans: DataFrame, key: str = "doc_id", order: str = "ord") -> DataFrame:
     """Spans that begin at or after the end of the last kept one, in order of start."""
-    return _by_island(spans, key, order, "start", sweep_non_overlapping)
+    return choices.sweep(spans, key, order)
 
 
 def resolve_rows(spans: DataFrame, key: str = "doc_id", order: str = "ord") -> DataFrame:
     """Spans that overlap none that was accepted before them in the order of ``order``."""
-    return _by_island(spans, key, order, order, resolve_overlaps)
+    return choices.resolve(spans, key, order)
 
 
 def drop_overlapping_rows(
