@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkbar.llm.kernel import LETTERS, Tokens, mix, pieces, text_bytes
@@ -48,6 +48,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
+_ROW = np.uint64(_BASE)
 _BACK = pow(_BASE, -1, 1 << 64)
 
 
@@ -77,12 +78,52 @@ def _seed(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big")
 
 
-def _summed(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A place of each distinct key, how often it occurs, and its sum of weights."""
-    _, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    total = np.zeros(len(first), dtype=np.int64)
-    np.add.at(total, back, weight)
-    return first, n, total
+def _summed(key: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A place of each distinct key, and its sums of weights."""
+    order = np.argsort(key, kind="stable")
+    sorted_ = key[order]
+    heads = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    return order[heads], [np.add.reduceat(w[order], heads) for w in weights]
+
+
+def _stretches(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Parts of a byte string as binary values."""
+    size = end - start
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = data[np.arange(at[-1]) + np.repeat(start - at[:-1], size)]
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), len(start), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())]
+    )
+
+
+class _Held:
+    """Counts by key over many slices: some ``most`` rows are held, then summed, then let go."""
+
+    def __init__(self, most: int = 1 << 19):
+        self.most, self.rows, self.parts = most, 0, []
+
+    def add(self, key: np.ndarray, sums: list[np.ndarray], values: list[pa.Array]) -> list:
+        self.parts.append((key, sums, values))
+        self.rows += len(key)
+        if self.rows < self.most:
+            return []
+        self._sum()
+        return self.let_go() if self.rows > self.most // 2 else []
+
+    def _sum(self) -> None:
+        keys, sums, values = zip(*self.parts)
+        key = np.concatenate(keys)
+        first, sums = _summed(key, *(np.concatenate(x) for x in zip(*sums)))
+        pick = pa.array(first)
+        self.parts = [(key[first], sums, [pa.concat_arrays(x).take(pick) for x in zip(*values)])]
+        self.rows = len(first)
+
+    def let_go(self) -> list:
+        """All that is held, as (key, sums, values)."""
+        if self.parts:
+            self._sum()
+        out, self.parts, self.rows = self.parts, [], 0
+        return out
 
 
 def _spliced(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, rows: int) -> tuple[pa.Array, np.ndarray]:
@@ -110,20 +151,31 @@ def _level(before: int, length: int, left, keep_rest: bool) -> Callable:
             names=[n for n, _ in fields],
         )
 
+    def terms_told(rows: list) -> Iterator[pa.RecordBatch]:
+        for _, (docs, n), (lang, source, term) in rows:
+            yield told(
+                {"lang": lang, "source": source, "term": term, "docs": pa.array(docs), "n": pa.array(n)}, len(docs)
+            )
+
+    def prefixes_told(rows: list) -> Iterator[pa.RecordBatch]:
+        for key, (docs,), _ in rows:
+            yield told({"key": pa.array(key.view(np.int64)), "docs": pa.array(docs)}, len(key))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        complete, prefixes = _Held(), _Held()
         for batch in pieces(batches):
             raw, at = text_bytes(batch.column("text"))
             data = _LOWER[raw]
             tokens = Tokens(data, at, LETTERS)
             (lang, langs), (source, sources) = _codes(batch.column("lang")), _codes(batch.column("source"))
-            seeds = np.array([_seed(x) for x in langs], dtype=np.uint64)
+            lang_seeds, source_seeds = (np.array([_seed(x) for x in names], dtype=np.uint64) for names in (langs, sources))
             row = np.repeat(np.arange(batch.num_rows), np.diff(tokens.row))
             start, end = tokens.start, tokens.end
             hashed = _Hashed(data)
             if before:
                 long = end - start > before
                 start, end, row = start[long], end[long], row[long]
-                keys = mix(hashed.of(start, start + before) ^ seeds[lang[row]])
+                keys = mix(hashed.of(start, start + before) ^ lang_seeds[lang[row]])
                 bits = left.value
                 place = (keys >> np.uint64(64 - bits[0])).astype(np.int64)
                 alive = (bits[1][place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
@@ -131,37 +183,30 @@ def _level(before: int, length: int, left, keep_rest: bool) -> Callable:
             if not len(start):
                 continue
             ends_here = end - start <= length
+            names = lambda values, code: pa.array(values, pa.string()).take(pa.array(code))
             # complete terms: documents and occurrences by language and source
             s, e, r = start[ends_here], end[ends_here], row[ends_here]
             if len(s):
                 whole = hashed.of(s, e)
-                first, n, _ = _summed(mix(whole + r.astype(np.uint64) * np.uint64(_BASE)), np.zeros(len(s), np.int64))
-                group = lang[r[first]] * len(sources) + source[r[first]]
-                some, docs, total = _summed(mix(whole[first] + group.astype(np.uint64) * np.uint64(_BASE)), n)
+                first, (n,) = _summed(mix(whole + r.astype(np.uint64) * _ROW), np.ones(len(s), np.int64))
+                of = r[first]
+                key = mix(mix(whole[first] ^ lang_seeds[lang[of]]) + source_seeds[source[of]])
+                some, (docs, n) = _summed(key, np.ones(len(first), np.int64), n)
                 pick = first[some]
-                names = lambda values, code: pa.array(values, pa.string()).take(pa.array(code[r[pick]]))
-                raw_terms = data.tobytes()
-                terms = pa.array([raw_terms[i:j] for i, j in zip(s[pick].tolist(), e[pick].tolist())], pa.binary())
-                yield told(
-                    {"lang": names(langs, lang), "source": names(sources, source), "term": terms,
-                     "docs": pa.array(docs.astype(np.int64)), "n": pa.array(total)},
-                    len(pick),
-                )
+                values = [names(langs, lang[r[pick]]), names(sources, source[r[pick]]), _stretches(data, s[pick], e[pick])]
+                yield from terms_told(complete.add(key[some], [docs, n], values))
             # prefixes of longer ones: documents by language
             s, e, r = start[~ends_here], end[~ends_here], row[~ends_here]
             if len(s):
-                keys = mix(hashed.of(s, s + length) ^ seeds[lang[r]])
-                _, first = np.unique(mix(keys + r.astype(np.uint64) * np.uint64(_BASE)), return_index=True)
-                found, docs = np.unique(keys[first], return_counts=True)
-                yield told({"key": pa.array(found.view(np.int64)), "docs": pa.array(docs.astype(np.int64))}, len(found))
+                keys = mix(hashed.of(s, s + length) ^ lang_seeds[lang[r]])
+                first, _ = _summed(mix(keys + r.astype(np.uint64) * _ROW))
+                some, (docs,) = _summed(keys[first], np.ones(len(first), np.int64))
+                yield from prefixes_told(prefixes.add(keys[first][some], [docs], []))
                 if keep_rest:
                     rest, some = _spliced(data, s, e, r, batch.num_rows)
-                    rows = pa.array(some)
-                    yield told(
-                        {"lang": pa.array(langs, pa.string()).take(pa.array(lang[some])),
-                         "source": pa.array(sources, pa.string()).take(pa.array(source[some])), "rest": rest},
-                        len(rows),
-                    )
+                    yield told({"lang": names(langs, lang[some]), "source": names(sources, source[some]), "rest": rest}, len(some))
+        yield from terms_told(complete.let_go())
+        yield from prefixes_told(prefixes.let_go())
 
     return run
 
@@ -212,63 +257,111 @@ def iceberg_terms(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIRS
     every = tables[0]
     for t in tables[1:]:
         every = every.unionByName(t)
-    return every.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    return every
 
 
-def kept_terms(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``lang, term, n, uses``: each kept term of a language, its occurrences, and those of each source."""
+def source_places(docs: DataFrame) -> DataFrame:
+    """``lang, source, own``: the sources of each language, numbered from 0."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
+    return docs.select(named("lang"), named("source")).distinct().withColumn("own", number)
+
+
+def kept_terms(docs: DataFrame, places: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``lang, term, n, uses``: each kept term of a language, its occurrences, and those of each source.
+
+    Counts are dealt by language and term once; what a task sends of a term is one row for each source.
+    """
+    counts = iceberg_terms(docs, threshold).join(places, ["lang", "source"]).select("lang", "term", "own", "docs", "n")
     return (
-        iceberg_terms(docs, threshold)
+        counts.repartition("lang", "term")
+        .groupBy("lang", "term", "own")
+        .agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
         .groupBy("lang", "term")
-        .agg(
-            F.sum("docs").alias("docs"), F.sum("n").alias("n"),
-            F.collect_list(F.struct("source", "n")).alias("uses"),
-        )
+        .agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("own", "n")).alias("uses"))
         .filter(F.col("docs") >= threshold)
         .drop("docs")
-    )
+    )
+
+
+def _shares(n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """1 + floor(10**9 * (n + 1) / total), exact."""
+    if len(n) and int(n.max()) >= 9_000_000_000:  # beyond 64 bits
+        return (1 + 10**9 * (n.astype(object) + 1) // total.astype(object)).astype(np.int64)
+    return 1 + 10**9 * (n + 1) // total
 
 
-def share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10**9 * (n + 1) / (total + terms)), exact."""
-    wide = F.lit(1_000_000_000).cast("decimal(10,0)") * (n + 1).cast("decimal(19,0)")
-    return F.lit(1) + F.call_function("div", wide, (total + terms).cast("decimal(20,0)"))
-
-
-def _diverging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over terms of how far each source's share is from each other one's."""
-    sums: dict[str, np.ndarray] = {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, table in sums.items():
-            own, other = np.divmod(np.arange(table.size), len(table))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang]).take(pa.array(np.zeros(table.size, np.int64))), pa.array(own.astype(np.int32)),
-                 pa.array(other.astype(np.int32)), pa.array(table.ravel())],
-                names=["lang", "own", "other", "value"],
-            )
-        sums.clear()
-
-    for batch in batches:
-        lang, langs = _codes(batch.column("lang"))
-        none, at, p = batch.column("none"), batch.column("at"), batch.column("p")
-        for code, name in enumerate(langs):
-            rows = np.flatnonzero(lang == code)
-            absent = np.array(none[int(rows[0])].as_py(), dtype=np.int64)
-            step = max(1, _CELLS // len(absent))
-            for i in range(0, len(rows), step):
-                some = pa.array(rows[i : i + step])
-                held, shares = at.take(some), p.take(some)
-                which = np.repeat(np.arange(len(some)), np.asarray(pc.list_value_length(held)))
-                table = np.repeat(absent[:, None], len(some), axis=1)
-                table[np.asarray(held.flatten()), which] = np.asarray(shares.flatten())
-                into = sums.setdefault(name, np.zeros((len(absent), len(absent)), dtype=np.int64))
-                for own in range(len(absent)):
-                    off = table[own] - table
-                    into[own] += (off * off // table).sum(axis=1)
-        if sum(t.size for t in sums.values()) > 4 * _CELLS:
-            yield from flush()
-    yield from flush()
+def _compared(top: int):
+    """Sums over terms of how far each source's shares are from each other one's, and the
+    terms (``item``) that each source uses most beyond its language, the ``top`` of a task."""
+    order = [("own", "ascending"), ("value", "descending"), ("item", "ascending")]
+
+    def first(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order).combine_chunks()
+        own = np.asarray(rows.column("own"))
+        heads = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+        place = np.arange(len(own)) - np.repeat(heads, np.diff(np.append(heads, len(own))))
+        return rows.filter(pa.array(place < top))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        best: dict[str, pa.Table] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, table in sums.items():
+                own, other = np.divmod(np.arange(table.size), len(table))
+                items = first(best[lang])
+                n, size = items.num_rows, table.size
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * (size + n), pa.string()),
+                        pa.concat_arrays([pa.array(own.astype(np.int32)), *items.column("own").chunks]),
+                        pa.concat_arrays([pa.array(other.astype(np.int32)), pa.nulls(n, pa.int32())]),
+                        pa.concat_arrays([pa.array(table.ravel()), *items.column("value").chunks]),
+                        pa.concat_arrays([pa.nulls(size, pa.binary()), *items.column("item").chunks]),
+                    ],
+                    names=["lang", "own", "other", "value", "item"],
+                )
+            sums.clear()
+            best.clear()
+
+        for batch in batches:
+            lang, langs = _codes(batch.column("lang"))
+            for code, name in enumerate(langs):
+                rows = np.flatnonzero(lang == code)
+                totals = np.array(batch.column("totals")[int(rows[0])].as_py(), dtype=np.int64)
+                terms, whole = (batch.column(c)[int(rows[0])].as_py() for c in ("terms", "all_total"))
+                totals += terms
+                absent = _shares(np.zeros(len(totals), np.int64), totals)
+                into = sums.setdefault(name, np.zeros((len(totals), len(totals)), dtype=np.int64))
+                step = max(1, _CELLS // len(totals))
+                for i in range(0, len(rows), step):
+                    some = pa.array(rows[i : i + step])
+                    uses = batch.column("uses").take(some)
+                    own, n = (np.asarray(x) for x in uses.flatten().flatten())
+                    which = np.repeat(np.arange(len(some)), np.asarray(pc.list_value_length(uses)))
+                    p = _shares(n, totals[own])
+                    q = _shares(np.asarray(batch.column("n").take(some)), np.full(len(some), whole + terms))[which]
+                    table = np.repeat(absent[:, None], len(some), axis=1)
+                    table[own, which] = p
+                    for one in range(len(totals)):
+                        off = table[one] - table
+                        into[one] += (off * off // table).sum(axis=1)
+                    more = np.flatnonzero(p > q)
+                    off = (p - q)[more]
+                    found = pa.table({
+                        "own": pa.array(own[more].astype(np.int32)), "value": pa.array(off * off // q[more]),
+                        "item": batch.column("term").take(some).take(pa.array(which[more])),
+                    })
+                    held = [best[name], first(found)] if name in best else [first(found)]
+                    best[name] = pa.concat_tables(held)
+                    if best[name].num_rows > 4 * top * len(totals):
+                        best[name] = first(best[name])
+            if sum(t.size for t in sums.values()) > 4 * _CELLS:
+                yield from flush()
+        yield from flush()
+
+    return run
 
 
 def audit(docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP_TERMS) -> DataFrame:
@@ -277,56 +370,37 @@ def audit(docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP_TERMS) ->
     Part ``pair``: how far the source is from each other source (``item``) of its language.  Part
     ``term``: the ``top`` terms that the source uses more than its language does.
     """
-    kept = written(kept_terms(docs, threshold), "iceberg-kept")
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    groups = docs.select(named("lang"), named("source")).distinct()
-    uses = kept.select("lang", "term", F.col("n").alias("all_n"), F.explode("uses").alias("u")).select(
-        "lang", "term", "all_n", "u.source", "u.n"
-    )
-    totals = uses.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    places = written(source_places(docs), "iceberg-sources")
+    kept = written(kept_terms(docs, places, threshold), "iceberg-kept")
+    totals = (
+        kept.select("lang", F.explode("uses").alias("u"))
+        .groupBy("lang", F.col("u.own").alias("own")).agg(F.sum("u.n").alias("total"))
+    )
     whole = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("all_total"))
-    # one row for each language: its sources in order, with their totals
-    sources = written(
-        groups.join(totals, ["lang", "source"], "left")
+    # one row for each language: the totals of its sources in order
+    by_lang = written(
+        places.join(totals, ["lang", "own"], "left")
         .groupBy("lang")
-        .agg(F.array_sort(F.collect_list(F.struct("source", F.coalesce("total", F.lit(0)).alias("total")))).alias("sources"))
-        .join(whole, "lang", "left"),
-        "iceberg-sources",
-    )
-    own = sources.select("lang", "terms", "all_total", F.posexplode("sources").alias("own", "s")).select(
-        "lang", "terms", "all_total", "own", "s.source", "s.total"
-    )
-    # a source's place in its language, and its share of each term that it uses
-    told = uses.join(own, ["lang", "source"]).select(
-        "lang", "term", "source", "own",
-        share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
-        share(F.col("all_n"), F.col("all_total"), F.col("terms")).alias("q"),
-    )
-    absent = sources.filter("terms is not null").select(
-        "lang", F.transform("sources", lambda s: share(F.lit(0).cast("long"), s.total, F.col("terms"))).alias("none")
-    )
-    by_term = (
-        told.groupBy("lang", "term")
-        .agg(F.collect_list(F.struct("own", "p")).alias("held"))
-        .join(absent, "lang")
-        .select("lang", F.col("held.own").alias("at"), F.col("held.p").alias("p"), "none")
+        .agg(F.array_sort(F.collect_list(F.struct("own", F.coalesce("total", F.lit(0)).alias("total")))).alias("s"))
+        .join(whole, "lang")
+        .select("lang", F.col("s.total").alias("totals"), "terms", "all_total"),
+        "iceberg-totals",
     )
-    sums = (
-        by_term.mapInArrow(_diverging, "lang string, own int, other int, value long")
-        .groupBy("lang", "own", "other")
-        .agg(F.sum("value").alias("value"))
+    told = written(
+        kept.join(by_lang, "lang").mapInArrow(_compared(top), "lang string, own int, other int, value long, item binary"),
+        "iceberg-compared",
     )
-    places = own.select("lang", "own", "source")
+    sums = told.filter("other is not null").groupBy("lang", "own", "other").agg(F.sum("value").alias("value"))
+    others = places.select("lang", F.col("own").alias("other"), F.col("source").alias("item"))
     pairs = (
-        places.join(sources.select("lang", F.posexplode("sources.source").alias("other", "item")), "lang")
+        places.join(others, "lang")
         .filter("own <> other")
         .join(sums, ["lang", "own", "other"], "left")
         .select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
     )
-    off = F.col("p") - F.col("q")
-    terms = told.filter(off > 0).select(
-        "lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"),
-        F.call_function("div", off * off, F.col("q")).alias("value"),
+    terms = (
+        told.filter("other is null").join(places, ["lang", "own"])
+        .select("lang", "source", F.lit("term").alias("part"), F.col("item").cast("string").alias("item"), "value")
     )
     first = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     rank = F.row_number().over(first).alias("rank")
