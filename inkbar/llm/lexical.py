@@ -4,9 +4,9 @@ A term is a run of letters, digits and characters beyond ASCII, with A-Z lower-c
 by a 64-bit hash.  Documents of one normaliser m = 10 + floor(90 * n * N / L) form a stratum (n terms
 in the document, N documents with terms, L terms in all).
 
-``build`` turns each document into its terms and their counts once, deals them to range partitions by
-m (a large stratum is split by a hash of the id) and cuts each sorted partition into blocks of
-about ``BLOCK`` postings.  A block's row for a term lists its documents in runs of equal (m, count),
+``build`` turns each document into its terms and their counts once and packs the strata, in order of m, into
+partitions of equal numbers of postings (a large stratum spans several, dealt by a hash of the id).
+Each sorted partition is cut into blocks of about ``BLOCK`` postings.  A block's row for a term lists its documents in runs of equal (m, count),
 so what a posting adds to a score is computed once for each run:
 w * floor(10**9 * tf / (1000 * tf + 8 * m)), w = floor(1000 * ln((2N + 2) / (2df + 1))).
 
@@ -163,10 +163,18 @@ def build(docs: DataFrame, text: str = "text", block: int = BLOCK) -> Index:
     n, terms = vectors.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     wide = lambda x, digits: F.lit(x).cast(f"decimal({digits},0)")
     over = F.call_function("div", wide(90, 2) * F.col("n").cast("decimal(12,0)") * wide(n, 19), wide(max(terms, 1), 19))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = vectors.withColumn("m", F.lit(10) + over)
+    strata = vectors.groupBy("m").agg(F.sum(F.size("terms")).alias("postings")).withColumn("all", F.lit(0))
+    strata = written(with_running(strata, "all", ["m"], {"before": F.col("postings")}).drop("all"), "lexical-strata")
+    total = strata.agg(F.coalesce(F.sum("postings"), F.lit(0))).first()[0]
+    parts = max(1, -(-total // (2 * block)))
+    # a place among the postings in order of m: that of the stratum, and a hash of the id within it
+    spot = F.pmod(F.xxhash64("doc_id", "n"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    part = F.floor((F.col("before") + spot * F.col("postings")) * parts / max(total, 1)).cast("int")
     placed = (
-        vectors.withColumn("m", F.lit(10) + over)
-        .repartitionByRange(parts, "m", F.xxhash64("doc_id"))
+        vectors.join(strata, "m")
+        .select("doc_id", "m", "terms", "tf", F.least(part, F.lit(parts - 1)).alias("part"))
+        .repartitionById(parts, "part")
         .sortWithinPartitions("m", "doc_id")
         .select("doc_id", "m", "terms", "tf")
     )
@@ -292,7 +300,7 @@ def search(index: Index, queries: DataFrame, best: int = BEST) -> DataFrame:
     heads = index.blocks.filter("term is null").withColumn("w", F.lit(None).cast("long"))
     for part in [r.part for r in asked.select("part").distinct().orderBy("part").collect()]:
         items = asked.filter(F.col("part") == part)
-        wanted = items.select(F.explode("terms").alias("term")).distinct()
+        wanted = written(items.select(F.explode("terms").alias("term")).distinct(), "lexical-wanted")
         df = index.blocks.select("term", "size").join(wanted, "term").groupBy("term").agg(F.sum("size").alias("df"))
         weight = F.floor(1000 * F.ln(F.lit(2.0 * index.docs + 2) / (2 * F.col("df") + 1)))
         weights = written(df.select("term", weight.cast("long").alias("w")), "lexical-weights")
