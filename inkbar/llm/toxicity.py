@@ -2,16 +2,23 @@
 
 Two levels share one layer.  The first reads the bytes of a word in both directions and
 pools them by attention; joined with an embedding of the word itself it is the
-word's input to the second, which reads ``WINDOW`` words in both directions and
-pools them by attention into one score.  A text's score is the highest of all its overlapping windows:
-one begins at every word that has ``WINDOW`` words from it on, so every stretch of up to ``WINDOW`` words
-is whole in one of them.
+word's input to the second, which reads the words of a text in both directions; attention
+pools the states of a window of ``WINDOW`` words into one score.  A text's score is the highest of
+all its overlapping windows: one begins at every word that has ``WINDOW`` words from it on, so every
+stretch of up to ``WINDOW`` words is whole in one of them.
+
+Words are read once, not once for each window.  A text is cut in chunks of ``CHUNK`` words; a chunk is
+read with ``WINDOW`` words on either side to warm up, so a state depends on the text
+alone.  Each word then has a weight and what it says for toxicity, and every window is a
+weighted mean of 32 of those.
 
 A text's label says that some window is toxic, not which.  Training therefore
 picks one window of each toxic text: first the one whose words and word
 parts the labels speak for most, later the one the network itself scores highest.  For that, windows
-begin ``STRIDE`` words apart; the bound between the labels is set on all overlapping windows, as scored.
-The sample is bounded: ``PER_CLASS`` texts of each label, of ``LONGEST`` characters at most.
+begin ``STRIDE`` words apart, and are read with ``CONTEXT`` words on either side; the bound between the labels is
+set on all overlapping windows, as scored.
+The sample is bounded: ``PER_CLASS`` texts of each label, of ``LONGEST`` characters.  Longer texts are drawn
+only where a label has too few others, by a passage at a hash-random place.
 
 Scoring is one pass without a shuffle.  A word's first level is computed once for each slice.
 
@@ -33,6 +40,8 @@ from inkbar.llm.language import fold, thinned
 
 WINDOW = 32
 STRIDE = 24
+CHUNK = 224
+CONTEXT = 16
 LETTERS_OF = 20  # bytes of a token; longer words are several tokens
 PER_CLASS = 3000
 LONGEST = 4000
@@ -60,8 +69,8 @@ class Layer:
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
         return {d: x @ self.p[f"W{d}"] + self.p[f"c{d}"] for d in "fb"}
 
-    def forward(self, given: dict[str, np.ndarray], mask: np.ndarray, keep: bool = False):
-        """Pooled states from projected inputs (time, row, 3 * unit); ``mask`` is (time, row)."""
+    def states(self, given: dict[str, np.ndarray], mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
+        """States of both directions from projected inputs (time, row, 3 * unit); ``mask`` is (time, row)."""
         steps, rows, h = mask.shape[0], mask.shape[1], self.unit
         states = np.zeros((steps, rows, 2 * h), np.float32)
         kept = {}
@@ -80,8 +89,13 @@ class Layer:
                 state = new
                 states[t, :, k * h : (k + 1) * h] = state
             kept[d] = trail
+        return states, kept
+
+    def forward(self, given: dict[str, np.ndarray], mask: np.ndarray, keep: bool = False, pool: np.ndarray | None = None):
+        """Pooled states; where ``pool`` is given, of its places only, the others being read as context."""
+        states, kept = self.states(given, mask, keep)
         e = np.tanh(states @ self.p["A"] + self.p["a"])
-        weight = np.where(mask > 0, e @ self.p["v"], -30.0)
+        weight = np.where((mask if pool is None else pool) > 0, e @ self.p["v"], -np.inf)
         weight = np.exp(weight - weight.max(axis=0))
         weight /= weight.sum(axis=0)
         pooled = np.einsum("tr,tru->ru", weight, states)
@@ -157,6 +171,14 @@ class Words:
         start, end, at = self.starts(stride)
         return self.tokens_from(start, end), at
 
+    def around(self, start: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows with ``CONTEXT`` words on either side (-1 outside the row), and which places are the window."""
+        own = np.arange(-CONTEXT, WINDOW + CONTEXT)
+        place = start[:, None] + own
+        inside = (place >= first[:, None]) & (place < end[:, None])
+        token = np.append(self.token, [0])[np.clip(place, 0, len(self.token))]
+        return np.where(inside, token, -1), inside & (own >= 0) & (own < WINDOW)
+
 
 class Known:
     """First-level results of the words met first, ``most`` at the highest."""
@@ -196,17 +218,59 @@ class Network:
         rows = (hashes % np.uint64(WORD_ROWS)).astype(np.int64)
         return np.concatenate([pooled, self.own["words"][rows]], axis=1), (seen, rows, memory)
 
-    def logits(self, words: Words, window: np.ndarray, known: Known | None = None) -> np.ndarray:
-        """Scores of windows; the first level runs once for each distinct word not ``known``."""
-        return self._scores(self._given(words, known), window)
+    def logits(self, words: Words, window: np.ndarray, pool: np.ndarray | None = None) -> np.ndarray:
+        """Scores of windows that are read by themselves, but for what of them is not in ``pool``."""
+        given, out = self._given(words, None), [np.zeros(0, np.float32)]
+        for low in range(0, len(window), 2048):
+            part = window[low : low + 2048].T
+            chosen = None if pool is None else pool[low : low + 2048].T
+            pooled = self.high.forward({d: given[d][np.maximum(part, 0)] for d in "fb"}, (part >= 0).astype(np.float32), False, chosen)
+            out.append(pooled @ self.own["out"] + self.own["bias"][0])
+        return np.concatenate(out)
+
+    def _along(self, words: Words, given: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token its weight, and its weight times what it says for toxicity."""
+        weight, says = np.zeros(len(words.token)), np.zeros(len(words.token))
+        count = np.diff(words.row)
+        chunks = -(-count // CHUNK)
+        begin, end = np.repeat(words.row[:-1], chunks), np.repeat(words.row[1:], chunks)
+        first = begin + (np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)) * CHUNK
+        low, high = np.maximum(begin, first - WINDOW), np.minimum(end, first + CHUNK + WINDOW)
+        order = np.argsort(high - low, kind="stable")
+        for i in range(0, len(order), 512):
+            part = order[i : i + 512]
+            place = low[part] + np.arange(int((high - low)[part].max()))[:, None]
+            inside = place < high[part]
+            place = np.where(inside, place, 0)
+            token = words.token[place]
+            states, _ = self.high.states({d: given[d][token] for d in "fb"}, inside.astype(np.float32))
+            raw = np.tanh(states @ self.high.p["A"] + self.high.p["a"]) @ self.high.p["v"]
+            own = inside & (place >= first[part]) & (place < first[part] + CHUNK)
+            heavy = np.exp(raw[own].astype(np.float64))
+            weight[place[own]], says[place[own]] = heavy, heavy * (states @ self.own["out"])[own]
+        return weight, says
+
+    def every_window(self, words: Words, known: Known | None = None) -> np.ndarray:
+        """The scores of all overlapping windows, in the order of ``words.starts(1)``."""
+        start, _, at = words.starts(1)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        shift = np.repeat(np.arange(len(words.row) - 1), np.diff(words.row)) * WINDOW
+        place = np.arange(len(words.token)) + shift  # rows lie apart, so a short one's window holds it alone
+        size = len(words.token) + len(words.row) * WINDOW
+        sums = []
+        for values in self._along(words, self._given(words, known)):
+            apart = np.zeros(size)
+            apart[place] = values
+            total = apart.copy()
+            for k in range(1, WINDOW):
+                total[:-k] += apart[k:]
+            sums.append(total[start + row * WINDOW])
+        return (sums[1] / sums[0] + self.own["bias"][0]).astype(np.float32)
 
     def highest(self, words: Words, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows that have a window, and the highest score of all overlapping windows of each."""
-        start, end, at = words.starts(1)
-        given, value = self._given(words, known), np.empty(len(start), np.float32)
-        for low in range(0, len(start), 1 << 15):  # the windows of a slice are never held at once
-            part = slice(low, low + (1 << 15))
-            value[part] = self._scores(given, words.tokens_from(start[part], end[part]))
+        value = self.every_window(words, known)
+        at = words.starts(1)[2]
         full = np.flatnonzero(np.diff(at))
         return full, np.maximum.reduceat(value, at[full]) if len(full) else value
 
@@ -231,22 +295,13 @@ class Network:
             known.add(words.hash, given)
         return given
 
-    def _scores(self, given: dict[str, np.ndarray], window: np.ndarray) -> np.ndarray:
-        out = [np.zeros(0, np.float32)]
-        for low in range(0, len(window), 2048):
-            part = window[low : low + 2048].T
-            mask = (part >= 0).astype(np.float32)
-            pooled = self.high.forward({d: given[d][part] for d in "fb"}, mask)
-            out.append(pooled @ self.own["out"] + self.own["bias"][0])
-        return np.concatenate(out)
-
-    def gradients(self, words: Words, window: np.ndarray, y: np.ndarray) -> list[dict]:
+    def gradients(self, words: Words, window: np.ndarray, y: np.ndarray, pool: np.ndarray | None = None) -> list[dict]:
         used, token = np.unique(np.where(window < 0, 0, window), return_inverse=True)
         token = token.reshape(window.shape).T
         x, (seen, rows, memory) = self._inputs(words.bytes[used], words.mask[used], words.hash[used], True)
         given = self.high.project(x)
         mask = (window.T >= 0).astype(np.float32)
-        pooled, top = self.high.forward({d: given[d][token] for d in "fb"}, mask, True)
+        pooled, top = self.high.forward({d: given[d][token] for d in "fb"}, mask, True, None if pool is None else pool.T)
         error = (_sigmoid(pooled @ self.own["out"] + self.own["bias"][0]) - y) / len(y)
         own = {k: np.zeros_like(v) for k, v in self.own.items()}
         own["out"], own["bias"] = pooled.T @ error, np.array([error.sum()], np.float32)
@@ -295,10 +350,13 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Network:
     rng = np.random.Generator(np.random.PCG64(seed))
     toxic = np.array(toxic)
     words = Words(pa.array(texts, pa.string()))
-    window, at = words.windows()
+    start, end, at = words.starts(STRIDE)
     doc = np.repeat(np.arange(len(texts)), np.diff(at))
+    begin = words.row[doc]
+    one_by_one = words.starts(1)[2][doc] + start - begin  # the same windows among all overlapping ones
+    one_by_one = np.minimum(one_by_one, words.starts(1)[2][doc + 1] - 1)
     odds = np.append(_spoken_for(words, toxic), [-99.0])
-    value = np.sort(odds[window], axis=1)[:, -3:].sum(axis=1)  # -1 takes the last entry
+    value = np.sort(odds[words.tokens_from(start, end)], axis=1)[:, -3:].sum(axis=1)  # -1 takes the last entry
     net = Network(seed)
     first = [{k: np.zeros_like(v) for k, v in p.items()} for p in net.parts()]
     second = [{k: np.zeros_like(v) for k, v in p.items()} for p in net.parts()]
@@ -322,14 +380,16 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Network:
         for low in range(0, len(rows), batch):
             part = order[low : low + batch]
             step += 1
-            grads = net.gradients(words, window[rows[part]], y[part])
+            picked = rows[part]
+            window, own = words.around(start[picked], begin[picked], end[picked])
+            grads = net.gradients(words, window, y[part], own)
             for p, m, v, g in zip(net.parts(), first, second, grads):
                 rate = 0.014 * (1 - epoch / EPOCHS)
                 for k in p:
                     m[k] += 0.1 * (g[k] - m[k])
                     v[k] += 0.001 * (g[k] * g[k] - v[k])
                     p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        value = net.logits(words, window)
+        value = net.every_window(words)[one_by_one]
     of, top = net.highest(words)
     label = toxic[of]
     order = np.argsort(top)
@@ -345,25 +405,37 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Network:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """``text, toxic`` of at most ``per_class`` documents of each label, by a hash of their id."""
+    """``text, toxic`` of at most ``per_class`` documents of each label, by a hash of their id.
+
+    Labelled documents with a word are drawn, those of ``LONGEST`` characters at most before longer
+    ones, of which the text is a passage of that length at a hash-random place.
+    """
     known = (
         labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
+    usable = (
+        docs.filter(F.col("text").rlike(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"))
+        .groupBy("doc_id").agg(F.min(F.length("text") > LONGEST).alias("long"))
+    )
+    kinds = known.join(usable, "doc_id").withColumn("kind", 2 * F.col("toxic") + F.col("long").cast("int"))
+    first = Window.partitionBy("toxic").orderBy("long", F.xxhash64("doc_id"), "doc_id")
     drawn = (
-        thinned(known, "toxic", F.xxhash64("doc_id"), per_class)
-        .withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
-        .filter(F.col("n") <= per_class).select("doc_id", "toxic")
+        thinned(kinds, "kind", F.xxhash64("doc_id"), per_class)
+        .withColumn("n", F.row_number().over(first))
+        .filter(F.col("n") <= per_class).select("doc_id", "toxic", "long")
     )
+    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - LONGEST, F.lit(0)) + 1).cast("int")
     # two labels, per_class rows each: the bound of the broadcast
     return (
-        docs.filter(F.length("text").between(1, LONGEST)).select("doc_id", "text")
-        .join(F.broadcast(drawn), "doc_id")
+        docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+        .filter((F.length("text") > LONGEST) == F.col("long"))
+        .select(F.substring("text", place + 1, F.lit(LONGEST)).alias("text"), "toxic")
     )
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network | None:
     """A network from documents and ``labels(doc_id, toxic)``; None without both labels."""
-    rows = sample(docs, labels, per_class).select("text", "toxic").collect()
+    rows = sample(docs, labels, per_class).collect()
     rows.sort(key=lambda r: (r.toxic, r.text))
     rows = [r for r in rows if any(c.isalpha() for c in r.text)]
     if len({r.toxic for r in rows}) < 2:

@@ -581,3 +581,7 @@ ORACLES["stream_redact"] = f"""WITH {_ON_DOCS}, d AS (
     CASE WHEN doc_id % 50 = 7 THEN 422 END AS status FROM x"""
 ORACLES["stream_mark_cached"] = """SELECT doc_id AS req_id,
   row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS cached FROM documents"""
+
+ORACLES["stream_mark_recent"] = """SELECT event_id AS req_id,
+  coalesce(ts - lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) <= INTERVAL 1 DAY, false)
+    AS cached FROM events"""

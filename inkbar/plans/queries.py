@@ -27,6 +27,7 @@ from inkbar.plans.job import (
 from inkbar.plans.scratch import scratch_path
 from inkbar.plans.templates import TEMPLATES
 from inkbar.sources import sinks, text as sources
+from inkbar.streaming import recent as recents
 from inkbar.streaming import stream as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -805,3 +806,14 @@ def _stream_mark_cached(spark, sf):
     )
     marks = streams.stream_mark_cached(requests)
     return _drain(spark, marks, "stream_mark").select("req_id", "cached")
+
+
+@query("stream_mark_recent")
+def _stream_mark_recent(spark, sf):
+    """Repeats within a day, by event time, of what each user does."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    requests = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").selectExpr(
+        "event_id as req_id", "concat(event_type, ' ', user_id) as text", "ts"
+    )
+    marks = recents.stream_mark_recent(requests, "1 day")
+    return _drain(spark, marks, "stream_recent").select("req_id", "cached")
