@@ -543,6 +543,14 @@ ORACLES["detect_fingerprint"] = f"""SELECT req_id, sha256(concat_ws(chr(31), tex
 ORACLES["detect_distinct_once"] = f"""WITH {_ON_DOCS}, m AS ({_MARKS})
   SELECT m.req_id, coalesce(string_agg(f.entity || ':' || f.start || ':' || f."end", ',' ORDER BY f.start), '') AS ranges,
     m.cached FROM m LEFT JOIN {_FOUND} AS f ON f.doc_id = m.req_id GROUP BY m.req_id, m.cached"""
+_ASKED = """SELECT doc_id, text, 0 AS late FROM documents
+  UNION ALL SELECT 1000000000 + conv_id * 1000 + turn, text, 1 FROM conversations"""
+_ctes, _last = chain(f"SELECT doc_id, text FROM ({_ASKED})")
+ORACLES["detect_across_runs"] = f"""WITH {_ctes}, m AS (
+  SELECT doc_id AS req_id,
+    late = 0 OR row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS cached FROM ({_ASKED})
+) SELECT m.req_id, coalesce(string_agg(f.entity || ':' || f.start || ':' || f."end", ',' ORDER BY f.start), '') AS ranges,
+    m.cached FROM m LEFT JOIN {_last} AS f ON f.doc_id = m.req_id GROUP BY m.req_id, m.cached"""
 ORACLES["mark_cached"] = _MARKS
 ORACLES["cache_stats"] = f"""SELECT count(*) FILTER (WHERE NOT cached) AS size,
   count(*) FILTER (WHERE cached) AS hits, count(*) FILTER (WHERE NOT cached) AS misses

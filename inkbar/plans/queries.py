@@ -13,7 +13,7 @@ from inkbar.functions import spans as A
 from inkbar.functions.keys import detect_fingerprint
 from inkbar.functions.rules import PART_RULES, make_rule
 from inkbar.functions.sql import register_sql_functions
-from inkbar.operators import dedup, metrics, span_rows
+from inkbar.operators import dedup, metrics, span_rows, store
 from inkbar.operators import validate as V
 from inkbar.operators.detect import detect_part, detect_pii, detect_regex_only, pii_spans
 from inkbar.operators.model import detect_batch, detect_one, normalize_raw_spans
@@ -699,6 +699,28 @@ def _detect_distinct_once(spark, sf):
     )
 
 
+@query("detect_across_runs")
+def _detect_across_runs(spark, sf):
+    """The second of two runs over one store: all documents again, and all conversations."""
+    docs = spread(table(spark, sf, "documents", "doc_id", "text")).selectExpr(
+        "doc_id as req_id", "text", "0.5D as min_score", "true as ru_postpass", "false as ru_postpass_strict"
+    )
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").selectExpr(
+        "1000000000 + conv_id * 1000 + turn as req_id", "text", "0.5D as min_score", "true as ru_postpass",
+        "false as ru_postpass_strict",
+    )
+    held = store.ResultStore(spark, scratch_path(spark, "result-store"), buckets=8)
+    store.detect_across_runs(docs, detect_pii, held)
+    found = store.detect_across_runs(docs.unionByName(turns), detect_pii, held)
+    return found.select(
+        "req_id",
+        F.concat_ws(
+            ",", F.transform("spans", lambda s: F.concat_ws(":", s.entity, s.start.cast("string"), s.end.cast("string")))
+        ).alias("ranges"),
+        "cached",
+    )
+
+
 @query("mark_cached")
 def _mark_cached(spark, sf):
     return dedup.mark_cached(_good_requests(spark, sf)).select("req_id", "cached")
