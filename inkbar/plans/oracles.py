@@ -134,15 +134,19 @@ _EXTRA = (
 )
 
 
+_NET = r"(^|[^0-9.\x01])((?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.[0-9]{1,3}){3})($|[^0-9.\x01])"
+_NETS = ("net", lambda s: _replace(_replace("text", _NET, "1", "M", "2", "M", "3"), _NET, "1", "M", "2", "M", "3"))
+
+
 def chain(
-    src: str, strict: bool = False, existing: str | None = None, extra: bool = False,
+    src: str, strict: bool = False, existing: str | None = None, extra: bool | tuple = False,
     name: str = "a",
 ) -> tuple[str, str]:
     """CTEs that accept rule after rule, and the name of the last one.
 
     Existing spans come in as rule 0 and stay.
     """
-    rules = _RULES + ((_EXTRA,) if extra else ())
+    rules = _RULES + (((_EXTRA,) if extra is True else (extra,)) if extra else ())
     ctes, last = [f"{name}_src AS ({src})"], None
     if existing:
         ctes.append(f"{name}_0 AS ({existing})")
@@ -543,6 +547,10 @@ ORACLES["detect_fingerprint"] = f"""SELECT req_id, sha256(concat_ws(chr(31), tex
 ORACLES["detect_distinct_once"] = f"""WITH {_ON_DOCS}, m AS ({_MARKS})
   SELECT m.req_id, coalesce(string_agg(f.entity || ':' || f.start || ':' || f."end", ',' ORDER BY f.start), '') AS ranges,
     m.cached FROM m LEFT JOIN {_FOUND} AS f ON f.doc_id = m.req_id GROUP BY m.req_id, m.cached"""
+_ctes, _last = chain(_DOCS, extra=_NETS)
+ORACLES["extra_rules_by_hundred"] = f"""WITH {_ctes}
+  SELECT doc_id, pos, CASE entity WHEN 'net' THEN 'net_' || string_split(text, '.')[1] ELSE entity END AS entity,
+    text, start, "end" FROM ({numbered(f'SELECT * FROM {_last}')})"""
 _ASKED = """SELECT doc_id, text, 0 AS late FROM documents
   UNION ALL SELECT 1000000000 + conv_id * 1000 + turn, text, 1 FROM conversations"""
 _ctes, _last = chain(f"SELECT doc_id, text FROM ({_ASKED})")

@@ -17,6 +17,7 @@ from inkbar.operators import dedup, metrics, span_rows, store
 from inkbar.operators import validate as V
 from inkbar.operators.detect import detect_part, detect_pii, detect_regex_only, pii_spans
 from inkbar.operators.model import detect_batch, detect_one, normalize_raw_spans
+from inkbar.operators.rulebook import detect_with_rulebook
 from inkbar.plans.job import (
     redact_per_row_options,
     redact_uploads,
@@ -699,6 +700,17 @@ def _detect_distinct_once(spark, sf):
     )
 
 
+@query("extra_rules_by_hundred")
+def _extra_rules_by_hundred(spark, sf):
+    """A rule for each network of addresses: 256 of them, each with its own literal."""
+    docs = spread(table(spark, sf, "documents", "doc_id", "text"))
+    rules = [
+        make_rule(f"net_{k}", rf"(?<![0-9.]){k}(?:\.[0-9]{{1,3}}){{3}}(?![0-9.])", literals=(f"{k}.",)) for k in range(256)
+    ]
+    found = detect_with_rulebook(docs, rules)
+    return A.explode_spans(found).select("doc_id", "pos", "entity", "text", "start", "end")
+
+
 @query("detect_across_runs")
 def _detect_across_runs(spark, sf):
     """The second of two runs over one store: all documents again, and all conversations."""
