@@ -14,10 +14,10 @@ different surroundings, so copies of one text reveal nothing.
 
 Three passes over the texts, all counts over the whole corpus: (1) base spans and
 the words near them; (2) occurrences of candidate terms; (3) places of terms that
-reveal too much.  Candidates are passed to (2) and (3) as a bitmap of fixed size, which only
-thins out what is then joined exactly.
+reveal too much.  Candidates are passed to (2) and (3) as a bitmap of 16 places for each, up to
+2 ** ``_MOST_BITS``, which only thins out what is then joined exactly.
 
-Defined cases: null texts count as empty and have no spans.  A term is ``SHORTEST`` bytes of letters at least
+Defined cases: null texts count as empty and have no spans.  A term is a word of letters of any length
 and is never one inside a base span; words that touch a base span are in no count.  Repeated rows get equal answers, and their
 occurrences all count.  Empty tables give empty results; other columns are kept by ``sanitise`` only.
 """
@@ -41,9 +41,8 @@ NEAR = 12
 SUPPORT = 3
 GENERALISE = 0.9
 REMOVE = 0.97
-SHORTEST = 3  # bytes of a term
 KINDS = ("email", "ip", "card", "phone", "removed", "generalised")
-_BITS = 20
+_MOST_BITS = 24
 
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -81,7 +80,8 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     found = [(s, 0, e) for s, e in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            parts = [p.lstrip("0") for p in m[0].split(".")]
+            if all(len(p) < 3 or len(p) == 3 and p <= "255" for p in parts):
                 found.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = re.sub(r"[\x20-]", "", m[0])
@@ -94,8 +94,11 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 
 def _near(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int]]:
-    """(entity, term, hash of the surroundings) for the words near each span."""
-    out = []
+    """(entity, term, hash of the surroundings) for the words near each span.
+
+    An occurrence of a word counts once for an entity, however many of its spans are near.
+    """
+    out, told = [], set()
     covered = [False] * (len(text) + 1)
     for s, _, e in spans:
         covered[s:e] = [True] * (e - s)
@@ -110,12 +113,13 @@ def _near(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str,
             ]
             starts = [m.start() for m in words_of]
         at = bisect_left(starts, s)
-        before = [m[0] for m in words_of[max(0, at - NEAR) : at]]
-        after = [m[0] for m in words_of[at : at + NEAR]]
-        words = [w.lower() for w in before + after]
-        around = " ".join(words)
+        near = words_of[max(0, at - NEAR) : at + NEAR]
+        around = " ".join(m[0].lower() for m in near)
         seen = int.from_bytes(hashlib.blake2b(around.encode(), digest_size=8).digest(), "big", signed=True)
-        out += [(entity, w, seen) for w in words if len(w.encode()) >= SHORTEST]
+        for m in near:
+            if (entity, m.start()) not in told:
+                told.add((entity, m.start()))
+                out.append((entity, m[0].lower(), seen))
     return out
 
 
@@ -138,21 +142,23 @@ def _based(batches):
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
-    """Which places of a table of fixed size the terms' hashes fall on."""
+    """Which places of a table the terms' hashes fall on."""
+    bits = min(_MOST_BITS, max(12, (16 * terms.count()).bit_length()))
 
     def places(batches):
         for batch in batches:
             data, at = text_bytes(batch.column("term"))
-            yield pa.RecordBatch.from_arrays([pa.array(_places(Tokens(data, at, LETTERS).hashes()))], names=["at"])
+            hashes = Tokens(data, at, LETTERS).hashes()
+            yield pa.RecordBatch.from_arrays([pa.array(_places(hashes, 1 << bits))], names=["at"])
 
     rows = terms.select("term").mapInArrow(places, "at long").distinct().toArrow()
-    table = np.zeros(1 << _BITS, dtype=bool)
+    table = np.zeros(1 << bits, dtype=bool)
     table[np.asarray(rows.column("at"), dtype=np.int64)] = True
     return table
 
 
-def _places(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
+def _places(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def _free(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +184,7 @@ def _count(shared):
             tokens = Tokens(data, at, LETTERS)
             free, _, _ = _free(batch.column("text"))
             hashes = tokens.hashes()
-            near = np.flatnonzero(shared.value[_places(hashes)] & free)
+            near = np.flatnonzero(shared.value[_places(hashes, len(shared.value))] & free)
             _, first, n = np.unique(hashes[near], return_index=True, return_counts=True)
             # a row without a term counts all words
             yield pa.RecordBatch.from_arrays(
@@ -195,7 +201,7 @@ def _occurrences(shared):
             column = batch.column("text")
             data, at = text_bytes(lower(column))
             tokens = Tokens(data, at, LETTERS)
-            near = np.flatnonzero(shared.value[_places(tokens.hashes())]) if shared.value.any() else np.zeros(0, np.int64)
+            near = np.flatnonzero(shared.value[_places(tokens.hashes(), len(shared.value))]) if shared.value.any() else np.zeros(0, np.int64)
             row = np.searchsorted(tokens.row, near, side="right") - 1
             some = np.unique(row)  # spans are looked for in these rows only
             free, start, end = _free(column.take(pa.array(some)))
@@ -226,7 +232,7 @@ def revealing(texts: DataFrame, based: DataFrame) -> DataFrame:
         "disclosure-pairs",
     )
     entities = near.groupBy("entity").agg(F.count("*").alias("words"))
-    candidates = pairs.select("term").distinct()
+    candidates = written(pairs.select("term").distinct(), "disclosure-candidates")
     shared = texts.sparkSession.sparkContext.broadcast(_bitmap(candidates))
     counted = written(
         texts.mapInArrow(_count(shared), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")),

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkbar.llm.rows import boxed, unboxed
+from inkbar.operators.ordered import with_running
 from inkbar.plans.scratch import written
 
 WEIGHTS = (3, 1, 2)
@@ -153,23 +154,39 @@ def mixed_rows(
 ) -> DataFrame:
     """The mix itself: each document as often as it is taken, always whole.
 
-    Columns are those of ``docs``.  Documents without words are never taken.
+    Columns are those of ``docs``.  Documents without words are never taken.  Rows of one doc_id, source
+    and text share what all of them are taken, each as often as another or once more.
     """
-    chosen = (
+    times = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)
+    chosen = written(
         mix_sources(docs, weights, share, exact=False)
-        .filter("taken > 0")
         .groupBy("doc_id", "source", "tkey")
-        .agg(F.max(F.expr("taken div size")).alias("_times"))
-        .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("tkey").alias("_t"), "_times")
+        .agg(F.sum(times).alias("_all"), F.count("*").alias("_equal"))
+        .filter("_all > 0")
+        .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("tkey").alias("_t"), "_all", "_equal"),
+        "mix-chosen",
     )
     keyed = boxed(
         docs, doc_id=F.col("doc_id"), source=F.col("source"), key=F.md5(F.coalesce("text", F.lit("")))
     )
-    return unboxed(
-        keyed.join(
-            chosen,
-            F.col("doc_id").eqNullSafe(F.col("_d"))
-            & F.col("source").eqNullSafe(F.col("_s"))
-            & (F.col("key") == F.col("_t")),
-        ).select("row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    rows = keyed.join(
+        chosen,
+        F.col("doc_id").eqNullSafe(F.col("_d"))
+        & F.col("source").eqNullSafe(F.col("_s"))
+        & (F.col("key") == F.col("_t")),
     )
+    taken_rows = rows.filter("_equal = 1").select("row", F.col("_all").alias("_times"))
+    if not chosen.filter("_equal > 1").isEmpty():
+        equal = written(
+            rows.filter("_equal > 1").select(
+                "row", "_all", "_equal", F.monotonically_increasing_id().alias("_id"),
+                F.xxhash64("doc_id", "source", "key").alias("_group"),
+            ),
+            "mix-equal",
+        )
+        numbered = with_running(equal, "_group", ["_id"], {"_pos": F.lit(1)})
+        more = (F.col("_pos") < F.col("_all") % F.col("_equal")).cast("long")
+        taken_rows = taken_rows.unionByName(
+            numbered.select("row", (F.expr("_all div _equal") + more).alias("_times")).filter("_times > 0")
+        )
+    return unboxed(taken_rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))))
