@@ -9,12 +9,14 @@ Jaccard similarity of their sets reaches the threshold.
 2. Bands are shuffled by hash.  A band hash that several classes share ties them to
    its least class, so a bucket of n classes gives n - 1 rows, not n * n.
 3. Tied classes form candidate groups; each class's set is sent to its group
-   once (texts are read again, and a bitmap of fixed size tells most that are not needed).  Groups of more than ``BLOCK`` classes are cut in blocks, and each pair of
-   blocks is one task group, so no group is gathered whole.
-4. Inside a pair of blocks all pairs are compared on their full sets by matrix
-   products.  Out come a count of links for each class and a spanning forest of the links,
-   never the pairs.
-5. Connected forests give each document its class id.
+   once (texts are read again, and a bitmap of fixed size tells most that are not needed).  Groups of more than ``BLOCK``
+   classes, or ``GRAMS`` n-grams, are cut in blocks, so no group is gathered whole.
+4. Inside a block all pairs are compared on their full sets by matrix products.  Each
+   class gets its number of links and its root, the least class it is connected with there.  Sets of
+   groups with several blocks are written once, by block; each pair of blocks is then
+   compared by a task, which adds to the numbers and gives a forest of the roots that are linked.
+   Pairs are never written, and the forests grow with the blocks, not with the classes.
+5. Connected roots give each document its class id.
 
 Defined cases: null and empty texts have no words, hence no links, and each such
 row is a class of its own kind: all of them share ``class_id`` with nobody.  A null
@@ -42,7 +44,9 @@ from inkbar.plans.scratch import written
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
-BLOCK = 128
+BLOCK = 1024  # classes
+GRAMS = 1 << 21
+STEP = 128  # classes on a side of a matrix product
 _BITS = 24
 
 
@@ -71,7 +75,7 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, tkey, set_key, bands``; set_key is null where there are no words."""
+    """``doc_id, tkey, set_key, size, bands``; set_key is null where there are no words."""
     n = bands * rows
     rng = np.random.Generator(np.random.PCG64(4))
     salt = rng.integers(1, 2**64, size=n, dtype=np.uint64)
@@ -82,6 +86,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             ("doc_id", pa.int64()),
             ("tkey", pa.string()),
             ("set_key", pa.binary()),
+            ("size", pa.int64()),
             ("bands", pa.list_(pa.int64())),
         ]
     )
@@ -98,9 +103,11 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     least[:, k] = np.minimum.reduceat((grams ^ salt[k]) * odd[k], at[full])
             keys = mix((mix(least).reshape(len(full), bands, rows) * places).sum(axis=2))
             set_key = [None] * batch.num_rows
+            sizes = [0] * batch.num_rows
             hashes = [None] * batch.num_rows
             for j, i in enumerate(full.tolist()):
                 own = np.unique(grams[at[i] : at[i + 1]])
+                sizes[i] = len(own)
                 set_key[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                 hashes[i] = keys[j].view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -108,13 +115,14 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     batch.column("doc_id").cast(pa.int64()),
                     batch.column("tkey"),
                     pa.array(set_key, pa.binary()),
+                    pa.array(sizes, pa.int64()),
                     pa.array(hashes, pa.list_(pa.int64())),
                 ],
                 schema=schema,
             )
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5("text").alias("tkey"))
-    return keyed.mapInArrow(run, "doc_id long, tkey string, set_key binary, bands array<long>")
+    return keyed.mapInArrow(run, "doc_id long, tkey string, set_key binary, size long, bands array<long>")
 
 
 def _linked(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -140,47 +148,94 @@ def _linked(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.nd
     return common >= threshold * either - 1e-6
 
 
-def _verify(threshold: float):
+def _links(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
+    """``_linked`` of any two lists of sets, ``STEP`` sets of each at a time."""
+    out = np.zeros((len(a), len(b)), dtype=bool)
+    for i in range(0, len(a), STEP):
+        for j in range(i if a is b else 0, len(b), STEP):
+            out[i : i + STEP, j : j + STEP] = _linked(a[i : i + STEP], b[j : j + STEP], threshold)
+            if a is b:
+                out[j : j + STEP, i : i + STEP] = out[i : i + STEP, j : j + STEP].T
+    return out
+
+
+def _read(table: pa.Table) -> tuple[pa.Table, list[np.ndarray], np.ndarray]:
+    """Rows in order of their set's key, one for each, with the sets and numbers of copies."""
+    table = table.sort_by("set_key").combine_chunks()
+    keys = table.column("set_key").to_pylist()
+    table = table.take(pa.array([i for i, k in enumerate(keys) if not i or keys[i - 1] != k], pa.int64()))
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("grams").to_pylist()]
+    return table, sets, np.asarray(table.column("copies"), dtype=np.int64)
+
+
+_BLOCK_ROWS = (
+    "set_key binary, copies long, label binary, n_blocks int, block int, root binary, links long, grams binary"
+)
+
+
+def _inside(threshold: float):
+    """Links and roots of the classes of a block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table, sets, copies = _read(table)
+        linked = _links(sets, sets, threshold)
+        np.fill_diagonal(linked, False)
+        root = np.arange(len(sets))
+        u, v = np.nonzero(linked)
+        while len(u):
+            least = root.copy()
+            np.minimum.at(least, u, root[v])
+            least = least[least]
+            if (least == root).all():
+                break
+            root = least
+        grams = table.column("grams")
+        if table.column("n_blocks")[0].as_py() == 1:
+            grams = pa.nulls(len(sets), pa.binary())
+        keys = table.column("set_key")
+        return table.select(["set_key", "copies", "label", "n_blocks", "block"]).append_column(
+            "root", keys.take(pa.array(root))
+        ).append_column("links", pa.array(linked @ copies, pa.int64())).append_column("grams", grams)
+
+    return run
+
+
+def _across(threshold: float):
+    """Links between the classes of two blocks, and a forest of their roots."""
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("links", pa.int64())])
 
     def run(key, table):
-        table = table.combine_chunks()
-        ids = table.column("set_key").to_pylist()
-        copies = np.asarray(table.column("copies"), dtype=np.int64)
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("grams").to_pylist()]
+        table, sets, copies = _read(table)
         block = np.asarray(table.column("block"))
-        low, high = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        if not len(left) or not len(right):
-            return schema.empty_table()
-        linked = _linked([sets[i] for i in left], [sets[i] for i in right], threshold)
-        if low == high:
-            np.fill_diagonal(linked, False)
-        links = np.zeros(len(ids), dtype=np.int64)
+        left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        linked = _links([sets[i] for i in left], [sets[i] for i in right], threshold)
+        links = np.zeros(len(sets), dtype=np.int64)
         links[left] += linked @ copies[right]
-        if low != high:
-            links[right] += linked.T @ copies[left]
-        parent = list(range(len(ids)))
+        links[right] += linked.T @ copies[left]
+        coded = table.column("root").combine_chunks().dictionary_encode()
+        code, names = np.asarray(coded.indices, dtype=np.int64), coded.dictionary
+        x, y = np.nonzero(linked)
+        pairs = np.unique(code[left[x]] * len(names) + code[right[y]])
+        parent = list(range(len(names)))
 
         def root(i):
             while parent[i] != i:
                 parent[i] = i = parent[parent[i]]
             return i
 
-        u, v, n = [], [], []
-        for x, y in zip(*np.nonzero(linked)):
-            x, y = int(left[x]), int(right[y])
-            if (p := root(x)) != (q := root(y)):
-                parent[p] = q
-                u.append(ids[x])
-                v.append(ids[y])
-                n.append(0)
+        u, v = [], []
+        for p, q in zip((pairs // len(names)).tolist(), (pairs % len(names)).tolist()):
+            if (low := root(p)) != (high := root(q)):
+                parent[low] = high
+                u.append(p)
+                v.append(q)
         some = np.flatnonzero(links)
+        roots = lambda codes: names.take(pa.array(codes, pa.int64()))
         return pa.table(
             [
-                pa.array(u + [ids[i] for i in some], pa.binary()),
-                pa.array(v + [None] * len(some), pa.binary()),
-                pa.array(n + links[some].tolist(), pa.int64()),
+                pa.concat_arrays([roots(u), table.column("set_key").combine_chunks().take(pa.array(some))]),
+                pa.concat_arrays([roots(v), pa.nulls(len(some), pa.binary())]),
+                pa.array([0] * len(u) + links[some].tolist(), pa.int64()),
             ],
             schema=schema,
         )
@@ -203,15 +258,15 @@ def _bitmap(places: DataFrame) -> np.ndarray:
 def _linked_sets(
     docs: DataFrame, threshold: float, size: int, recall: float
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Signed rows, their classes, what ``_verify`` found, and ``node, label`` of the linked classes."""
+    """Signed rows, their classes, ``u, links`` in parts, and ``node, label`` of the classes in candidate groups."""
     bands, rows = bands_for(threshold, recall)
     signed = written(signatures(docs, size, bands, rows), "ngram-signatures")
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
     classes = written(
         signed.filter("set_key is not null")
         .groupBy("set_key")
-        .agg(F.min(least).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-        .select("set_key", "least.doc_id", "least.tkey", "copies", "bands"),
+        .agg(F.min(least).alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+        .select("set_key", "least.doc_id", "least.tkey", "copies", "size", "bands"),
         "ngram-classes",
     )
     # hashes of different bands are no more alike than any two hashes
@@ -226,11 +281,12 @@ def _linked_sets(
         .distinct()
     )
     groups = components(ties)
-    blocks = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    grouped = written(classes.drop("bands").join(groups, F.col("set_key") == F.col("node")), "ngram-grouped")
+    blocks = grouped.groupBy("label").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / GRAMS)).cast("int").alias("n_blocks")
+    )
     wanted = (
-        classes.drop("bands")
-        .join(groups, F.col("set_key") == F.col("node"))
-        .join(blocks, "label")
+        grouped.join(blocks, "label")
         .select(
             F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "set_key", "copies", "label",
             "n_blocks", F.expr("cast(pmod(xxhash64(set_key), n_blocks) as int)").alias("block"),
@@ -254,16 +310,32 @@ def _linked_sets(
     sets = texts.mapInArrow(with_sets, "doc_id long, tkey string, grams binary").join(
         wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t"))
     )
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    found = written(
-        pairs.withColumn("low", F.least("block", "other"))
-        .withColumn("high", F.greatest("block", "other"))
-        .dropDuplicates(["label", "low", "high", "set_key"])
+    inside = written(
+        sets.select("set_key", "copies", "label", "n_blocks", "block", "grams")
+        .groupBy("label", "block")
+        .applyInArrow(_inside(threshold), _BLOCK_ROWS),
+        "ngram-blocks",
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    across = written(
+        inside.filter("n_blocks > 1")
+        .select("set_key", "copies", "label", "block", "root", "grams", other)
+        .filter("block <> other")
+        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
         .groupBy("label", "low", "high")
-        .applyInArrow(_verify(threshold), "u binary, v binary, links long"),
+        .applyInArrow(_across(threshold), "u binary, v binary, links long"),
         "ngram-links",
     )
-    return signed, classes, found, components(found.filter("v is not null").select("u", "v"))
+    roots = components(across.filter("v is not null").select("u", "v")).select(
+        F.col("node").alias("root"), F.col("label").alias("whole")
+    )
+    joined = inside.select("set_key", "root").join(roots, "root", "left").select(
+        F.col("set_key").alias("node"), F.coalesce("whole", "root").alias("label")
+    )
+    found = inside.filter("links > 0").select(F.col("set_key").alias("u"), "links").unionByName(
+        across.filter("links > 0").select("u", "links")
+    )
+    return signed, classes, found, written(joined, "ngram-joined")
 
 
 def ngram_join(

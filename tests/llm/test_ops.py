@@ -240,20 +240,22 @@ def test_line_dedup_on_odd_rows(odd, empty):
 # ---- 3 toxicity --------------------------------------------------------------
 
 
-def test_toxicity_gradients():
+@pytest.mark.parametrize("context", [False, True])
+def test_toxicity_gradients(context):
     words = toxicity.Words(pa.array(["ab cd efg hij", "xy ab cd"]))
     window, _ = words.windows()
+    pool = (np.arange(toxicity.WINDOW) % 3 > 0) & (window >= 0) if context else None
     net, y = toxicity.Network(), np.array([1, 0], np.float32)
     for p in net.parts():
         for k in p:
             p[k] = p[k].astype(np.float64)
 
     def loss():
-        z = net.logits(words, window).astype(np.float64)
+        z = net.logits(words, window, pool).astype(np.float64)
         return np.mean(np.log1p(np.exp(z)) - y * z)
 
     rng = np.random.default_rng(1)
-    for p, g in zip(net.parts(), net.gradients(words, window, y)):
+    for p, g in zip(net.parts(), net.gradients(words, window, y, pool)):
         for k in p:
             at = tuple(rng.integers(0, n) for n in p[k].shape)
             old = p[k][at]
@@ -278,9 +280,7 @@ def test_toxicity_learns_and_reads_the_whole_text():
     net = toxicity.fit([text(v) for v in label], label)
 
     def score(texts):
-        words = toxicity.Words(pa.array(texts))
-        window, at = words.windows()
-        return np.maximum.reduceat(net.logits(words, window), at[:-1]) - net.shift
+        return net.highest(toxicity.Words(pa.array(texts)))[1] - net.shift
 
     held = [int(i % 2) for i in range(100)]
     right = (score([text(v) for v in held]) > 0) == np.array(held, bool)
@@ -296,18 +296,63 @@ def test_toxicity_windows_overlap_and_cover():
     assert (window[0][24:] == window[1][:8]).all() and (window[4] >= 0).sum() == 5
 
 
-def test_toxicity_scores_every_overlapping_window():
+def plain_states(net, words, given, direction, first, last):
+    """States of one direction by single steps from ``first`` to ``last``, both included."""
+    layer, state, out = net.high, np.zeros(toxicity.UNIT), {}
+    h, u = toxicity.UNIT, net.high.p[f"U{direction}"].astype(np.float64)
+    for t in range(first, last + 1) if direction == "f" else range(first, last - 1, -1):
+        x, g = given[direction][words.token[t]].astype(np.float64), state @ u
+        z, r = (1 / (1 + np.exp(-(x[: 2 * h] + g[: 2 * h])))).reshape(2, h)
+        state = z * state + (1 - z) * np.tanh(x[2 * h :] + r * g[2 * h :])
+        out[t] = state
+    assert layer.unit == h
+    return out
+
+
+def test_toxicity_scores_every_overlapping_window(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 40)
     net = toxicity.Network()
-    texts = [" ".join("abcdefghijk"[(i * i + k) % 11] * 3 for i in range(90 + k)) for k in range(4)] + ["", "two words"]
+    texts = [" ".join("abcdefghijk"[(i * i + k) % 11] * 3 for i in range(90 + 20 * k)) for k in range(4)] + ["", "two words"]
     words = toxicity.Words(pa.array(texts))
+    given = net._given(words, None)
     full, best = net.highest(words)
     assert full.tolist() == [0, 1, 2, 3, 5]
+    every, at = net.every_window(words), words.starts(1)[2]
     for i, value in zip(full.tolist(), best.tolist()):
-        own = texts[i].split()
-        parts = [" ".join(own[k : k + 32]) for k in range(max(1, len(own) - 31))]
-        alone = toxicity.Words(pa.array(parts))
-        assert value == pytest.approx(float(net.logits(alone, alone.windows()[0]).max()), abs=1e-5)
-        assert len(alone.windows()[0]) == len(parts)
+        begin, end = int(words.row[i]), int(words.row[i + 1])
+        weights, says = [], []
+        for t in range(begin, end):
+            chunk = begin + (t - begin) // 40 * 40
+            ahead = plain_states(net, words, given, "f", max(begin, chunk - 32), t)[t]
+            behind = plain_states(net, words, given, "b", min(end, chunk + 72) - 1, t)[t]
+            state = np.concatenate([ahead, behind])
+            weights.append(np.exp(np.tanh(state @ net.high.p["A"] + net.high.p["a"]) @ net.high.p["v"]))
+            says.append(state @ net.own["out"])
+        wanted = [
+            np.average(says[k : k + 32], weights=weights[k : k + 32]) + net.own["bias"][0] for k in range(max(1, end - begin - 31))
+        ]
+        assert every[at[i] : at[i + 1]].tolist() == pytest.approx(wanted, abs=1e-5)
+        assert value == pytest.approx(max(wanted), abs=1e-5)
+
+
+def test_toxicity_scores_do_not_depend_on_neighbours():
+    net = toxicity.Network()
+    text = " ".join(f"{'abcdefgh'[i % 8]}{'xyz'[i % 3] * (i % 5)}" for i in range(700))
+    alone = net.highest(toxicity.Words(pa.array([text])))[1][0]
+    among = net.highest(toxicity.Words(pa.array(["a few words", text, "", "more " * 400, text])))[1]
+    assert among[1] == pytest.approx(alone, abs=1e-5) == among[3]
+
+
+def test_toxicity_sample_of_long_and_absent_documents(spark):
+    docs = [(i, f"word{i} " * (2000 if i % 2 else 3), "en", "a", 1) for i in range(20)] + [(40, None, "en", "a", 1), (41, "123 !", "en", "a", 1)]
+    table = spark.createDataFrame(docs, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(40, 1), (41, 1), (99, 1), (98, 0), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.sample(table, labels, per_class=6).collect()
+    assert Counter(r.toxic for r in rows) == {0: 6, 1: 6}  # the toxic ones are all long
+    assert all(len(r.text) == toxicity.LONGEST for r in rows if r.toxic) and all(len(r.text) < 100 for r in rows if not r.toxic)
+    mixed = labels.filter("doc_id < 20").withColumn("toxic", F.lit(1))
+    drawn = toxicity.sample(table, mixed, per_class=12).collect()
+    assert sum(len(r.text) < 100 for r in drawn) == 10 and len(drawn) == 12
 
 
 def test_toxicity_query_and_odd_rows(spark, odd, empty):
@@ -380,6 +425,21 @@ def test_join_of_a_group_larger_than_a_block(spark, monkeypatch):
     assert joined(table) == plain_join(rows)
 
 
+def test_forests_of_a_group_of_many_blocks_grow_with_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    monkeypatch.setattr(ngram_join, "STEP", 7)
+    counted, components_of = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: counted.append(edges.count()) or components_of(edges))
+    rows = near_group(200) + [(5000 + i, t) for i, (_, t) in enumerate(near_group(40))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(table) == plain_join(rows)
+    assert 10 <= counted[1] <= 20 * 19 / 2 * 2  # of 20 blocks, each of a root or two
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 1024)
+    monkeypatch.setattr(ngram_join, "GRAMS", 2000)  # blocks by n-grams
+    assert joined(table) == plain_join(rows)
+
+
 def test_join_on_odd_rows(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert joined(odd) == plain_join(rows)
@@ -604,6 +664,19 @@ def test_mixed_rows_repeat_whole_documents(docs, odd):
     assert mixing.mixed_rows(odd).columns == odd.columns
 
 
+def test_mixed_rows_share_what_equal_rows_are_taken(spark):
+    text = "one two three four five six seven eight nine ten"
+    equal = spark.range(100).selectExpr("5L as doc_id", f"'{text}' as text", "'a' as source", "cast(id as int) as own")
+    others = spark.range(30).selectExpr("100 + id as doc_id", f"'{text} ' || id as text", "'a' as source", "-1 as own")
+    table = equal.unionByName(others)
+    target = mixing.mix_sources(table).first()["target"]
+    rows = mixing.mixed_rows(table).collect()
+    size = sum(len(r.text.split()) for r in rows)
+    assert abs(size - target) <= 6
+    times = Counter(r.own for r in rows if r.own >= 0)
+    assert len(times) == 100 and max(times.values()) - min(times.values()) <= 1
+
+
 # ---- 9 disclosure ------------------------------------------------------------
 
 PATTERNS = (
@@ -637,7 +710,7 @@ def plain_spans(text):
     [
         "a@b.c@d.e x@y 1.2.3.4.5.6.7.8 300.1.1.1", "@@a@b.cc..x@y.z", "é@é a.b@c-d.e-f. 001.02.3.255",
         "+1 (555) 123-4567 4539 5787 6362 1486 4539-578763621486", "4539578763621486.1.2.3 +12+3456789012",
-        "1.2.3.4@5.6 +1.2.3.4.5.6.7.8.9.0", "x" * 3000 + "@" + "y" * 3000 + " " + "1" * 3000, None, "",
+        "1.2.3.4@5.6 +1.2.3.4.5.6.7.8.9.0", "x" * 3000 + "@" + "y" * 3000 + " " + "1" * 3000, "0" * 4000 + "1.2.3.4 0.0.0.00 256.1.1.1 0255.1.1.1", None, "",
     ],
 )
 def test_base_spans(text):
@@ -656,6 +729,12 @@ def test_base_spans_by_property():
     run()
 
 
+def test_base_spans_of_endless_digits():
+    for first, ok in (("0" * 5001 + "1", True), ("0" * 5001 + "256", False), ("9" * 5001, False)):
+        text = f"at {first}.2.3.4 end"
+        assert disclosure.base_spans(text) == ([(3, 1, len(text) - 4)] if ok else [])
+
+
 def test_disclosure_query(spark, texts):
     for r in QUERIES["op9_disclosure"](spark, SF).collect():
         base = plain_spans(texts[r.doc_id])
@@ -669,34 +748,53 @@ def revealing_rows():
     names = ["alpha", "bravo", "gamma", "delta", "omega", "sigma"]
     rows = [(i, f"line {w} here\nOwner {'zorblax' if i % 2 else 'quux'} writes to joe@ex.com {w} today") for i, w in enumerate(names)]
     rows += [(10, "zorblax was seen, Zorblax@ex.com"), (11, "nothing today"), (12, None), (13, "")]
-    rows += [(100 + i, " ".join(f"filler{chr(97 + j % 26)}{chr(97 + i % 26)} owner writes" for j in range(200))) for i in range(40)]
+    rows += [(100 + i, " ".join(f"filler{chr(97 + j % 26)}{chr(97 + i % 26)} owner writes to" for j in range(200))) for i in range(40)]
+    # a word between two mentions is one occurrence
+    rows += [(200 + i, f"{w} a@x.org twice a@x.org {w}\ntwice {w}") for i, w in enumerate(names)]
+    rows += [(300 + i, f"{w} li b@y.org {w} li") for i, w in enumerate(names)]  # a name of two letters
     return rows
 
 
+def occurrences_near(text, entity_span):
+    """Places of the words near a span: the nearest 12 on each side in its line, counted one by one."""
+    s, e = entity_span
+    line = text.rfind("\n", 0, s) + 1, (text + "\n").find("\n", e)
+    base = disclosure.base_spans(text)
+    free = [
+        m.span() for m in re.finditer("[a-z]+", text)
+        if line[0] <= m.start() and m.end() <= line[1] and not any(m.start() < b and a < m.end() for a, _, b in base)
+    ]
+    return [x for x in free if x[1] <= s][-12:] + [x for x in free if x[0] >= e][:12]
+
+
 def test_revealing_terms_equal_brute_force(spark):
     rows = revealing_rows()
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    word = re.compile(r"[a-z]+")
-    total = sum(len(word.findall((t or "").lower())) for _, t in rows)
-    count, near, around, entity = Counter(), Counter(), {}, Counter()
-    for _, t in rows:
+    count, around, places = Counter(), {}, {}
+    for i, t in rows:
         t = (t or "").lower()
-        count.update(word.findall(t))
-        for s, k, e in disclosure.base_spans(t):
-            line = t[t.rfind("\n", 0, s) + 1 : s], t[e : t.find("\n", e) if "\n" in t[e:] else len(t)]
-            words = word.findall(line[0])[-12:] + word.findall(line[1])[:12]
-            for w in words:
-                if len(w) >= 4:
-                    near[(t[s:e], w)] += 1
-                    entity[t[s:e]] += 1
-                    around.setdefault((t[s:e], w), set()).add(tuple(words))
+        base = disclosure.base_spans(t)
+        for m in re.finditer("[a-z]+", t):
+            if not any(m.start() < b and a < m.end() for a, _, b in base):
+                count[m[0]] += 1
+        for s, _, e in base:
+            here = occurrences_near(t, (s, e))
+            told = tuple(t[a:b] for a, b in here)
+            for a, b in here:
+                if (i, a) not in places.setdefault(t[s:e], {}):
+                    around.setdefault((t[s:e], t[a:b]), set()).add(told)
+                places[t[s:e]][i, a] = t[a:b]
+    total = sum(count.values())
+    near = Counter((e, w) for e, at in places.items() for w in at.values())
+    entity = {e: len(at) for e, at in places.items()}
     share = {}
     for (e, w), n in near.items():
         if len(around[(e, w)]) >= 3:
             told = 1 + math.log2(n / count[w]) / -math.log2(entity[e] / total)
             share[w] = max(share.get(w, -9), told)
     want = {w: 4 if x >= 0.97 else 5 for w, x in share.items() if x >= 0.9}
-    assert want["quux"] == 4 and want["zorblax"] == 5 and "owner" not in want
+    assert want["quux"] == 4 and want["zorblax"] == 5 and "owner" not in want and "to" not in want
+    assert want["twice"] == 5 and want["li"] == 4  # half of its places, all of its places
     based = disclosure.detect(table)
     found = {}
     for r in based.collect():
