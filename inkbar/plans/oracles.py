@@ -391,6 +391,12 @@ def _words(threshold: str) -> str:
 
 
 ORACLES["detect_batch"] = _words("0.5")
+_near = spans(_DOCS, "replace(text, 'the ', chr(1) || 'the' || chr(1) || ' ')", "word")
+ORACLES["detect_long"] = f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS pos,
+    entity, text, start, "end", score
+  FROM (SELECT m.*, (unicode(substring(d.text, m.start + 5, 1)) % 8) / 8::DOUBLE AS score, length(d.text) AS n
+    FROM ({_near}) AS m JOIN documents AS d ON d.doc_id = m.doc_id) AS x
+  WHERE start + 4 < n AND score >= 0.25"""
 ORACLES["detect_one"] = _words("0.9")
 ORACLES["skip_empty_text"] = """SELECT doc_id,
   CASE WHEN doc_id % 3 = 0 OR text = '' THEN 0 ELSE 1 END AS n_one, 1 AS n_batch FROM documents"""
@@ -448,6 +454,8 @@ ORACLES["validate_requests"] = f"""SELECT CASE WHEN reason <> 'malformed request
   CASE WHEN reason = 'ok' THEN 200 ELSE 422 END AS status, reason
   FROM (SELECT req_id, CASE WHEN req_id % 20 IN (11, 12) THEN 'malformed request'
     WHEN req_id % 20 = 13 THEN 'text missing' ELSE {_VERDICT} END AS reason FROM ({_REQUESTS}) AS r) AS v"""
+ORACLES["split_requests"] = f"""SELECT reason, count(*) AS n, count(*) AS n_written, CAST(sum(req_id) AS BIGINT) AS ids
+  FROM (SELECT req_id, {_VERDICT} AS reason FROM ({_REQUESTS}) AS r) AS v GROUP BY reason"""
 
 # -- sources and sinks -----------------------------------------------------
 ORACLES["read_text_documents"] = """SELECT s_suppkey,

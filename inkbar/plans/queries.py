@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,10 @@ from inkbar.functions.sql import register_sql_functions
 from inkbar.operators import dedup, metrics, span_rows, store
 from inkbar.operators import validate as V
 from inkbar.operators.detect import detect_part, detect_pii, detect_regex_only, pii_spans
+from inkbar.operators.long_texts import detect_long
 from inkbar.operators.model import detect_batch, detect_one, normalize_raw_spans
 from inkbar.operators.rulebook import detect_with_rulebook
+from inkbar.operators.verdicts import split_requests
 from inkbar.plans.job import (
     redact_per_row_options,
     redact_uploads,
@@ -371,6 +374,26 @@ def _detect_batch(spark, sf):
     return spans_long(found, F.col("spans"))
 
 
+def _near_scorer():
+    """The same words, with a score that depends on what stands next to them, not on the place."""
+
+    def predict(texts):
+        found = [[m.start() for m in re.finditer("the (?=.)", t, re.DOTALL)] for t in texts]
+        return [
+            [{"entity_group": "word", "entity": None, "start": at, "end": at + 3, "score": ord(t[at + 4]) % 8 / 8} for at in x]
+            for t, x in zip(texts, found)
+        ]
+
+    return predict
+
+
+@query("detect_long")
+def _detect_long(spark, sf):
+    """A scorer that is given 200 characters at most, as if it had read the whole text."""
+    found = detect_long(documents(spark, sf), _near_scorer, 200, 80, 0.25, batch_chars=1 << 14)
+    return spans_long(found, F.col("spans"))
+
+
 @query("detect_one")
 def _detect_one(spark, sf):
     found = detect_one(documents(spark, sf), _word_scorer, 0.9)
@@ -501,6 +524,18 @@ def _validate_requests(spark, sf):
     )
 
 
+@query("split_requests")
+def _split_requests(spark, sf):
+    """Rows by verdict, as counted in the pass that splits them, beside a count of what it wrote."""
+    split = split_requests(_requests(spark, sf), 6000)
+    counted = spark.createDataFrame([(k or "ok", n) for k, n in split.counts.items()], "reason string, n long")
+    every = split.accepted.select("req_id", F.lit("ok").alias("reason")).unionByName(split.rejects.select("req_id", "reason"))
+    written_rows = every.groupBy("reason").agg(
+        F.count("*").alias("n_written"), F.sum("req_id").alias("ids")
+    )
+    return counted.filter("n > 0").join(written_rows, "reason", "full").select("reason", "n", "n_written", "ids")
+
+
 @query("validate_options")
 def _validate_options(spark, sf):
     """Options with the stars shortcut, applied to every document."""
