@@ -493,6 +493,7 @@ ORACLES["reject_external_spans"] = f"""SELECT r.doc_id, r.ord, 422 AS status,
 ORACLES["redact_with_external_spans"] = f"""WITH RECURSIVE {_sweep(_INSIDE)},
   f AS (SELECT * FROM w WHERE kept)
   SELECT doc_id, redacted FROM ({redacted("documents", "f", _TAG)}) AS x"""
+ORACLES["redact_in_stretches"] = ORACLES["redact_with_external_spans"]
 
 _MARKS = """SELECT doc_id AS req_id, row_number() OVER (
   PARTITION BY text, doc_id % 3 = 0 ORDER BY doc_id) > 1 AS cached FROM documents"""

@@ -20,6 +20,7 @@ from inkbar.operators.detect import detect_part, detect_pii, detect_regex_only,
 from inkbar.operators.long_texts import detect_long
 from inkbar.operators.model import detect_batch, detect_one, normalize_raw_spans
 from inkbar.operators.rulebook import detect_with_rulebook
+from inkbar.operators.stretches import redact_in_stretches, strung
 from inkbar.operators.verdicts import split_requests
 from inkbar.plans.job import (
     redact_per_row_options,
@@ -628,6 +629,12 @@ def _redact_with_external_spans(spark, sf):
     return redact_with_external_spans(docs, _model_span_rows(spark, sf))
 
 
+@query("redact_in_stretches")
+def _redact_in_stretches(spark, sf):
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    return strung(redact_in_stretches(docs, _model_span_rows(spark, sf), size=256))
+
+
 @query("detect_response")
 def _detect_response(spark, sf):
     found = dedup.detect_distinct_once(_good_requests(spark, sf), detect_pii)
