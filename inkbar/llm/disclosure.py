@@ -14,7 +14,7 @@ different surroundings, so copies of one text reveal nothing.
 
 Three passes over the texts, all counts over the whole corpus: (1) base spans and
 the words near them; (2) occurrences of candidate terms; (3) places of terms that
-reveal too much.  Candidates are passed to (2) and (3) as a bitmap of 16 places for each, up to
+reveal too much.  Candidates are passed to (2) and (3) as a bitmap of 64 places for each, up to
 2 ** ``_MOST_BITS``, which only thins out what is then joined exactly.
 
 Defined cases: null texts count as empty and have no spans.  A term is a word of letters of any length
@@ -143,7 +143,7 @@ def _based(batches):
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
     """Which places of a table the terms' hashes fall on."""
-    bits = min(_MOST_BITS, max(12, (16 * terms.count()).bit_length()))
+    bits = min(_MOST_BITS, max(20, (64 * terms.count()).bit_length()))
 
     def places(batches):
         for batch in batches:

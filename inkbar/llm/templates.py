@@ -3,13 +3,19 @@
 Texts become sequences of lower-case word tokens in which numbers, names
 (capitalised words, ``MOST_NAMES`` on end at most) and units after a number are
 typed placeholders.  Digit groups with an inner comma or point are one number.  A capital that begins
-a sentence may be a name or not, so items and documents are read both ways.  Windows of ``SHINGLE`` template tokens are looked up by hash.
+a sentence may be a name or not, and so may those of a longer series of capitals, so items and documents are
+read both ways.  Windows of ``SHINGLE`` template tokens are looked up by hash.
 A benchmark item is found in a document if ``NEED`` of its windows (80% of a
 shorter item's) stand there in the same order, within a small drift for words
 put in or left out, and if its slots are filled consistently: equal values of the
 item are equal values in the document.  So a question with other numbers or names is
 found, while a text that only shares its form by chance is not.
 
+An item of n windows that needs k of them must show one of its n - k + 1 rarest, those that the
+fewest other items share.  Only these are looked up first; an item and a text that they join are then
+compared on all windows, pair by pair.  So openings that thousands of questions share cost
+nothing unless one of the questions is there.
+
 The benchmark is cut in blocks of bounded size; each block's window table is
 broadcast and all documents are read against it.  Documents are not shuffled; what
 leaves a pass is one narrow row for each item found in a document.
@@ -50,13 +56,14 @@ UNITS = (
 ).split()
 _NUMBER, _NAME, _UNIT = (np.uint64(0xA5A5_0000_0000_0001 + k) for k in range(3))
 _BITS = 22
+_PAIRS = 1 << 20  # of windows and items, looked at together
 
 
 @dataclass
 class Template:
     """Tokens of several rows: plain hashes, template hashes, first token of each row.
 
-    In ``initial`` capitals that begin a sentence are names too.
+    In ``initial`` capitals that begin a sentence, or stand in a long series, are names too.
     """
 
     plain: np.ndarray
@@ -122,8 +129,8 @@ def template(column: pa.Array) -> Template:
     shout = capital | number
     edge = np.flatnonzero(np.concatenate([[True], (shout[1:] != shout[:-1]) | first[1:], [True]]))
     run = np.repeat(np.diff(edge), np.diff(edge))
-    initial = capital & (run <= MOST_NAMES) & ~number & long
-    name = initial & ~begins
+    initial = capital & ~number & long
+    name = initial & (run <= MOST_NAMES) & ~begins
     units = _unit_hashes()
     place = np.minimum(np.searchsorted(units, plain), len(units) - 1)
     unit = np.zeros(n, dtype=bool)
@@ -159,14 +166,31 @@ class Index:
         other = flat_useful & (hashes != flat_hashes)
         more = all_useful & (hashes != all_hashes)
         hashes = np.concatenate([hashes[useful], flat_hashes[other], all_hashes[more]])
-        order = np.argsort(hashes, kind="stable")
-        self.hash = hashes[order]
-        self.item = np.concatenate([item[useful], item[other], item[more]])[order]
-        self.place = np.concatenate([place[useful], place[other], place[more]])[order]
+        item = np.concatenate([item[useful], item[other], item[more]])
+        place = np.concatenate([place[useful], place[other], place[more]])
         self.need = np.minimum(NEED, np.ceil(COVER * self.n)).astype(np.int64)
         self.ids, self.t = ids, t
         self.maybe = np.zeros(1 << _BITS, dtype=bool)
-        self.maybe[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.maybe[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        # of each item, its entries
+        order = np.lexsort((hashes, item))
+        self.of_item, self.hash, self.place = np.searchsorted(item[order], np.arange(len(ids) + 1)), hashes[order], place[order]
+        # a place is as common as the most shared of its readings
+        _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        by_place = np.lexsort((-times[back], place, item))
+        head = np.ones(len(by_place), dtype=bool)
+        head[1:] = (np.diff(item[by_place]) != 0) | (np.diff(place[by_place]) != 0)
+        common = times[back][by_place][head]
+        spot = np.cumsum(head) - 1
+        owner = item[by_place][head]
+        rarest = np.lexsort((common, owner))
+        rank = np.empty(len(rarest), dtype=np.int64)
+        rank[rarest] = np.arange(len(rarest)) - np.searchsorted(owner[rarest], owner[rarest])
+        places = np.bincount(owner, minlength=len(ids))
+        rare = rank < (places - self.need + 1)[owner]
+        some = by_place[rare[spot]]
+        some = some[np.argsort(hashes[some], kind="stable")]
+        self.rare_hash, self.rare_item = hashes[some], item[some]
 
     def _consistent(self, doc: Template, base: int, item: int, at: np.ndarray, to: np.ndarray) -> bool:
         """Whether the item's slots that the matched windows cover have steady values."""
@@ -202,39 +226,68 @@ class Index:
         spot = np.concatenate([np.flatnonzero(useful), more])
         hashes = np.concatenate([hashes[useful], all_hashes[more]])
         near = np.flatnonzero(self.maybe[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
-        low = np.searchsorted(self.hash, hashes[near], side="left")
-        n = np.searchsorted(self.hash, hashes[near], side="right") - low
-        near, low, n = near[n > 0], low[n > 0], n[n > 0]
-        if not len(near):
-            return []
-        entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        window = np.repeat(spot[near], n)
-        row = np.searchsorted(at, window, side="right") - 1
-        here, item, place = window - at[row], self.item[entry], self.place[entry]
-        order = np.lexsort((place, item, row))
-        row, item, place, here = row[order], item[order], place[order], here[order]
-        edge = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(item) != 0), [True]]))
+        hashes, spot = hashes[near], spot[near]
+        row = np.searchsorted(at, spot, side="right") - 1
+        order = np.lexsort((hashes, row))
+        hashes, row, here = hashes[order], row[order], (spot - at[row])[order]
         found = []
-        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            k = int(item[s])
-            if e - s < self.need[k]:
+        for k, i in self._candidates(hashes, row):
+            first, last = np.searchsorted(row, [i, i + 1])
+            got = self._matched(k, hashes[first:last], here[first:last])
+            if got is not None:
+                told = self._ordered(doc, i, k, *got)
+                if told is not None:
+                    found.append(told)
+        return sorted(found)
+
+    def _candidates(self, hashes: np.ndarray, row: np.ndarray) -> list[tuple[int, int]]:
+        """Items and rows that a rare window joins, ``_PAIRS`` pairs looked at together."""
+        low = np.searchsorted(self.rare_hash, hashes, side="left")
+        n = np.searchsorted(self.rare_hash, hashes, side="right") - low
+        row, low, n = row[n > 0], low[n > 0], n[n > 0]
+        if not len(n):
+            return []
+        # a window that stands often in a row counts once
+        _, once = np.unique(row * np.int64(len(self.rare_hash) + 1) + low, return_index=True)
+        row, low, n = row[once], low[once], n[once]
+        done, codes, total = 0, np.zeros(0, np.int64), np.cumsum(n)
+        while done < len(n):
+            stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + _PAIRS, side="right")))
+            part = slice(done, stop)
+            entry = np.repeat(low[part] - np.cumsum(n[part]) + n[part], n[part]) + np.arange(n[part].sum())
+            code = self.rare_item[entry] + np.repeat(row[part], n[part]) * len(self.ids)
+            codes, done = np.union1d(codes, code), stop
+        return list(zip((codes % len(self.ids)).tolist(), (codes // len(self.ids)).tolist()))
+
+    def _matched(self, k: int, hashes: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Places in a row and in item ``k`` of all windows they share, by place in the item."""
+        own = slice(self.of_item[k], self.of_item[k + 1])
+        low = np.searchsorted(hashes, self.hash[own], side="left")
+        n = np.searchsorted(hashes, self.hash[own], side="right") - low
+        if np.count_nonzero(n) < self.need[k]:
+            return None
+        entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        place = np.repeat(self.place[own], n)
+        order = np.lexsort((here[entry], place))
+        return here[entry][order], place[order]
+
+    def _ordered(self, doc: Template, row: int, k: int, here: np.ndarray, place: np.ndarray) -> tuple | None:
+        """What ``search`` tells of item ``k`` in a row, if its windows stand there in order, slots alike."""
+        base = int(doc.row[row])
+        shift = here - place
+        drift = max(5, int(self.n[k]) // 4)
+        by_shift = np.sort(shift)
+        count = np.searchsorted(by_shift, by_shift + drift, side="right") - np.arange(len(shift))
+        for start in np.unique(by_shift[count >= self.need[k]]).tolist():
+            on = (shift >= start) & (shift <= start + drift)
+            to, pick = np.unique(place[on], return_index=True)
+            places = here[on][pick]
+            if len(to) < self.need[k]:
                 continue
-            shift = here[s:e] - place[s:e]
-            drift = max(5, int(self.n[k]) // 4)
-            by_shift = np.sort(shift)
-            count = np.searchsorted(by_shift, by_shift + drift, side="right") - np.arange(e - s)
-            for start in np.unique(by_shift[count >= self.need[k]]).tolist():
-                on = (shift >= start) & (shift <= start + drift)
-                to, pick = np.unique(place[s:e][on], return_index=True)
-                places = here[s:e][on][pick]
-                if len(to) < self.need[k]:
-                    continue
-                if self._consistent(doc, int(doc.row[row[s]]), k, places, to):
-                    a = doc.plain[doc.row[row[s]] + places]
-                    b = self.t.plain[self.t.row[k] + to]
-                    found.append((int(row[s]), k, len(to) / float(self.n[k]), bool((a == b).all())))
-                    break
-        return found
+            if self._consistent(doc, base, k, places, to):
+                a, b = doc.plain[base + places], self.t.plain[self.t.row[k] + to]
+                return row, k, len(to) / float(self.n[k]), bool((a == b).all())
+        return None
 
 
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:

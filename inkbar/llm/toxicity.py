@@ -14,8 +14,8 @@ weighted mean of 32 of those.
 
 A text's label says that some window is toxic, not which.  Training therefore
 picks one window of each toxic text: first the one whose words and word
-parts the labels speak for most, later the one the network itself scores highest.  For that, windows
-begin ``STRIDE`` words apart, and are read with ``CONTEXT`` words on either side; the bound between the labels is
+parts the labels speak for most, of windows ``STRIDE`` words apart, later the one of all overlapping windows
+that the network itself scores highest.  It is read with ``CONTEXT`` words on either side.  The bound between the labels is
 set on all overlapping windows, as scored.
 The sample is bounded: ``PER_CLASS`` texts of each label, of ``LONGEST`` characters.  Longer texts are drawn
 only where a label has too few others, by a passage at a hash-random place.
@@ -41,7 +41,7 @@ from inkbar.llm.language import fold, thinned
 WINDOW = 32
 STRIDE = 24
 CHUNK = 224
-CONTEXT = 16
+CONTEXT = 8
 LETTERS_OF = 20  # bytes of a token; longer words are several tokens
 PER_CLASS = 3000
 LONGEST = 4000
@@ -54,6 +54,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _gathered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` by row, ``n`` rows."""
+    rows, values = rows.ravel(), values.reshape(-1, values.shape[-1])
+    return np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(np.float32)
+
+
 class Layer:
     """A bidirectional GRU with attention pooling; arrays are (time, row, unit)."""
 
@@ -69,68 +75,67 @@ class Layer:
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
         return {d: x @ self.p[f"W{d}"] + self.p[f"c{d}"] for d in "fb"}
 
-    def states(self, given: dict[str, np.ndarray], mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
+    def states(self, given: dict[str, np.ndarray], mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
         """States of both directions from projected inputs (time, row, 3 * unit); ``mask`` is (time, row)."""
-        steps, rows, h = mask.shape[0], mask.shape[1], self.unit
-        states = np.zeros((steps, rows, 2 * h), np.float32)
-        kept = {}
-        for k, d in enumerate("fb"):
-            state, u = np.zeros((rows, h), np.float32), self.p[f"U{d}"]
-            trail = []
-            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                x, g = given[d][t], state @ u
-                gates = _sigmoid(x[:, : 2 * h] + g[:, : 2 * h])
-                z, r = gates[:, :h], gates[:, h:]
-                n = np.tanh(x[:, 2 * h :] + r * g[:, 2 * h :])
-                m = mask[t][:, None]
-                new = state + m * (1 - z) * (n - state)
-                if keep:
-                    trail.append((t, state, z, r, n, g[:, 2 * h :]))
-                state = new
-                states[t, :, k * h : (k + 1) * h] = state
-            kept[d] = trail
-        return states, kept
+        # both directions are stepped at once; the backward one reads its inputs from the end
+        h = self.unit
+        x = np.stack([given["f"], given["b"][::-1]], axis=1)
+        m = np.stack([mask, mask[::-1]], axis=1)[..., None]
+        u = np.stack([self.p["Uf"], self.p["Ub"]])
+        state, trail = np.zeros((2, mask.shape[1], h), np.float32), []
+        out = np.empty((len(mask), *state.shape), np.float32)
+        for t in range(len(mask)):
+            g = state @ u
+            gates = _sigmoid(x[t, ..., : 2 * h] + g[..., : 2 * h])
+            z, r = gates[..., :h], gates[..., h:]
+            n = np.tanh(x[t, ..., 2 * h :] + r * g[..., 2 * h :])
+            if keep:
+                trail.append((state, z, r, n, g[..., 2 * h :]))
+            state = state + m[t] * (1 - z) * (n - state)
+            out[t] = state
+        return np.concatenate([out[:, 0], out[::-1, 1]], axis=-1), trail
 
     def forward(self, given: dict[str, np.ndarray], mask: np.ndarray, keep: bool = False, pool: np.ndarray | None = None):
         """Pooled states; where ``pool`` is given, of its places only, the others being read as context."""
-        states, kept = self.states(given, mask, keep)
+        states, trail = self.states(given, mask, keep)
         e = np.tanh(states @ self.p["A"] + self.p["a"])
         weight = np.where((mask if pool is None else pool) > 0, e @ self.p["v"], -np.inf)
         weight = np.exp(weight - weight.max(axis=0))
         weight /= weight.sum(axis=0)
-        pooled = np.einsum("tr,tru->ru", weight, states)
-        return (pooled, (states, e, weight, kept, mask)) if keep else pooled
+        pooled = (weight[:, :, None] * states).sum(axis=0)
+        return (pooled, (states, e, weight, trail, mask)) if keep else pooled
 
     def backward(self, d_pooled: np.ndarray, memory) -> tuple[dict, dict]:
         """Gradients of the parameters and of the projected inputs."""
-        states, e, weight, kept, mask = memory
+        states, e, weight, trail, mask = memory
         h, p = self.unit, self.p
         g = {k: np.zeros_like(v) for k, v in p.items()}
         d_states = weight[:, :, None] * d_pooled
-        d_weight = np.einsum("ru,tru->tr", d_pooled, states)
+        d_weight = (states * d_pooled).sum(axis=-1)
         d_score = weight * (d_weight - (weight * d_weight).sum(axis=0))
-        g["v"] = np.einsum("tr,tru->u", d_score, e)
+        g["v"] = d_score.ravel() @ e.reshape(-1, h)
         d_e = d_score[:, :, None] * p["v"] * (1 - e * e)
-        g["A"] = np.einsum("tri,tro->io", states, d_e)
+        g["A"] = states.reshape(-1, 2 * h).T @ d_e.reshape(-1, h)
         g["a"] = d_e.sum(axis=(0, 1))
         d_states += d_e @ p["A"].T
-        d_given = {}
+        d_out = np.stack([d_states[..., :h], d_states[::-1, :, h:]], axis=1)
+        m = np.stack([mask, mask[::-1]], axis=1)[..., None]
+        u = np.stack([p["Uf"], p["Ub"]])
+        d_x = np.empty((*m.shape[:3], 3 * h), np.float32)
+        carry, d_u = np.zeros(d_out.shape[1:], np.float32), np.zeros(u.shape, np.float32)
+        for t in range(len(mask) - 1, -1, -1):
+            state, z, r, n, gn = trail[t]
+            d_new = d_out[t] + carry
+            d_n = d_new * m[t] * (1 - z) * (1 - n * n)
+            d_z = -d_new * m[t] * (n - state) * z * (1 - z)
+            d_r = d_n * gn * r * (1 - r)
+            d_x[t] = np.concatenate([d_z, d_r, d_n], axis=-1)
+            d_g = np.concatenate([d_z, d_r, d_n * r], axis=-1)
+            d_u += np.swapaxes(state, 1, 2) @ d_g
+            carry = d_new * (1 - m[t] * (1 - z)) + d_g @ np.swapaxes(u, 1, 2)
         for k, d in enumerate("fb"):
-            d_x = np.zeros((*mask.shape, 3 * h), np.float32)
-            carry, u = np.zeros((mask.shape[1], h), np.float32), p[f"U{d}"]
-            for t, state, z, r, n, gn in reversed(kept[d]):
-                d_new = d_states[t, :, k * h : (k + 1) * h] + carry
-                m = mask[t][:, None]
-                d_n = d_new * m * (1 - z) * (1 - n * n)
-                d_z = -d_new * m * (n - state) * z * (1 - z)
-                d_r = d_n * gn * r * (1 - r)
-                d_x[t] = np.concatenate([d_z, d_r, d_n], axis=1)
-                d_g = np.concatenate([d_z, d_r, d_n * r], axis=1)
-                g[f"U{d}"] += state.T @ d_g
-                carry = d_new * (1 - m * (1 - z)) + d_g @ u.T
-            g[f"c{d}"] = d_x.sum(axis=(0, 1))
-            d_given[d] = d_x
-        return g, d_given
+            g[f"U{d}"], g[f"c{d}"] = d_u[k], d_x[:, k].sum(axis=(0, 1))
+        return g, {"f": d_x[:, 0], "b": d_x[::-1, 1]}
 
 
 class Words:
@@ -297,8 +302,21 @@ class Network:
 
     def gradients(self, words: Words, window: np.ndarray, y: np.ndarray, pool: np.ndarray | None = None) -> list[dict]:
         used, token = np.unique(np.where(window < 0, 0, window), return_inverse=True)
-        token = token.reshape(window.shape).T
-        x, (seen, rows, memory) = self._inputs(words.bytes[used], words.mask[used], words.hash[used], True)
+        # short words take few steps: they are read apart from long ones
+        length = words.mask[used].sum(axis=1)
+        order = np.argsort(length, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        used, length = used[order], length[order]
+        token = place[token].reshape(window.shape).T
+        cut = int(np.searchsorted(length, 8, side="right"))
+        parts = []
+        for part in (slice(0, cut), slice(cut, None)):
+            if len(used[part]):
+                own, steps = used[part], int(length[part][-1])
+                chars = words.bytes[own, :steps]
+                parts.append((part, chars, self._inputs(chars, words.mask[own, :steps], words.hash[own], True)))
+        x = np.concatenate([inputs[0] for _, _, inputs in parts])
         given = self.high.project(x)
         mask = (window.T >= 0).astype(np.float32)
         pooled, top = self.high.forward({d: given[d][token] for d in "fb"}, mask, True, None if pool is None else pool.T)
@@ -308,16 +326,18 @@ class Network:
         high, d_given = self.high.backward(error[:, None] * self.own["out"], top)
         d_x = np.zeros_like(x)
         for d in "fb":
-            d_table = np.zeros_like(given[d])
-            np.add.at(d_table, token, d_given[d])
+            d_table = _gathered(token, d_given[d], len(x))
             high[f"W{d}"] = x.T @ d_table
             d_x += d_table @ self.high.p[f"W{d}"].T
-        np.add.at(own["words"], rows, d_x[:, 2 * UNIT :])
-        low, d_low = self.low.backward(d_x[:, : 2 * UNIT], memory)
-        chars = words.bytes[used].T
-        for d in "fb":
-            low[f"W{d}"] = np.einsum("tri,tro->io", seen, d_low[d])
-            np.add.at(own["bytes"], chars, d_low[d] @ self.low.p[f"W{d}"].T)
+        low = {k: np.zeros_like(v) for k, v in self.low.p.items()}
+        for part, chars, (_, (seen, rows, memory)) in parts:
+            own["words"] += _gathered(rows, d_x[part, 2 * UNIT :], WORD_ROWS)
+            of_part, d_low = self.low.backward(d_x[part, : 2 * UNIT], memory)
+            for d in "fb":
+                of_part[f"W{d}"] = seen.reshape(-1, UNIT).T @ d_low[d].reshape(-1, 3 * UNIT)
+                own["bytes"] += _gathered(chars.T, d_low[d] @ self.low.p[f"W{d}"].T, 256)
+            for k in low:
+                low[k] += of_part[k]
         return [low, high, own]
 
 
@@ -350,13 +370,13 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Network:
     rng = np.random.Generator(np.random.PCG64(seed))
     toxic = np.array(toxic)
     words = Words(pa.array(texts, pa.string()))
-    start, end, at = words.starts(STRIDE)
+    start, end, at = words.starts(1)
     doc = np.repeat(np.arange(len(texts)), np.diff(at))
     begin = words.row[doc]
-    one_by_one = words.starts(1)[2][doc] + start - begin  # the same windows among all overlapping ones
-    one_by_one = np.minimum(one_by_one, words.starts(1)[2][doc + 1] - 1)
     odds = np.append(_spoken_for(words, toxic), [-99.0])
-    value = np.sort(odds[words.tokens_from(start, end)], axis=1)[:, -3:].sum(axis=1)  # -1 takes the last entry
+    some = np.flatnonzero((start - begin) % STRIDE == 0)
+    value = np.full(len(start), -np.inf)
+    value[some] = np.sort(odds[words.tokens_from(start[some], end[some])], axis=1)[:, -3:].sum(axis=1)  # -1 takes the last
     net = Network(seed)
     first = [{k: np.zeros_like(v) for k, v in p.items()} for p in net.parts()]
     second = [{k: np.zeros_like(v) for k, v in p.items()} for p in net.parts()]
@@ -389,7 +409,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Network:
                     m[k] += 0.1 * (g[k] - m[k])
                     v[k] += 0.001 * (g[k] * g[k] - v[k])
                     p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        value = net.every_window(words)[one_by_one]
+        value = net.every_window(words)
     of, top = net.highest(words)
     label = toxic[of]
     order = np.argsort(top)

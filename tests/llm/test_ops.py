@@ -577,7 +577,34 @@ def test_benchmark_in_several_blocks(spark, docs, monkeypatch):
     assert sorted(map(str, templates.decontaminate(docs, items).collect())) == once
 
 
-# ---- 7 sharding --------------------------------------------------------------
+def test_items_that_share_windows_with_a_long_text_cost_little():
+    """20,000 questions with one opening, and a text that repeats the opening 10,000 times."""
+    import time
+    import tracemalloc
+
+    opening = "what is the final answer to the following question"
+    items = [f"{opening} " + " ".join(f"w{chr(97 + k)}{i}x" for k in range(12)) for i in range(20_000)]
+    index = templates.Index(list(range(len(items))), pa.array(items))
+    text = (opening + " nothing else follows here\n") * 27_000
+    assert len(text) > 2_000_000
+    tracemalloc.start()
+    began = time.perf_counter()
+    found = index.search(pa.array([text, items[77], "before " + items[123] + " after " + items[5]]))
+    took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(f[0], f[1]) for f in found] == [(1, 77), (2, 5), (2, 123)]
+    assert peak < 500_000_000 and took < 30, (peak, took)
+
+
+def test_a_name_of_five_words_is_a_name():
+    item = "how many boats did the crew of Anna Maria Luisa Helena Carlotta sell before noon on that day"
+    index = templates.Index([1], pa.array([item]))
+    other = item.replace("Anna Maria Luisa Helena Carlotta", "John Paul George Ringo Starr")
+    assert [f[1] for f in index.search(pa.array([other]))] == [0]
+    assert index.search(pa.array(["how many boats did the crew sell before noon"])) == []
+
+
+# ---- 7 sharding -------------------------------------------------------------
 
 
 def test_lookup_table_is_fair_and_steady():
