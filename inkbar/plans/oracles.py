@@ -456,6 +456,15 @@ ORACLES["validate_requests"] = f"""SELECT CASE WHEN reason <> 'malformed request
     WHEN req_id % 20 = 13 THEN 'text missing' ELSE {_VERDICT} END AS reason FROM ({_REQUESTS}) AS r) AS v"""
 ORACLES["split_requests"] = f"""SELECT reason, count(*) AS n, count(*) AS n_written, CAST(sum(req_id) AS BIGINT) AS ids
   FROM (SELECT req_id, {_VERDICT} AS reason FROM ({_REQUESTS}) AS r) AS v GROUP BY reason"""
+_loose, _loose_last = chain("SELECT req_id AS doc_id, text FROM good WHERE NOT ru_postpass_strict", name="l")
+_strict, _strict_last = chain("SELECT req_id AS doc_id, text FROM good WHERE ru_postpass_strict", True, name="s")
+ORACLES["sql_table_functions"] = f"""WITH judged AS (SELECT *, {_VERDICT} AS reason FROM ({_REQUESTS}) AS r),
+  good AS (SELECT * FROM judged WHERE reason = 'ok' AND ru_postpass), {_loose}, {_strict},
+  kept AS (SELECT f.* FROM (SELECT * FROM {_loose_last} UNION ALL SELECT * FROM {_strict_last}) AS f
+    JOIN good AS g ON g.req_id = f.doc_id WHERE 0.95 >= g.min_score OR g.min_score <= 0)
+  SELECT req_id, reason, CAST(NULL AS INTEGER) AS pos, CAST(NULL AS VARCHAR) AS entity, CAST(NULL AS INTEGER) AS start,
+    CAST(NULL AS INTEGER) AS "end" FROM judged WHERE reason <> 'ok'
+  UNION ALL SELECT doc_id, 'ok', pos, entity, start, "end" FROM ({numbered('SELECT * FROM kept')}) AS k"""
 
 # -- sources and sinks -----------------------------------------------------
 ORACLES["read_text_documents"] = """SELECT s_suppkey,

@@ -438,6 +438,27 @@ def _register_sql_functions(spark, sf):
     )
 
 
+@query("sql_table_functions")
+def _sql_table_functions(spark, sf):
+    """From a request table to rejects and span rows in SQL alone."""
+    register_sql_functions(spark)
+    _requests(spark, sf).createOrReplaceTempView("inkbar_requests")
+    return spark.sql(
+        """
+        with judged as (select *, pii_verdict(text, min_score, mask_char, 6000) as verdict from inkbar_requests),
+        found as (
+          select req_id, filter(pii_spans(text, ru_postpass_strict), s -> s.score >= min_score or min_score <= 0) as spans
+          from judged where verdict is null and ru_postpass
+        )
+        select req_id, verdict.reason as reason, cast(null as int) as pos, cast(null as string) as entity,
+          cast(null as int) as start, cast(null as int) as `end`
+        from judged where verdict is not null
+        union all
+        select f.req_id, 'ok', r.pos, r.entity, r.start, r.`end` from found as f, lateral pii_span_rows(f.spans) as r
+        """
+    )
+
+
 # -- validation ------------------------------------------------------------
 @query("reject_oversized_text")
 def _reject_oversized_text(spark, sf):
