@@ -2,6 +2,33 @@
 
 from __future__ import annotations
 
+from inkbar.llm.sharding import SHARDS, SLOTS, lookup_table
+
+# base32 spells each five bits of the digest
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, html, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+    max(page_id) OVER (PARTITION BY html) AS first_id,
+    list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', substr(sha1(html), i, 1)) - 1), 4, '0')),
+      'string_agg', '') AS bits
+  FROM p
+)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(1, 6), lambda k: CAST(substr(bits, 5 * j + k, 1) AS INTEGER) * (1 << (5 - k))))::INTEGER, 1)),
+    'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""
+
+SHARDING = f"""
+WITH t AS (SELECT {lookup_table([f"shard-{i}" for i in range(SHARDS)], SLOTS)} AS shards)
+SELECT doc_id, shards[1 + CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % {SLOTS} AS INTEGER)] AS shard
+FROM documents, t
+"""
+
 MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -123,6 +150,8 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
 ORACLES: dict[str, str] = {
+    "op1_warc": WARC,
+    "op7_sharding": SHARDING,
     "op5_exact_dedup": CONTENT,
     "op8_mixing": MIXING,
     "op12_divergence": DIVERGENCE,
