@@ -85,3 +85,11 @@ def test_no_span_table_is_gathered_or_ordered_by_document_alone(spark):
         for line in plan.split("\n"):
             if "windowspecdefinition(doc_id" in line:
                 raise AssertionError(f"{name}: {line[:200]}")
+
+
+def test_templates_use_all_cores_whatever_the_row_groups(spark, tmp_path):
+    """A table in one row group is one task's, however the rows are worked on."""
+    spark.read.parquet(f"{SF}/customer.parquet").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    for name in ("detect_pii", "ru_postpass", "rules_strict", "rules_loose", "highlight_html"):
+        rows = QUERIES[name](spark, str(tmp_path)).rdd.glom().map(len).collect()
+        assert sum(n > 0 for n in rows) >= spark.sparkContext.defaultParallelism, name
