@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +15,7 @@ from inkbar.functions.rules import BLANK
 from inkbar.functions.spans import explode_spans, no_spans
 
 NO_HITS = "No PII detected"
+SHELVES = 512  # folders of a table of files
 
 
 def _model(name: str | Column) -> Column:
@@ -107,3 +114,39 @@ def result_json_sink(df: DataFrame, path: str) -> None:
     df.select(F.col("text").alias("input"), "redacted", "spans").write.mode(
         "errorifexists"
     ).option("ignoreNullFields", "false").json(path)
+
+
+def files_by_key(df: DataFrame, key: str, path: str) -> None:
+    """A text file for each value of ``key``, ``<path>/shelf=<n>/<key>=<value>.txt``.
+
+    It holds the key's ``value`` rows as lines; a null one is an empty line, and a null key is named as Spark
+    names its partition.  ``path`` is below a folder all executors share.  Spark's writer gives a file a
+    folder of its own, starts two processes to set its permissions, and lets the driver move it;
+    here a task writes its folders' files, each under a hidden name until it is whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(path)
+        rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("shelf", "key", "value"))))
+        written, made = 0, None
+        for (shelf, name), lines in groupby(rows, lambda row: row[:2]):
+            folder = f"{base}/shelf={shelf}"
+            if shelf != made:
+                files.create_dir(folder, recursive=True)
+                made = shelf
+            hidden = f"{folder}/.{uuid.uuid4().hex}"
+            with files.open_output_stream(hidden) as out:
+                for line in lines:
+                    out.write(f"{line[2] or ''}\n".encode())
+            files.move(hidden, f"{folder}/{key}={name}.txt")
+            written += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([written], pa.int64())})
+
+    shelved = df.select(
+        F.pmod(F.xxhash64(key), F.lit(SHELVES)).alias("shelf"),
+        F.coalesce(F.col(key).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("key"),
+        F.col("value").cast("string").alias("value"),
+    )
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    dealt = shelved.repartition(tasks, "shelf").sortWithinPartitions("shelf", "key")
+    dealt.mapInArrow(run, "n long").agg(F.sum("n")).collect()

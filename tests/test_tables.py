@@ -1,5 +1,6 @@
 """Validation, sources, repeats, metrics, span tables, scorers, streams."""
 
+import pathlib
 import random
 from collections import Counter
 
@@ -384,3 +385,28 @@ def test_scorer_records_outside_their_text_are_told_apart(spark):
     ).first()
     assert [(s.text, s.start, s.end) for s in row.ok] == [("bcd", 1, 4)]
     assert [(s.start, s.end) for s in row.bad] == [(-2, 3), (4, 99), (5, 2)]
+
+
+def test_files_by_key_write_one_file_for_each_key(spark, tmp_path):
+    """More keys than folders, one key twice, one value null: as Spark's partitioned text files, without a folder for each."""
+    rows = [(i, f"я {i}\r\n.") for i in range(1500)] + [(7, "again"), (1500, None)]
+    out = tmp_path / "notes"
+    sinks.files_by_key(spark.createDataFrame(rows, "k long, value string"), "k", str(out))
+    assert len(list(out.iterdir())) <= sinks.SHELVES and not list(out.glob("*/.*"))
+    docs = src.read_text_documents(spark, str(out)).select(F.regexp_extract("doc_id", r"k=(\d+)\.txt$", 1).alias("k"), "text")
+    got = {int(r.k): r.text for r in docs.collect()}
+    assert sorted(got.pop(7).splitlines()) == sorted(["я 7", ".", "again"]) and got.pop(1500) == "\n"
+    assert got == {i: f"я {i}\r\n.\n" for i in range(1500) if i != 7}
+    assert src.filter_text_files(src.read_uploads(spark, str(out))).count() == 1501
+
+
+@pytest.mark.parametrize("name", ["read_text_documents", "redact_stored_files"])
+def test_stored_files_do_not_each_take_a_folder(spark, tmp_path, name):
+    from inkbar.plans.queries import QUERIES
+
+    spark.range(1200).selectExpr("id as s_suppkey", "concat('S', id) as s_name").write.parquet(str(tmp_path / "supplier.parquet"))
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("inkbar/*"))
+    assert QUERIES[name](spark, str(tmp_path)).count() == 1200
+    stored = [f for new in set(shared.glob("inkbar/*")) - before for f in new.rglob("*s_suppkey*") if f.is_file()]
+    assert len(stored) == 1200 and len({f.parent for f in stored}) <= 512
