@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from inkbar.operators.dedup import with_fingerprint
+from inkbar.streaming.stream import keyed
 
 LANES = 64
 MARKS = "req_id long, fp string, cached boolean"
@@ -69,10 +70,12 @@ class Recent(StatefulProcessor):
         fp, lane = key
         if lane != 0:
             for b in rows:
-                yield pd.DataFrame({"req_id": b["req_id"], "fp": fp, "cached": lane > 0})
+                yield pd.DataFrame({"req_id": b["req_id"], "fp": b["fp"], "cached": lane > 0})
             return
         # a row for each run of an Arrow batch, so a short list
-        runs = pd.concat(list(rows)).sort_values(["at", "req_id"])
+        runs = pd.concat(list(rows))
+        if len(runs) > 1:
+            runs = runs.sort_values(["at", "req_id"])
         last = before = int(self.asked.get()[0]) if self.asked.exists() else None
         cached = []
         for at, until in zip(runs["at"].tolist(), runs["until"].tolist()):
@@ -92,7 +95,7 @@ class Recent(StatefulProcessor):
         due = expiredTimerInfo.getExpiryTimeInMs()
         if self.asked.exists() and self._timer(int(self.asked.get()[0])) <= due:
             self.asked.clear()
-        yield pd.DataFrame({"req_id": [], "fp": [], "cached": []}).astype({"req_id": "int64", "fp": "str", "cached": "bool"})
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -107,7 +110,7 @@ def stream_mark_recent(requests: DataFrame, limit: str, delay: str = "10 minutes
     micros = int(pd.Timedelta(limit).total_seconds() * 1_000_000)
     timed = requests.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
     keys = with_fingerprint(timed).select("req_id", "fp", F.unix_micros(time).alias("at"))
-    laned = keys.mapInPandas(runs_of_batch(micros), _RUNS)
-    return laned.groupBy("fp", "lane").transformWithStateInPandas(
+    laned = keyed(keys.mapInPandas(runs_of_batch(micros), _RUNS))
+    return laned.groupBy("asks", "lane").transformWithStateInPandas(
         statefulProcessor=Recent(micros), outputStructType=MARKS, outputMode="append", timeMode="EventTime"
     )
