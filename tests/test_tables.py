@@ -292,6 +292,32 @@ def test_stream_marks_every_repeat_once(spark, tmp_path):
     assert sum(not c for c in got.values()) == len({t for _, t in rows})
 
 
+def test_settled_rows_and_buckets_share_python_calls(spark):
+    rows = [(i, f"{i % 3000:064x}", i % 5 - 1) for i in range(6000)]
+    keyed = st.keyed(spark.createDataFrame(rows, "req_id long, fp string, lane int")).collect()
+    assert len(keyed) == 6000 and all((r.asks == r.fp) == (r.lane == 0) for r in keyed)
+    calls = {(r.asks, r.lane) for r in keyed if r.lane != 0}
+    assert len(calls) <= 2 * st.SETTLED and {a for a, _ in calls} == {""}
+    # repeats stay above zero, rows without a time below
+    sign = {i: lane > 0 for i, _, lane in rows if lane}
+    assert {r.req_id: r.lane > 0 for r in keyed if r.lane} == sign
+
+
+def test_texts_of_a_bucket_are_asked_in_one_call():
+    class Map(dict):
+        def containsKey(self, key):
+            return key in self
+
+        updateValue = dict.__setitem__
+
+    seen = st.Seen()
+    seen.seen = Map({("old",): (1,)})
+    batches = [pd.DataFrame({"req_id": [9, 4], "fp": ["new", "old"]}), pd.DataFrame({"req_id": [7, 8], "fp": ["new", "two"]})]
+    (out,) = seen.handleInputRows(("abc", 0), iter(batches), None)
+    assert dict(zip(out["req_id"], out["cached"])) == {9: True, 4: True, 7: False, 8: False}
+    assert dict(seen.seen) == {("old",): (1,), ("new",): (7,), ("two",): (8,)}
+
+
 def test_only_one_row_per_batch_asks_the_state():
     b = pd.DataFrame({"req_id": [5, 3, 9, 4], "fp": ["a", "a", "b", "a"]})
     (out,) = st.first_of_batch(iter([b]))
