@@ -27,9 +27,11 @@ occur.  Empty tables give empty results; ``clean`` keeps other columns.
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,33 +47,42 @@ _BLOCKS = "array<struct<first:int,last:int>>"
 
 
 class Lines:
-    """Lines of the rows of a text column: hash, words, first byte, first line of each row."""
+    """Lines of the rows of a text column: hash, words, first byte, first line of each row.
+
+    Lower case changes no character's kind, so the words of both are the same; only ``hash`` reads it.
+    """
 
     def __init__(self, column: pa.Array):
         raw, raw_at = text_bytes(column)
         there = Tokens(raw, raw_at, ALNUM)
-        data, at = text_bytes(lower(column))
-        tokens = Tokens(data, at, ALNUM)
-        n = len(tokens)
+        n = len(there)
+        self.column = column
         if not n:
-            self.hash, self.words, self.start = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            self.row = np.zeros(len(at), np.int64)
+            self.first, self.words, self.start = (np.zeros(0, np.int64) for _ in range(3))
+            self.row = np.zeros(len(raw_at), np.int64)
             return
         stop = np.isin(raw, np.frombuffer(b".!?", np.uint8))
         stop[:-1] &= np.isin(raw[1:], np.frombuffer(b" \t\r\n", np.uint8))  # not inside 3.5 or a.b
         stop |= raw == 10
         stops = np.concatenate([[0], np.cumsum(stop)])
         begins = np.zeros(n, dtype=bool)
-        begins[tokens.row[:-1][tokens.row[:-1] < n]] = True
+        begins[there.row[:-1][there.row[:-1] < n]] = True
         begins[0] = True
         begins[1:] |= stops[there.start[1:]] > stops[there.end[:-1]]
-        first = np.flatnonzero(begins)
-        self.words = np.diff(np.append(first, n))
-        place = np.arange(n) - np.repeat(first, self.words)
+        self.first = np.flatnonzero(begins)
+        self.words = np.diff(np.append(self.first, n))
+        self.start = there.start[self.first]
+        self.row = np.searchsorted(self.first, there.row)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        if not len(self.first):
+            return np.zeros(0, np.uint64)
+        data, at = text_bytes(lower(self.column))
+        tokens = Tokens(data, at, ALNUM)
+        place = np.arange(len(tokens)) - np.repeat(self.first, self.words)
         power = np.cumprod(np.full(int(self.words.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
-        self.hash = mix(np.add.reduceat(tokens.hashes() * power[place], first))
-        self.start = there.start[first]
-        self.row = np.searchsorted(first, tokens.row)
+        return mix(np.add.reduceat(tokens.hashes() * power[place], self.first))
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
@@ -313,22 +324,20 @@ def clean(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in pieces(batches):
-            column = batch.column("text")
+            every, removed = batch.column("text"), batch.column("removed").to_pylist()
+            cut = pa.array([bool(blocks) for blocks in removed])
+            column = every.filter(cut)
             found = Lines(column)
             data, at = text_bytes(column)
             raw, out = data.tobytes(), []
-            for i, blocks in enumerate(batch.column("removed").to_pylist()):
-                if not blocks:
-                    out.append(column[i].as_py())
-                    continue
+            for i, blocks in enumerate(blocks for blocks in removed if blocks):
                 starts = [*found.start[found.row[i] : found.row[i + 1]].tolist(), int(at[i + 1])]
                 kept, here = [], int(at[i])
                 for block in blocks:
                     kept.append(raw[here : starts[block["first"]]])
                     here = starts[block["last"] + 1]
                 out.append(b"".join([*kept, raw[here : at[i + 1]]]).decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(out, pa.string())], names=["row", "cleaned"]
-            )
+            cleaned = pc.replace_with_mask(every, cut, pa.array(out, every.type)) if out else every
+            yield pa.RecordBatch.from_arrays([batch.column("row"), cleaned], names=["row", "cleaned"])
 
     return joined.mapInArrow(run, f"row {kind}, cleaned string").select("row.*", "cleaned")

@@ -219,6 +219,18 @@ def test_every_stretch_of_an_earlier_document_goes(spark):
     assert got == plain_removed(texts)
 
 
+def test_places_of_lines_need_no_hashes(monkeypatch):
+    """Cutting lines out reads no lower case; the hashes are those of lower-case words all the same."""
+    text = ["One two. \u212aelvin \u0130x! 3.5 a", None, "ONE TWO.\none"]
+    same = line_dedup.Lines(pa.array(["one two.", "one two.", "one"]))
+    found = line_dedup.Lines(pa.array(text))
+    assert found.hash[[0, 3, 4]].tolist() == same.hash.tolist()
+    monkeypatch.setattr(line_dedup, "lower", None)
+    found = line_dedup.Lines(pa.array(text))
+    assert found.row.tolist() == [0, 3, 3, 5] and found.words.tolist() == [2, 2, 3, 2, 1]
+    assert found.start.tolist() == [0, 9, 23, 28, 37]
+
+
 def test_exact_copies_lose_all_their_lines(spark, docs, texts):
     rows = {r.doc_id: r for r in QUERIES["op2_line_dedup"](spark, SF).collect()}
     assert set(rows) == set(texts)
