@@ -378,6 +378,50 @@ def test_span_rows_equal_plain_python_with_empty_spans(spark):
     assert {r.ord for r in span_rows.resolve_rows(spans).collect()} == taken
 
 
+def plain_partners(r, own):
+    """A missing place comes before all others; a span that misses one has no number."""
+    if None in r[3:5]:
+        return None
+    filled = [x for x in own if None not in x[3:5] and x[4] > x[3]]
+    asked, before = (own, 1) if r in filled else (filled, 0)
+    low = [(float("-inf") if a is None else a, float("-inf") if b is None else b) for a, b in (x[3:5] for x in asked)]
+    return sum(a < r[4] for a, _ in low) - sum(b <= r[3] for _, b in low) - before
+
+
+@pytest.mark.parametrize("share", [0, 6, 10**9])
+def test_partners_of_hot_and_other_documents(spark, monkeypatch, share):
+    """No document, some and all of them count as hot; documents go on over several batches."""
+    monkeypatch.setattr(span_rows, "hot_share", lambda total: share)
+    rows = empty_and_hot_spans()
+    rows = [(*r[:3], r[3] if r[6] % 11 else None, r[4] if r[6] % 13 else None, *r[5:]) for r in rows]
+    rows += [(r[0], "e", None, r[3], r[3] - 4, 0.5, 1000 + r[6]) for r in rows if r[6] % 17 == 0 and r[3]]
+    rows += [(100 + i // 3, "e", None, i % 3, i % 3 + 2, 0.5, 2000 + i) for i in range(300)]
+    rows += rows[::5]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = Counter(map(tuple, span_rows.span_overlap_pairs(spark.createDataFrame(rows, SPAN_ROWS)).collect()))
+        none = span_rows.span_overlap_pairs(spark.createDataFrame([], SPAN_ROWS))
+        assert none.collect() == [] and none.columns[-1] == "n_partners"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    own = {d: [r for r in rows if r[0] == d] for d in {r[0] for r in rows}}
+    assert got == Counter((*r, plain_partners(r, own[r[0]])) for r in rows)
+
+
+def test_partners_take_one_shuffle_of_the_spans(spark):
+    """Rows for each start and end, shuffled and written again and again, took 16 times the table in disk."""
+    spans = spark.range(20_000).selectExpr(
+        "cast(id / 4 as long) as doc_id", "id as ord", "cast(id % 4 * 5 as int) as start", "cast(id % 4 * 5 + 7 as int) as end"
+    )
+    kept = pathlib.Path(spark.conf.get("spark.checkpoint.dir"), "inkbar")
+    before = set(kept.glob("*"))
+    counted = span_rows.span_overlap_pairs(spans)
+    assert Counter(r.n_partners for r in counted.collect()) == {1: 10_000, 2: 10_000}
+    assert sum(spark.read.parquet(str(p)).count() for p in set(kept.glob("*")) - before) <= 5_000
+    plan = counted._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_stream_queries_read_files_and_folders(spark, tmp_path, parts):
     from inkbar.plans.queries import QUERIES
